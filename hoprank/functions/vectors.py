@@ -35,12 +35,23 @@ def cosine(a, b) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), l2norm(a) * l2norm(b)), F.lit(0.0))
 
 
-def normalize(a) -> Column:
-    """Unit-length copy of a vector; the zero vector stays zero."""
-    n = l2norm(a)
+def scale_by(a, n) -> Column:
+    """Divide every element by ``n`` (a column computed once per row); 0 stays 0."""
+    n = _c(n)
     return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
+def with_unit(df, vec: str, out: str):
+    """Add the unit-length copy of ``vec`` as ``out``.  The norm is its own column
+    first: a norm written inside the element lambda would be recomputed per element."""
+    return df.withColumn("_norm", l2norm(vec)).withColumn(out, scale_by(vec, "_norm")).drop("_norm")
+
+
+def normalize(a) -> Column:
+    """Unit-length copy as one expression (norm per element: use ``with_unit`` on wide vectors)."""
+    return scale_by(a, l2norm(a))
+
+
 def elementwise_avg(a, dim: int) -> Column:
     """Aggregate: element-wise mean of a fixed-width vector column (one ``avg`` per slot)."""
     col = _c(a)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import elementwise_avg, normalize, vector_dim
+from ..functions.vectors import elementwise_avg, vector_dim, with_unit
 
 MAX_QUERY_BLOCK = 4096          # queries per broadcast block
 MAX_BLOCK_BYTES = 64 << 20      # and at most this many bytes of query vectors
@@ -29,7 +29,7 @@ MAX_BLOCK_BYTES = 64 << 20      # and at most this many bytes of query vectors
 def item_profiles(rows: DataFrame, vec: str = "embedding", item: str = "name", dim: int | None = None) -> DataFrame:
     """Mean of the unit row vectors per item (zero rows count, as zero vectors)."""
     dim = dim or vector_dim(rows, vec)
-    unit = rows.select(item, normalize(vec).alias("u"))
+    unit = with_unit(rows.select(item, vec), vec, "u")
     return unit.groupBy(item).agg(elementwise_avg("u", dim).alias("profile"), F.count(F.lit(1)).alias("n_rows"))
 
 
