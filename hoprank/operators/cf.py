@@ -19,6 +19,7 @@ from pyspark.sql import Window
 
 from ..functions.scoring import CF_EPS, beta_log, beta_linear
 from ..plans.sizing import broadcast_if_small
+from ..session import cut_lineage
 
 
 def utility(df: DataFrame, scale: str = "midpoint", user: str = "reviewer", item: str = "name",
@@ -162,7 +163,8 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "
     """
     cells = utility(train, scale)
     sim = user_similarity(cells, "cosine", users)
-    pred = predict(cells, sim).filter(F.col("pred") != 0)
+    # targets x items at most; reused by several steps below, so written once
+    pred = cut_lineage(predict(cells, sim).filter(F.col("pred") != 0))
     known = _targets(cells, users).select("reviewer").distinct()
     n_items = cells.select("name").distinct().count()   # one scalar
 

@@ -1,65 +1,168 @@
 """k-means inside every query's candidate set, all queries at once (K1-K3).
 
-Centres are one row per query holding an array of k (cid, centre) structs, so
-assignment is a join on query_id plus an ``array_min`` over k distances - no
-point x centre row expansion.  The update is a partial aggregate per
-(query_id, cid), one ``avg`` per dimension, so a hot query is combined
-map-side.  Centres are checkpointed (reliably) after every round, which keeps
-the plan short and survives lost executors.
+The distributed pattern is the one Spark's own k-means uses: the centres -
+k x d per query, a bounded, size-checked block - go to every task as a
+broadcast; each task assigns its points with NumPy over Arrow batches and
+emits only partial sums per (query, cluster); a small aggregate adds them.
+Points never move; a hot query's points are spread over many tasks.  The
+points are persisted for the rounds (recomputed from lineage if an executor
+is lost); the driver holds the centres only.
 
 Initialisation is deterministic: the first k distinct vectors of a query in
-seeded hash order (k' = min(k, distinct points)).  A fixed number of rounds
-is run; an empty cluster keeps its previous centre.
+seeded hash order (k' = min(k, distinct points)).  Rounds stop when no
+centre moves, or after ``iters``.  An empty cluster keeps its centre.
 """
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import elementwise_avg, sq_dist, vector_dim
-from ..plans.sizing import broadcast_if_small
-from ..session import cut_lineage
+from ..functions.arrowvec import MAX_BLOCK_BYTES, QueryBlock, list_array, matrix
+from ..functions.vectors import elementwise_sum, sq_dist, vector_dim
 
 
 def init_centres(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", vec: str = "embedding") -> DataFrame:
+    """(key, cid, c): first k distinct vectors per key in seeded hash order (top-k per group, pre-limited)."""
     distinct = points.groupBy(key, vec).agg(F.min(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))).alias("_h"))
     w = Window.partitionBy(key).orderBy("_h")
-    first = distinct.withColumn("cid", (F.row_number().over(w) - 1).cast("int")).filter(F.col("cid") < k)
-    return first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("cid", F.col(vec).cast("array<double>").alias("c")))).alias("centres"))
+    return (distinct.withColumn("cid", (F.row_number().over(w) - 1).cast("int")).filter(F.col("cid") < k)
+            .select(key, "cid", F.col(vec).cast("array<double>").alias("c")))
 
 
-def nearest(vec_col, centres_col="centres"):
-    """Index of the nearest centre (smallest squared distance; ties -> smaller cid)."""
-    v = F.col(vec_col) if isinstance(vec_col, str) else vec_col
-    return F.array_min(F.transform(F.col(centres_col), lambda s: F.struct(sq_dist(v, s["c"]).alias("d"), s["cid"].alias("cid"))))["cid"]
+class Centres:
+    """Dense (queries x k x d) centre tensor with a validity mask, kept on the driver."""
+
+    def __init__(self, keys, k: int, d: int):
+        self.keys = list(keys)
+        self.pos = {q: i for i, q in enumerate(self.keys)}
+        self.c = np.zeros((len(self.keys), k, d))
+        self.valid = np.zeros((len(self.keys), k), dtype=bool)
+
+    @classmethod
+    def from_rows(cls, rows, k: int, d: int, key: str = "query_id"):
+        rows = list(rows)
+        keys = sorted({r[key] for r in rows}, key=str)
+        if len(keys) * k * d * 8 > MAX_BLOCK_BYTES:
+            raise ValueError("centres exceed one broadcast block; split the queries")
+        out = cls(keys, k, d)
+        for r in rows:
+            i = out.pos[r[key]]
+            out.c[i, r["cid"]] = r["c"]
+            out.valid[i, r["cid"]] = True
+        return out
 
 
-def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 10, seed: int = 7, key: str = "query_id",
-                 vec: str = "embedding", dim: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """K1: returns (points with ``cluster``, centres per key)."""
+def _assign(x: np.ndarray, qi: np.ndarray, cen: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    c = cen[qi]                                         # (n, k, d)
+    dist = ((x[:, None, :] - c) ** 2).sum(axis=2)
+    dist[~valid[qi]] = np.inf
+    return dist.argmin(axis=1)                          # ties -> smaller cluster id
+
+
+def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cen = bc.value
+        sums = np.zeros_like(cen.c)
+        cnt = np.zeros(cen.valid.shape, dtype=np.int64)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            qi = np.array([cen.pos[q] for q in b.column(key).to_pylist()], dtype=np.int64)
+            x = matrix(b.column(vec), d)
+            lab = _assign(x, qi, cen.c, cen.valid)
+            np.add.at(sums, (qi, lab), x)
+            np.add.at(cnt, (qi, lab), 1)
+        qs, cs = np.nonzero(cnt)
+        if len(qs):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([cen.keys[i] for i in qs], type=key_type), pa.array(cs.astype(np.int32)),
+                 list_array(sums[qs, cs]), pa.array(cnt[qs, cs])],
+                names=[key, "cluster", "s", "n"])
+    return run
+
+
+def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 20, seed: int = 7, key: str = "query_id",
+                 vec: str = "embedding", dim: int | None = None) -> "KeyedKMeans":
+    """K1: fit one k-means per key; returns the fitted centres (labels via ``KeyedKMeans.label``)."""
+    spark = points.sparkSession
     dim = dim or vector_dim(points, vec)
-    pts = points.persist()
-    centres = cut_lineage(init_centres(pts, k, seed, key, vec))
+    pts = points.select(key, "id", vec).persist()
+    cen = Centres.from_rows(init_centres(pts, k, seed, key, vec).collect(), k, dim, key)
+    key_type = pa.string() if points.schema[key].dataType.simpleString() == "string" else pa.int64()
+    schema = f"{key} {points.schema[key].dataType.simpleString()}, cluster int, s array<double>, n long"
     for _ in range(iters):
-        c = broadcast_if_small(centres, "centres")
-        assigned = pts.select(key, vec).join(c, key).withColumn("cluster", nearest(vec))
-        upd = assigned.groupBy(key, "cluster").agg(elementwise_avg(vec, dim).alias("c"))
-        # clusters that lost all points keep their old centre
-        old = centres.select(key, F.explode("centres").alias("s")).select(key, F.col("s.cid").alias("cluster"), F.col("s.c").alias("c_old"))
-        merged = old.join(upd, [key, "cluster"], "left").select(key, "cluster", F.coalesce("c", "c_old").alias("c"))
-        centres = cut_lineage(merged.groupBy(key).agg(
-            F.sort_array(F.collect_list(F.struct(F.col("cluster").alias("cid"), F.col("c")))).alias("centres")))
-    c = broadcast_if_small(centres, "centres")
-    labelled = pts.join(c, key).withColumn("cluster", nearest(vec)).drop("centres")
-    return labelled, centres
-
-
-def assign_nearest(queries: DataFrame, centres: DataFrame, key: str = "query_id", vec: str = "embedding") -> DataFrame:
-    """K2: the query's own cluster."""
-    return queries.join(centres, key).select(key, nearest(vec).alias("query_cluster"))
-
-
-def same_cluster(labelled: DataFrame, query_clusters: DataFrame, key: str = "query_id") -> DataFrame:
-    """K3: candidates in the query's cluster."""
-    return labelled.join(query_clusters, [key]).filter(F.col("cluster") == F.col("query_cluster")).drop("query_cluster")
+        bc = spark.sparkContext.broadcast(cen)
+        part = pts.select(key, vec).mapInArrow(_partial_sums(key, vec, dim, k, bc, key_type), schema)
+        tot = part.groupBy(key, "cluster").agg(elementwise_sum("s", dim).alias("s"), F.sum("n").alias("n")).collect()
+        new = cen.c.copy()
+        for r in tot:
+            new[cen.pos[r[key]], r["cluster"]] = np.asarray(r["s"]) / r["n"]
+        moved = np.abs(new - cen.c).max() if new.size else 0.0
+        cen.c = new
+        bc.unpersist()
+        if moved == 0.0:
+            break
+    pts.unpersist()
+    return KeyedKMeans(cen, key, vec, dim)
+
+
+class KeyedKMeans:
+    def __init__(self, centres: Centres, key: str, vec: str, dim: int):
+        self.centres, self.key, self.vec, self.dim = centres, key, vec, dim
+
+    def centres_df(self, spark) -> DataFrame:
+        rows = [(q, int(j), [float(v) for v in self.centres.c[i, j]])
+                for q, i in self.centres.pos.items() for j in range(self.centres.c.shape[1]) if self.centres.valid[i, j]]
+        return spark.createDataFrame(rows, f"{self.key} string, cid int, c array<double>")
+
+    def query_clusters(self, qb: QueryBlock) -> dict:
+        """K2: nearest centre of each query vector (raw query vector, as the model sees it)."""
+        out = {}
+        for q, i in self.centres.pos.items():
+            j = qb.pos.get(q)
+            if j is None:
+                continue
+            x = qb.raw[j][None, :]
+            out[q] = int(_assign(x, np.array([i]), self.centres.c, self.centres.valid)[0])
+        return out
+
+    def same_cluster_similarity(self, rows: DataFrame, qb: QueryBlock, keep=("name",)) -> DataFrame:
+        """K3 + cosine: candidates in the query's cluster, with their cosine to the query."""
+        spark = rows.sparkSession
+        bc = spark.sparkContext.broadcast((self.centres, self.query_clusters(qb), qb))
+        key, vec, d = self.key, self.vec, self.dim
+        keep = list(keep)
+        fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [key] + keep)
+
+        def run(batches):
+            cen, qcl, block = bc.value
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                qkeys = b.column(key).to_pylist()
+                qi = np.array([cen.pos[q] for q in qkeys], dtype=np.int64)
+                x = matrix(b.column(vec), d)
+                lab = _assign(x, qi, cen.c, cen.valid)
+                want = np.array([qcl.get(q, -1) for q in qkeys])
+                sel = np.nonzero(lab == want)[0]
+                if len(sel) == 0:
+                    continue
+                xs = x[sel]
+                n = np.linalg.norm(xs, axis=1)
+                qv = block.unit[[block.pos[qkeys[i]] for i in sel]]
+                sim = np.where(n > 0, (xs * qv).sum(axis=1) / np.where(n > 0, n, 1), 0.0)
+                cols = [b.column(key).take(pa.array(sel))] + [b.column(c).take(pa.array(sel)) for c in keep]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(sim)], names=[key] + keep + ["similarity"])
+
+        return rows.select(key, *keep, vec).mapInArrow(run, f"{fields}, similarity double")
+
+
+def nearest(vec_col, centres_col="centres"):
+    """Expression form of the nearest-centre rule (for small checks and SQL parity)."""
+    v = F.col(vec_col) if isinstance(vec_col, str) else vec_col
+    return F.array_min(F.transform(F.col(centres_col), lambda s: F.struct(sq_dist(v, s["c"]).alias("d"), s["cid"].alias("cid"))))["cid"]

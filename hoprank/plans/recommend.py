@@ -14,17 +14,19 @@ fixed_weights    : 0.85 text / 0.15 CF, k=15 clusters, abv always, top 10 with n
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions.arrowvec import QueryBlock
 from ..operators import cf as CF
 from ..operators import kmeans as KM
 from ..operators import lsh as LSH
 from ..operators.knn import item_similarity, score_items
+from ..session import cut_lineage
 
 REC_COLUMNS = ["query_id", "beer", "score", "abv", "lsh_score", "lsh_score_weighted", "collab_score",
                "collab_score_weighted", "abv_diff", "abv_weight", "style_bonus", "weight_beta", "rank"]
@@ -38,7 +40,7 @@ class Model:
     planes: np.ndarray
     index: DataFrame | None = None   # table_id, bucket, id
     scale: str = "midpoint"
-    _cf_cache: dict = field(default_factory=dict)
+    candidates: str = "probe"        # probe | join
 
     @classmethod
     def build(cls, train: DataFrame, items: DataFrame, d: int, k: int = 8, L: int = 4, seed: int = 7) -> "Model":
@@ -46,23 +48,40 @@ class Model:
         return cls(train=train, items=items, planes=planes, index=LSH.build_index(train, planes))
 
 
-def lsh_candidates(model: Model, queries: DataFrame) -> DataFrame:
-    """(query_id, id, name, embedding) of every LSH candidate row."""
+def lsh_candidates(model: Model, queries: DataFrame, with_vectors: bool = True) -> DataFrame:
+    """(query_id, id, name, similarity[, embedding]) of every LSH candidate row.
+
+    probe: one map-only pass over the rows with the queries' keys broadcast
+    (used while the query block fits); join: index join + fetch by id.
+    """
+    if model.candidates == "probe" and fits_one_block(queries):
+        return LSH.probe_candidates(model.train, queries, model.planes, with_vectors=with_vectors)
     cands = LSH.query_index(model.index, queries, model.planes)
-    return LSH.fetch_candidates(cands, model.train)
+    rows = LSH.fetch_candidates(cands, model.train)
+    sims = LSH.candidate_similarity(rows, queries)
+    if with_vectors:
+        sims = sims.join(model.train.select("id", "embedding"), "id")
+    return sims
+
+
+def fits_one_block(queries: DataFrame) -> bool:
+    from ..functions.arrowvec import MAX_BLOCK_BYTES
+    n = queries.count()
+    d = queries.selectExpr("size(embedding) AS d").first()
+    return n * (int(d["d"]) if d else 1) * 8 <= MAX_BLOCK_BYTES
 
 
 def text_scores_lsh(model: Model, queries: DataFrame) -> DataFrame:
-    rows = lsh_candidates(model, queries)
-    return item_similarity(LSH.candidate_similarity(rows, queries))
+    return cut_lineage(item_similarity(lsh_candidates(model, queries, with_vectors=False)))
 
 
-def text_scores_cluster(model: Model, queries: DataFrame, n_clusters: int = 5, iters: int = 10, seed: int = 7) -> DataFrame:
-    rows = lsh_candidates(model, queries)
-    labelled, centres = KM.keyed_kmeans(rows, n_clusters, iters, seed)
-    qc = KM.assign_nearest(queries.select("query_id", "embedding"), centres)
-    kept = KM.same_cluster(labelled, qc)
-    return item_similarity(LSH.candidate_similarity(kept, queries))
+def text_scores_cluster(model: Model, queries: DataFrame, n_clusters: int = 5, iters: int = 20, seed: int = 7) -> DataFrame:
+    rows = lsh_candidates(model, queries).persist()
+    fitted = KM.keyed_kmeans(rows, n_clusters, iters, seed)
+    qb = QueryBlock.collect(queries.select("query_id", "embedding"))
+    out = cut_lineage(item_similarity(fitted.same_cluster_similarity(rows, qb)))
+    rows.unpersist()
+    return out
 
 
 def cf_parts(model: Model, queries: DataFrame, text: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +127,7 @@ def rank(df: DataFrame, score: str, n: int | None, key: str = "beer", digits: in
 
 
 def recommend(model: Model, queries: DataFrame, plan: str = "lsh_cf", n: int | None = 20,
-              n_clusters: int = 5, iters: int = 10, seed: int = 7) -> DataFrame:
+              n_clusters: int = 5, iters: int = 20, seed: int = 7) -> DataFrame:
     if plan == "lsh_cf":
         return hybrid(model, queries, text_scores_lsh(model, queries), n=n)
     if plan == "lsh_kmeans_cf":
@@ -128,7 +147,7 @@ def recommend(model: Model, queries: DataFrame, plan: str = "lsh_cf", n: int | N
 
 def bucket_score(model: Model, queries: DataFrame, n: int | None = None) -> DataFrame:
     """Score of the first candidate row per item in the whole bucket (not the mean)."""
-    rows = LSH.candidate_similarity(lsh_candidates(model, queries), queries)
+    rows = lsh_candidates(model, queries, with_vectors=False)
     first = rows.groupBy("query_id", "name").agg(F.min_by("similarity", "id").alias("lsh_score"))
     return hybrid(model, queries, first, n=n)
 

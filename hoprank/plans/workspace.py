@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions.vectors import vector_dim
 from ..operators import clean, split
+from ..session import ship_package
 from ..sources.io import materialize
 from .recommend import Model, queries_from_test
 
@@ -42,6 +43,7 @@ class Workspace:
         key = (spark.sparkContext.applicationId, sf_dir, materialized)
         if key in _LOADED:
             return _LOADED[key]
+        ship_package(spark)
         raw = fixtures.reviews_raw(spark, sf_dir)
         tag = "ws-" + hashlib.md5(f"{key[0]}|{sf_dir}".encode()).hexdigest()[:12]
 

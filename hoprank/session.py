@@ -35,9 +35,27 @@ def get_spark(app: str = "hoprank", cpus: int | None = None, conf: dict | None =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``hoprank`` importable in the Python workers (they unpickle our functions by module)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="hoprank-pkg-", dir="/tmp")
+    zip_base = os.path.join(out, "hoprank")
+    shutil.make_archive(zip_base, "zip", root_dir=os.path.dirname(pkg), base_dir="hoprank")
+    sc.addPyFile(zip_base + ".zip")
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only in local mode."""
     sc = spark.sparkContext
