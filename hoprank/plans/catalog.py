@@ -16,7 +16,10 @@ from ..operators import cf as CF
 from ..operators import clean, split
 from ..operators import lsh as LSH
 from . import oracle_sql as O
-from .recommend import recommend, REC_COLUMNS
+from ..operators import mining as MI
+from ..operators import themes as TH
+from . import evaluate as EV
+from .recommend import bucket_score, recommend
 from .workspace import Workspace
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +96,60 @@ def q_lsh_candidate_stats(spark, sf_dir):
     return LSH.bucket_stats(cands, model.train)
 
 
+def q_bucket_score(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    return rounded(bucket_score(ws.model(), ws.queries(True), n=20))
+
+
+def q_cf_neighbours(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    cells, users = _cf(ws)
+    return rounded(CF.neighbours(CF.user_similarity(cells, "cosine", users), 5))
+
+
+def q_cf_jaccard_neighbours(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    cells = CF.utility(ws.train, "like")
+    users = ws.test.select("reviewer").distinct()
+    return rounded(CF.neighbours(CF.user_similarity(cells, "jaccard", users), 5))
+
+
+MINING_SUPPORT = 0.5
+
+
+def q_frequent_pairs(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    return MI.frequent_pairs(ws.reviews, MINING_SUPPORT, item="brewery", user="reviewer", min_rating=2.5)
+
+
+def q_pair_recommender(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    return MI.pair_recommender(MI.frequent_pairs(ws.reviews, MINING_SUPPORT, item="brewery"))
+
+
+def q_item_top_terms(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    return TH.top_terms(ws.reviews, 100).withColumn("term_rank", F.col("term_rank").cast("long"))
+
+
+def q_recommend_notes(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    model = ws.model()
+    q = ws.queries(True)
+    recs = recommend(model, q, "fixed_weights", n=10)
+    return rounded(TH.with_notes(recs, ws.train, q))
+
+
+def q_evaluation_summary(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    return rounded(EV.evaluate(ws.model(), {False: ws.queries(False), True: ws.queries(True)}))
+
+
+def q_lsh_grid_search(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    return rounded(EV.grid_search(ws.model(), ws.queries(True)))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "clean_stage_counts": q_stage_counts,
@@ -109,6 +166,15 @@ def queries() -> dict[str, QueryFn]:
         "recommend_lsh_cf_info": _plan("lsh_cf", with_info=True),
         "recommend_lsh_kmeans_cf": _plan("lsh_kmeans_cf"),
         "recommend_lsh_kmeans_cf_info": _plan("lsh_kmeans_cf", with_info=True),
+        "recommend_bucket_score": q_bucket_score,
+        "recommend_fixed_weights_notes": q_recommend_notes,
+        "cf_neighbours": q_cf_neighbours,
+        "cf_jaccard_neighbours": q_cf_jaccard_neighbours,
+        "mining_frequent_pairs": q_frequent_pairs,
+        "mining_pair_recommender": q_pair_recommender,
+        "item_top_terms": q_item_top_terms,
+        "evaluation_summary": q_evaluation_summary,
+        "lsh_grid_search": q_lsh_grid_search,
     }
 
 
@@ -158,5 +224,44 @@ FROM queries q JOIN ranked r ON r.reviewer = q.reviewer WHERE r.rank <= 20""",
         "recommend_lsh_cf_info": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
                                    "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
                                    O.hybrid_sql("text")),
+        "recommend_bucket_score": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
+                                    "text AS (SELECT query_id, name, min_by(similarity, id) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
+                                    O.hybrid_sql("text")),
+        "cf_neighbours": W(*split_q, O.CF_SQL, """
+nb AS (SELECT u, v, sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC NULLS LAST, v) AS rank FROM sim)""")
+        + "SELECT u, v, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM nb WHERE rank <= 5",
+        "cf_jaccard_neighbours": W(*split_q, """
+lcells AS (SELECT reviewer, name, CAST(avg(CASE WHEN rating >= 3 THEN 1.0 ELSE 0.0 END) AS INTEGER) AS b
+           FROM train GROUP BY reviewer, name),
+bl AS (SELECT * FROM lcells WHERE b <> 0),
+sizes AS (SELECT reviewer, count(*) AS n FROM bl GROUP BY reviewer),
+inter AS (SELECT x.reviewer AS u, y.reviewer AS v, sum(x.b * y.b) AS both_, count(*) AS n_both
+          FROM bl x JOIN bl y ON x.name = y.name
+          WHERE x.reviewer IN (SELECT DISTINCT reviewer FROM test) GROUP BY x.reviewer, y.reviewer),
+jac AS (SELECT i.u, i.v, CAST(i.both_ AS DOUBLE) / CAST(su.n + sv.n - i.n_both AS DOUBLE) AS sim
+        FROM inter i JOIN sizes su ON su.reviewer = i.u JOIN sizes sv ON sv.reviewer = i.v),
+nb AS (SELECT u, v, sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC NULLS LAST, v) AS rank FROM jac)""")
+        + "SELECT u, v, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM nb WHERE rank <= 5",
+        "mining_frequent_pairs": W(*O.BASE, MINING_SQL) + "SELECT a, b, users FROM pairs",
+        "mining_pair_recommender": W(*O.BASE, MINING_SQL, """
+both_dirs AS (SELECT a AS item, b AS partner FROM pairs UNION ALL SELECT b, a FROM pairs)""")
+        + "SELECT item, list_sort(list(partner)) AS partners FROM both_dirs GROUP BY item",
+        "item_top_terms": W(*O.BASE, f"""
+runs AS (SELECT name, unnest(regexp_extract_all(lower(review_text), '{TH.WORD_RUN.replace(chr(92) + 'p{L}', chr(92) + 'pL').replace(chr(92) + 'p{N}', chr(92) + 'pN')}')) AS term FROM reviews),
+toks AS (SELECT name, term FROM runs WHERE regexp_full_match(term, '[a-z]{{2,}}')
+         AND term NOT IN ({", ".join("'" + w.replace("'", "''") + "'" for w in TH.stop_word_list())})),
+counts AS (SELECT name, term, count(*) AS n FROM toks GROUP BY name, term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, term) AS term_rank FROM counts)""")
+        + "SELECT name, term, n, CAST(term_rank AS BIGINT) AS term_rank FROM ranked WHERE term_rank <= 100",
     }
     return sql
+
+
+MINING_SQL = f"""
+b AS (SELECT DISTINCT reviewer AS u, brewery AS item FROM reviews WHERE rating >= 2.5),
+nu AS (SELECT count(DISTINCT u) AS n FROM b),
+f AS (SELECT item FROM b GROUP BY item HAVING count(*) > {MINING_SUPPORT} * (SELECT n FROM nu)),
+fb AS (SELECT * FROM b WHERE item IN (SELECT item FROM f)),
+pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS users FROM fb x JOIN fb y ON x.u = y.u AND x.item < y.item
+          GROUP BY x.item, y.item HAVING count(*) > {MINING_SUPPORT} * (SELECT n FROM nu))
+"""
