@@ -75,8 +75,11 @@ def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType)
             qi = np.array([cen.pos[q] for q in b.column(key).to_pylist()], dtype=np.int64)
             x = matrix(b.column(vec), d)
             lab = _assign(x, qi, cen.c, cen.valid)
-            np.add.at(sums, (qi, lab), x)
-            np.add.at(cnt, (qi, lab), 1)
+            flat = qi * k + lab
+            size = sums.shape[0] * k
+            for j in range(d):
+                sums[..., j] += np.bincount(flat, weights=x[:, j], minlength=size).reshape(-1, k)
+            cnt += np.bincount(flat, minlength=size).reshape(-1, k)
         qs, cs = np.nonzero(cnt)
         if len(qs):
             yield pa.RecordBatch.from_arrays(
@@ -87,7 +90,7 @@ def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType)
 
 
 def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 20, seed: int = 7, key: str = "query_id",
-                 vec: str = "embedding", dim: int | None = None) -> "KeyedKMeans":
+                 vec: str = "embedding", dim: int | None = None, tol: float = 1e-9) -> "KeyedKMeans":
     """K1: fit one k-means per key; returns the fitted centres (labels via ``KeyedKMeans.label``)."""
     spark = points.sparkSession
     dim = dim or vector_dim(points, vec)
@@ -105,7 +108,7 @@ def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 20, seed: int = 7,
         moved = np.abs(new - cen.c).max() if new.size else 0.0
         cen.c = new
         bc.unpersist()
-        if moved == 0.0:
+        if moved <= tol:
             break
     pts.unpersist()
     return KeyedKMeans(cen, key, vec, dim)
@@ -120,6 +123,26 @@ class KeyedKMeans:
                 for q, i in self.centres.pos.items() for j in range(self.centres.c.shape[1]) if self.centres.valid[i, j]]
         return spark.createDataFrame(rows, f"{self.key} string, cid int, c array<double>")
 
+    def labels(self, points: DataFrame) -> DataFrame:
+        """Points with their ``cluster`` (one Arrow pass, centres broadcast)."""
+        spark = points.sparkSession
+        bc = spark.sparkContext.broadcast(self.centres)
+        key, vec, d = self.key, self.vec, self.dim
+        other = [c for c in points.columns if c != vec]
+        fields = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in other)
+
+        def run(batches):
+            cen = bc.value
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                qi = np.array([cen.pos[q] for q in b.column(key).to_pylist()], dtype=np.int64)
+                lab = _assign(matrix(b.column(vec), d), qi, cen.c, cen.valid)
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in other] + [b.column(vec), pa.array(lab.astype(np.int32))],
+                                                 names=other + [vec, "cluster"])
+
+        return points.mapInArrow(run, f"{fields}, {vec} {points.schema[vec].dataType.simpleString()}, cluster int")
+
     def query_clusters(self, qb: QueryBlock) -> dict:
         """K2: nearest centre of each query vector (raw query vector, as the model sees it)."""
         out = {}

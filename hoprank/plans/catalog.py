@@ -19,7 +19,10 @@ from . import oracle_sql as O
 from ..operators import mining as MI
 from ..operators import themes as TH
 from . import evaluate as EV
-from .recommend import bucket_score, recommend
+from ..operators import cluster as KC
+from ..operators import kmeans as KM
+from ..operators.knn import item_profiles
+from .recommend import bucket_score, lsh_candidates, recommend
 from .workspace import Workspace
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -114,7 +117,7 @@ def q_cf_jaccard_neighbours(spark, sf_dir):
     return rounded(CF.neighbours(CF.user_similarity(cells, "jaccard", users), 5))
 
 
-MINING_SUPPORT = 0.5
+MINING_SUPPORT = 0.3
 
 
 def q_frequent_pairs(spark, sf_dir):
@@ -150,6 +153,42 @@ def q_lsh_grid_search(spark, sf_dir):
     return rounded(EV.grid_search(ws.model(), ws.queries(True)))
 
 
+def _clustered(ws: Workspace):
+    return KC.cluster_reviews(ws.train, k=25, max_features=300, seed=42)
+
+
+def q_cluster_distribution(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    cl, _ = _clustered(ws)
+    return KC.cluster_distribution(cl)
+
+
+def q_cluster_top_items(spark, sf_dir):
+    """Clusters predicted for the held-out reviews, then each cluster's best items."""
+    ws = Workspace.load(spark, sf_dir)
+    cl, model = _clustered(ws)
+    pred = KC.predict_cluster(model, ws.test.select("id", "abv", "review_text"))
+    return rounded(KC.top_items_per_cluster(KC.clusters_by_item(cl), ws.items, pred, 10))
+
+
+def q_bucket_projection(spark, sf_dir):
+    """2-d points of every query's candidate bucket with their k-means labels."""
+    ws = Workspace.load(spark, sf_dir)
+    model = ws.model()
+    q = ws.queries()
+    rows = lsh_candidates(model, q).select("query_id", "id", "embedding")
+    fitted = KM.keyed_kmeans(rows, 5)
+    labels = fitted.labels(rows)
+    return rounded(KC.project_bucket(labels, "embedding", 2))
+
+
+def q_latent_topn(spark, sf_dir):
+    """Item vectors (mean of review vectors) in a 10-d latent space; 5 nearest per held-out review."""
+    ws = Workspace.load(spark, sf_dir)
+    prof = item_profiles(ws.train).select("name", F.col("profile").alias("embedding"))
+    return rounded(KC.latent_topn(prof, ws.queries(), dims=10, n=5))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "clean_stage_counts": q_stage_counts,
@@ -175,6 +214,10 @@ def queries() -> dict[str, QueryFn]:
         "item_top_terms": q_item_top_terms,
         "evaluation_summary": q_evaluation_summary,
         "lsh_grid_search": q_lsh_grid_search,
+        "cluster_distribution": q_cluster_distribution,
+        "cluster_top_items": q_cluster_top_items,
+        "bucket_projection": q_bucket_projection,
+        "latent_topn": q_latent_topn,
     }
 
 
