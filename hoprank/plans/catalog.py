@@ -22,6 +22,8 @@ from . import evaluate as EV
 from ..operators import cluster as KC
 from ..operators import kmeans as KM
 from ..operators.knn import item_profiles
+from ..sources import pages as PG
+from pyspark.sql import Window
 from .recommend import bucket_score, lsh_candidates, recommend
 from .workspace import Workspace
 
@@ -189,6 +191,57 @@ def q_latent_topn(spark, sf_dir):
     return rounded(KC.latent_topn(prof, ws.queries(), dims=10, n=5))
 
 
+# ---------------------------------------------------------------- pages and crawl plans
+
+def _table(spark, sf_dir, name):
+    from ..fixtures import table
+    return table(spark, sf_dir, name)
+
+
+def q_page_links(spark, sf_dir):
+    return PG.page_links(_table(spark, sf_dir, "pages"))
+
+
+def q_page_taxonomy(spark, sf_dir):
+    return PG.extract_taxonomy(_table(spark, sf_dir, "pages"))
+
+
+def q_page_paragraphs(spark, sf_dir):
+    return PG.page_paragraphs(_table(spark, sf_dir, "pages"))
+
+
+RESUME_COUNTRY, RESUME_STYLE = "FRANCE", "PROMO"
+
+
+def _menus(spark, sf_dir):
+    countries = _table(spark, sf_dir, "nation").select(
+        F.lit("country").alias("menu"), F.col("n_nationkey").cast("int").alias("pos"),
+        F.lower("n_name").alias("name"), F.col("n_name").alias("text"))
+    types = _table(spark, sf_dir, "part").select(F.col("p_type").alias("text")).distinct()
+    styles = types.select(F.lit("style").alias("menu"),
+                          F.dense_rank().over(Window.orderBy("text")).cast("int").alias("pos"),
+                          F.lower(F.regexp_replace("text", " ", "-")).alias("name"), "text")
+    return PG.clean_options(styles), PG.clean_options(countries)
+
+
+def q_crawl_frontier(spark, sf_dir):
+    styles, countries = _menus(spark, sf_dir)
+    frontier = PG.crawl_frontier(styles, countries)
+    return PG.resume_frontier(frontier, RESUME_COUNTRY, RESUME_STYLE)
+
+
+def q_review_page_plan(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    items = ws.reviews.groupBy("name").agg(F.max("total_reviews").alias("count"))
+    return PG.page_plan(PG.filter_popular(items, "count"), "count")
+
+
+def q_location_split(spark, sf_dir):
+    ws = Workspace.load(spark, sf_dir)
+    short, rest = PG.split_location("location")
+    return ws.reviews.select("id", "location", short.alias("location_short"), rest.alias("location_rest"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "clean_stage_counts": q_stage_counts,
@@ -218,6 +271,12 @@ def queries() -> dict[str, QueryFn]:
         "cluster_top_items": q_cluster_top_items,
         "bucket_projection": q_bucket_projection,
         "latent_topn": q_latent_topn,
+        "page_links": q_page_links,
+        "page_taxonomy": q_page_taxonomy,
+        "page_paragraphs": q_page_paragraphs,
+        "crawl_frontier": q_crawl_frontier,
+        "review_page_plan": q_review_page_plan,
+        "reviews_location_split": q_location_split,
     }
 
 
@@ -296,10 +355,65 @@ toks AS (SELECT name, term FROM runs WHERE regexp_full_match(term, '[a-z]{{2,}}'
 counts AS (SELECT name, term, count(*) AS n FROM toks GROUP BY name, term),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, term) AS term_rank FROM counts)""")
         + "SELECT name, term, n, CAST(term_rank AS BIGINT) AS term_rank FROM ranked WHERE term_rank <= 100",
+        "page_links": W(PAGE_LINKS_SQL) + "SELECT page_id, pos, name, link FROM page_links WHERE name IS NOT NULL AND name <> ''",
+        "page_taxonomy": W(PAGE_LINKS_SQL, f"""
+heads AS (SELECT page_id, {_unescape_sql("trim(regexp_extract(html, '" + PG.HEADING + "', 1))")} AS heading FROM pages)""")
+        + """SELECT h.page_id, h.heading, l.pos, l.name, l.link FROM heads h JOIN page_links l ON l.page_id = h.page_id
+WHERE h.heading <> '' AND l.name IS NOT NULL AND l.name <> ''""",
+        "page_paragraphs": W(f"""
+consts AS (SELECT page_id, regexp_extract(html, '{PG.LANG}', 1) AS lang,
+  {_unescape_sql("trim(regexp_extract(html, '" + PG.TITLE + "', 1))")} AS title FROM pages),
+blocks AS (SELECT page_id, unnest(regexp_extract_all(html, '{PG.PARAGRAPH}', 0)) AS b,
+  generate_subscripts(regexp_extract_all(html, '{PG.PARAGRAPH}', 0), 1) - 1 AS pos FROM pages)""")
+        + f"""SELECT b.page_id, CAST(b.pos AS INTEGER) AS pos, c.lang, c.title,
+  coalesce(nullif({_strip_sql("regexp_extract(b.b, '" + PG.PARAGRAPH + "', 1)")}, ''), c.title) AS text
+FROM blocks b JOIN consts c ON c.page_id = b.page_id""",
+        "crawl_frontier": W(f"""
+countries AS (SELECT CAST(n_nationkey AS INTEGER) AS country_pos, lower(n_name) AS country_name, n_name AS country_text FROM nation
+  WHERE NOT starts_with(n_name, 'All ') AND n_name <> '---'),
+styles AS (SELECT CAST(dense_rank() OVER (ORDER BY p_type) AS INTEGER) AS style_pos,
+  lower(replace(p_type, ' ', '-')) AS style_name, p_type AS style_text FROM (SELECT DISTINCT p_type FROM part)
+  WHERE NOT starts_with(p_type, 'All ') AND p_type <> '---' AND NOT contains(p_type, 'Saké')),
+fr AS (SELECT c.*, s.*, printf('https://example.org/top/%s/%s', style_name, country_name) AS url FROM countries c, styles s),
+marks AS (SELECT min(CASE WHEN country_text = '{RESUME_COUNTRY}' THEN country_pos END) AS c0,
+  min(CASE WHEN style_text = '{RESUME_STYLE}' THEN style_pos END) AS s0 FROM fr)""")
+        + """SELECT fr.* FROM fr, marks WHERE marks.c0 IS NULL OR fr.country_pos > marks.c0
+  OR (fr.country_pos = marks.c0 AND (marks.s0 IS NULL OR fr.style_pos >= marks.s0))""",
+        "review_page_plan": W(*O.BASE, """
+items_n AS (SELECT name, max(total_reviews) AS count FROM reviews GROUP BY name HAVING max(total_reviews) > 10)""")
+        + "SELECT name, count, unnest(range(0, count // 100 + 1)) AS page FROM items_n",
+        "reviews_location_split": W(*O.BASE) + """SELECT id, location, coalesce(substring(location, 1, 2), 'Un') AS location_short,
+  coalesce(substring(location, 3), 'Unknown') AS location_rest FROM reviews""",
     }
     return sql
 
 
+def _unescape_sql(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def _strip_sql(x: str) -> str:
+    return f"trim({_unescape_sql(f'regexp_replace({x}, {chr(39)}<[^>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})"
+
+
+PAGE_LINKS_SQL = f"""
+lblocks AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{PG.LINK}', 0)) AS b,
+  generate_subscripts(regexp_extract_all(html, '{PG.LINK}', 0), 1) - 1 AS pos FROM pages),
+lparts AS (SELECT page_id, url, pos, {_unescape_sql("regexp_extract(b, '" + PG.LINK + "', 1)")} AS href,
+  {_unescape_sql("trim(regexp_extract(b, '" + PG.LINK + "', 2))")} AS name FROM lblocks),
+page_links AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, name,
+  CASE WHEN regexp_matches(href, '^https?://') THEN href
+       WHEN starts_with(href, '//') THEN concat(regexp_extract(url, '^(https?:)', 1), href)
+       WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), href)
+       ELSE concat(CASE WHEN regexp_extract(url, '^(https?://[^?#]*/)', 1) = ''
+                        THEN concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), '/')
+                        ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) END, href) END AS link
+  FROM lparts)
+"""
+
+
 MINING_SQL = f"""
 b AS (SELECT DISTINCT reviewer AS u, brewery AS item FROM reviews WHERE rating >= 2.5),
 nu AS (SELECT count(DISTINCT u) AS n FROM b),
