@@ -23,6 +23,7 @@ from ..operators import cluster as KC
 from ..operators import kmeans as KM
 from ..operators.knn import item_profiles
 from ..sources import pages as PG
+from ..operators import language as LG
 from pyspark.sql import Window
 from .recommend import bucket_score, lsh_candidates, recommend
 from .workspace import Workspace
@@ -242,6 +243,19 @@ def q_location_split(spark, sf_dir):
     return ws.reviews.select("id", "location", short.alias("location_short"), rest.alias("location_rest"))
 
 
+# ---------------------------------------------------------------- language
+
+def q_language_profile(spark, sf_dir):
+    return rounded(LG.train_language_profile(_table(spark, sf_dir, "documents")))
+
+
+def q_review_languages(spark, sf_dir):
+    """C11: language of every cleaned review (profile trained on the documents table); English kept."""
+    ws = Workspace.load(spark, sf_dir)
+    prof = LG.train_language_profile(_table(spark, sf_dir, "documents"))
+    return LG.keep_language(LG.detect_language(ws.reviews.select("id", "review_text"), prof)).select("id", "language")
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "clean_stage_counts": q_stage_counts,
@@ -277,6 +291,8 @@ def queries() -> dict[str, QueryFn]:
         "crawl_frontier": q_crawl_frontier,
         "review_page_plan": q_review_page_plan,
         "reviews_location_split": q_location_split,
+        "language_profile": q_language_profile,
+        "review_languages_en": q_review_languages,
     }
 
 
@@ -384,10 +400,36 @@ items_n AS (SELECT name, max(total_reviews) AS count FROM reviews GROUP BY name
         + "SELECT name, count, unnest(range(0, count // 100 + 1)) AS page FROM items_n",
         "reviews_location_split": W(*O.BASE) + """SELECT id, location, coalesce(substring(location, 1, 2), 'Un') AS location_short,
   coalesce(substring(location, 3), 'Unknown') AS location_rest FROM reviews""",
+        "language_profile": W(LANG_PROFILE_SQL) + "SELECT lang, gram, n, round(logp, 6) AS logp FROM profile",
+        "review_languages_en": W(*O.BASE, LANG_PROFILE_SQL, f"""
+texts AS (SELECT DISTINCT md5(review_text) AS k, review_text FROM reviews
+          WHERE review_text IS NOT NULL AND length(trim(review_text)) > 3),
+tg AS (SELECT k, g AS gram, count(*) AS c FROM (
+         SELECT k, unnest(CASE WHEN length(lower(review_text)) >= 3 THEN
+           [substring(lower(review_text), i, 3) FOR i IN range(1, length(lower(review_text)) - 1)] ELSE [] END) AS g
+         FROM texts) GROUP BY k, g),
+tot AS (SELECT k, sum(c) AS n_total FROM tg GROUP BY k),
+sums AS (SELECT tg.k, p.lang, sum(tg.c * (p.logp - ({LG.LOG_FLOOR}))) AS s FROM tg JOIN profile p ON p.gram = tg.gram GROUP BY tg.k, p.lang),
+scored AS (SELECT s.k, s.lang, round(s.s + t.n_total * ({LG.LOG_FLOOR}), 9) AS score FROM sums s JOIN tot t ON t.k = s.k),
+best AS (SELECT k, lang FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, lang DESC) AS r FROM scored) WHERE r = 1)""")
+        + """SELECT r.id, coalesce(b.lang, 'unknown') AS language FROM reviews r LEFT JOIN best b ON b.k = md5(r.review_text)
+WHERE r.review_text IS NOT NULL AND length(trim(r.review_text)) > 3 AND coalesce(b.lang, 'unknown') = 'en'""",
     }
     return sql
 
 
+LANG_PROFILE_SQL = f"""
+dgrams AS (SELECT lang, g AS gram FROM (
+  SELECT lang, unnest(CASE WHEN length(lower(text)) >= 3 THEN
+    [substring(lower(text), i, 3) FOR i IN range(1, length(lower(text)) - 1)] ELSE [] END) AS g FROM documents)),
+gcounts AS (SELECT lang, gram, count(*) AS n FROM dgrams GROUP BY lang, gram),
+gkept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM gcounts)
+          WHERE r <= {LG.TOP_GRAMS}),
+gtot AS (SELECT lang, sum(n) AS t FROM gkept GROUP BY lang),
+profile AS (SELECT k.lang, k.gram, k.n, ln(k.n / t.t) AS logp FROM gkept k JOIN gtot t ON t.lang = k.lang)
+"""
+
+
 def _unescape_sql(x: str) -> str:
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         x = f"replace({x}, '{ent}', '{ch}')"
