@@ -16,6 +16,7 @@ from ..operators import cf as CF
 from ..operators import clean, split
 from ..operators import lsh as LSH
 from . import oracle_sql as O
+from ..fixtures import REVIEWS_RAW_SQL
 from ..operators import mining as MI
 from ..operators import themes as TH
 from . import evaluate as EV
@@ -24,6 +25,9 @@ from ..operators import kmeans as KM
 from ..operators.knn import item_profiles
 from ..sources import pages as PG
 from ..operators import language as LG
+from ..session import table_path
+from ..streaming import streams as ST
+import os
 from pyspark.sql import Window
 from .recommend import bucket_score, lsh_candidates, recommend
 from .workspace import Workspace
@@ -256,6 +260,58 @@ def q_review_languages(spark, sf_dir):
     return LG.keep_language(LG.detect_language(ws.reviews.select("id", "review_text"), prof)).select("id", "language")
 
 
+# ---------------------------------------------------------------- streams
+
+def _stream_input(spark, sf_dir, ws: Workspace) -> tuple[str, object]:
+    """Raw reviews written once as files, one folder per review year (the stream's input)."""
+    import hashlib
+    base = table_path(spark, "stream-in-" + hashlib.md5(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()[:12])
+    raw = ws.raw.withColumn("year", F.substring("review_date", 1, 4))
+    if not _path_exists(spark, base):
+        raw.write.mode("overwrite").partitionBy("year").parquet(base)
+    return base, spark.read.parquet(base).schema
+
+
+def _path_exists(spark, path):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _fresh(spark, name):
+    import uuid
+    return table_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+def q_stream_clean(spark, sf_dir):
+    """The cleaning stream over the raw review files (availableNow) - equals batch C2/C3."""
+    ws = Workspace.load(spark, sf_dir)
+    src, schema = _stream_input(spark, sf_dir, ws)
+    out = _fresh(spark, "stream-clean")
+    ST.stream_reviews(spark, src, out, schema, name=os.path.basename(out)).awaitTermination()
+    return rounded(spark.read.parquet(out).drop("year"))
+
+
+def q_stream_dedupe(spark, sf_dir):
+    """R2 exact: first copy per key across micro-batches (one year folder per batch)."""
+    ws = Workspace.load(spark, sf_dir)
+    src, schema = _stream_input(spark, sf_dir, ws)
+    out = _fresh(spark, "stream-dedupe")
+    ST.stream_dedupe(spark, src, out, schema, name=os.path.basename(out)).awaitTermination()
+    return rounded(spark.read.option("basePath", out).parquet(out).drop("batch", "year"))
+
+
+def q_stream_index(spark, sf_dir):
+    """Index extended batch by batch; equals the batch-built index of the same rows."""
+    ws = Workspace.load(spark, sf_dir)
+    src = _fresh(spark, "stream-rows")
+    ws.train.select("id", "embedding", F.substring("review_date", 1, 4).alias("year")).write.partitionBy("year").parquet(src)
+    schema = spark.read.parquet(src).schema
+    out = _fresh(spark, "stream-index")
+    ST.stream_index(spark, src, out, schema, ws.model().planes, name=os.path.basename(out)).awaitTermination()
+    return ST.read_index(spark, out)
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "clean_stage_counts": q_stage_counts,
@@ -293,6 +349,9 @@ def queries() -> dict[str, QueryFn]:
         "reviews_location_split": q_location_split,
         "language_profile": q_language_profile,
         "review_languages_en": q_review_languages,
+        "stream_clean": q_stream_clean,
+        "stream_dedupe": q_stream_dedupe,
+        "stream_index": q_stream_index,
     }
 
 
@@ -414,10 +473,27 @@ scored AS (SELECT s.k, s.lang, round(s.s + t.n_total * ({LG.LOG_FLOOR}), 9) AS s
 best AS (SELECT k, lang FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, lang DESC) AS r FROM scored) WHERE r = 1)""")
         + """SELECT r.id, coalesce(b.lang, 'unknown') AS language FROM reviews r LEFT JOIN best b ON b.k = md5(r.review_text)
 WHERE r.review_text IS NOT NULL AND length(trim(r.review_text)) > 3 AND coalesce(b.lang, 'unknown') = 'en'""",
+        "stream_clean": W(REVIEWS_RAW_ONLY, f"""
+num AS (SELECT *, {O._num('rating')} AS rating_d, {O._num("regexp_replace(abv, '%+$', '')")} AS abv_d FROM reviews_raw)""")
+        + """SELECT id, name, brewery, subgenre, round(abv_d, 6) AS abv, location, round(rating_d, 6) AS rating,
+  round(average_rating, 6) AS average_rating, reviewer, review_date, review_text, algorithm_rating, total_reviews, vec_id
+FROM num WHERE rating_d IS NOT NULL AND NOT isnan(rating_d) AND NOT isinf(rating_d)
+  AND abv_d IS NOT NULL AND NOT isnan(abv_d) AND NOT isinf(abv_d)""",
+        "stream_index": W(*split_q, LSH_INDEX_SQL(planes)) + "SELECT table_id, bucket, id FROM idx",
     }
     return sql
 
 
+def LSH_INDEX_SQL(planes) -> str:
+    L = planes.shape[0]
+    parts = " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS table_id, {O.bucket_sql('embedding', planes, t)} AS bucket, id FROM train_v"
+                               for t in range(L))
+    return f"idx AS ({parts})"
+
+
+REVIEWS_RAW_ONLY = REVIEWS_RAW_SQL
+
+
 LANG_PROFILE_SQL = f"""
 dgrams AS (SELECT lang, g AS gram FROM (
   SELECT lang, unnest(CASE WHEN length(lower(text)) >= 3 THEN
