@@ -408,7 +408,7 @@ FROM queries q JOIN ranked r ON r.reviewer = q.reviewer WHERE r.rank <= 20""",
 nb AS (SELECT u, v, sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC NULLS LAST, v) AS rank FROM sim)""")
         + "SELECT u, v, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM nb WHERE rank <= 5",
         "cf_jaccard_neighbours": W(*split_q, """
-lcells AS (SELECT reviewer, name, CAST(avg(CASE WHEN rating >= 3 THEN 1.0 ELSE 0.0 END) AS INTEGER) AS b
+lcells AS (SELECT reviewer, name, CAST(trunc(avg(CASE WHEN rating >= 3 THEN 1.0 ELSE 0.0 END)) AS INTEGER) AS b
            FROM train GROUP BY reviewer, name),
 bl AS (SELECT * FROM lcells WHERE b <> 0),
 sizes AS (SELECT reviewer, count(*) AS n FROM bl GROUP BY reviewer),
