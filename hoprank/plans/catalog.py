@@ -215,7 +215,7 @@ def q_page_paragraphs(spark, sf_dir):
     return PG.page_paragraphs(_table(spark, sf_dir, "pages"))
 
 
-RESUME_COUNTRY, RESUME_STYLE = "FRANCE", "PROMO"
+RESUME_COUNTRY, RESUME_STYLE = "NATION_6", "PROMO"
 
 
 def _menus(spark, sf_dir):
