@@ -143,9 +143,9 @@ def predict(cells: DataFrame, sim: DataFrame, items: DataFrame | None = None, mo
 
 
 def cf_scores(train: DataFrame, users: DataFrame, items: DataFrame | None = None,
-              scale: str = "midpoint") -> tuple[DataFrame, DataFrame]:
+              scale: str = "midpoint", cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """CF part of the hybrid: (predictions for the given users, beta for them)."""
-    cells = utility(train, scale)
+    cells = cells if cells is not None else utility(train, scale)
     sim = user_similarity(cells, "cosine", users)
     pred = predict(cells, sim, items)
     betas = user_betas(_targets(cells, users))

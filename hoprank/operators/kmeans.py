@@ -27,13 +27,47 @@ from ..functions.vectors import elementwise_sum, sq_dist, vector_dim
 
 
 def init_centres(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", vec: str = "embedding") -> DataFrame:
-    """(key, cid, c): first k distinct vectors per key in seeded hash order (top-k per group, pre-limited)."""
+    """(key, cid, c): first k distinct vectors per key in seeded hash order (expression form, for checks)."""
     distinct = points.groupBy(key, vec).agg(F.min(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))).alias("_h"))
     w = Window.partitionBy(key).orderBy("_h")
     return (distinct.withColumn("cid", (F.row_number().over(w) - 1).cast("int")).filter(F.col("cid") < k)
             .select(key, "cid", F.col(vec).cast("array<double>").alias("c")))
 
 
+def init_rows(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", vec: str = "embedding",
+              first: int = 8) -> list:
+    """Same result as ``init_centres`` without grouping on vectors: the first m rows of each key
+    in hash order (a window that Spark pre-limits per partition) hold the first k distinct
+    vectors unless a key repeats vectors a lot; m doubles for those keys only.  The driver
+    receives at most keys x m vectors."""
+    h = points.select(key, vec, F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))).alias("_h"))
+    w = Window.partitionBy(key).orderBy("_h")
+    out, todo, m = [], None, max(first, k)
+    sizes = {r[key]: r["n"] for r in points.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
+    while True:
+        ktype = points.schema[key].dataType.simpleString()
+        src = h if todo is None else h.join(points.sparkSession.createDataFrame([(t,) for t in todo], f"{key} {ktype}"), key, "left_semi")
+        rows = src.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).collect()
+        by: dict = {}
+        for r in sorted(rows, key=lambda r: (str(r[key]), r["_r"])):
+            by.setdefault(r[key], []).append(tuple(r[vec]))
+        short = []
+        for q, vs in by.items():
+            seen = []
+            for v in vs:
+                if v not in seen:
+                    seen.append(v)
+                if len(seen) == k:
+                    break
+            if len(seen) < k and len(vs) < sizes[q]:
+                short.append(q)
+            else:
+                out.extend({key: q, "cid": i, "c": list(v)} for i, v in enumerate(seen))
+        if not short:
+            return out
+        todo, m = short, m * 2
+
+
 class Centres:
     """Dense (queries x k x d) centre tensor with a validity mask, kept on the driver."""
 
@@ -90,12 +124,18 @@ def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType)
 
 
 def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 20, seed: int = 7, key: str = "query_id",
-                 vec: str = "embedding", dim: int | None = None, tol: float = 1e-9) -> "KeyedKMeans":
+                 vec: str = "embedding", dim: int | None = None, tol: float = 1e-4) -> "KeyedKMeans":
     """K1: fit one k-means per key; returns the fitted centres (labels via ``KeyedKMeans.label``)."""
     spark = points.sparkSession
     dim = dim or vector_dim(points, vec)
     pts = points.select(key, "id", vec).persist()
-    cen = Centres.from_rows(init_centres(pts, k, seed, key, vec).collect(), k, dim, key)
+    cen = Centres.from_rows(init_rows(pts, k, seed, key, vec), k, dim, key)
+    # sklearn-style stop: squared centre shift below tol x mean per-dimension variance of each key's points
+    var = {r[key]: float(r["v"] or 0.0) for r in pts.groupBy(key).agg(
+        F.avg(F.aggregate(F.transform(F.col(vec), lambda x: x * x), F.lit(0.0), lambda a, b: a + b)).alias("ss"),
+        *[F.avg(F.col(vec)[j]).alias(f"m{j}") for j in range(dim)]).select(
+        key, ((F.col("ss") - sum(F.col(f"m{j}") * F.col(f"m{j}") for j in range(dim))) / dim).alias("v")).collect()}
+    limit = np.array([tol * var.get(q, 0.0) for q in cen.keys])
     key_type = pa.string() if points.schema[key].dataType.simpleString() == "string" else pa.int64()
     schema = f"{key} {points.schema[key].dataType.simpleString()}, cluster int, s array<double>, n long"
     for _ in range(iters):
@@ -105,10 +145,10 @@ def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 20, seed: int = 7,
         new = cen.c.copy()
         for r in tot:
             new[cen.pos[r[key]], r["cluster"]] = np.asarray(r["s"]) / r["n"]
-        moved = np.abs(new - cen.c).max() if new.size else 0.0
+        shift = ((new - cen.c) ** 2).sum(axis=(1, 2))
         cen.c = new
         bc.unpersist()
-        if moved <= tol:
+        if not len(shift) or (shift <= limit).all():
             break
     pts.unpersist()
     return KeyedKMeans(cen, key, vec, dim)

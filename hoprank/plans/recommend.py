@@ -41,6 +41,12 @@ class Model:
     index: DataFrame | None = None   # table_id, bucket, id
     scale: str = "midpoint"
     candidates: str = "probe"        # probe | join
+    cells: DataFrame | None = None   # utility table, written once per model
+
+    def utility(self) -> DataFrame:
+        if self.cells is None:
+            self.cells = cut_lineage(CF.utility(self.train, self.scale))
+        return self.cells
 
     @classmethod
     def build(cls, train: DataFrame, items: DataFrame, d: int, k: int = 8, L: int = 4, seed: int = 7) -> "Model":
@@ -88,7 +94,7 @@ def cf_parts(model: Model, queries: DataFrame, text: DataFrame) -> tuple[DataFra
     """CF predictions for exactly the (reviewer, item) pairs that need one, and betas."""
     need = text.join(queries.select("query_id", "reviewer"), "query_id").select("reviewer", "name").distinct()
     users = queries.select("reviewer").distinct()
-    return CF.cf_scores(model.train, users, need, model.scale)
+    return CF.cf_scores(model.train, users, need, model.scale, cells=model.utility())
 
 
 def hybrid(model: Model, queries: DataFrame, text: DataFrame, beta_mode: str = "log",
