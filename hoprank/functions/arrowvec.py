@@ -17,11 +17,16 @@ MAX_BLOCK_BYTES = 128 << 20
 
 
 def matrix(arr, d: int) -> np.ndarray:
-    """(rows x d) float64 matrix from an Arrow list<float|double> column without a Python loop."""
+    """(rows x d) float64 matrix from an Arrow list<float|double> column, or from packed
+    float32 bytes (``pack``), without a Python loop."""
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks) if arr.num_chunks != 1 else arr.chunk(0)
     if len(arr) == 0:
         return np.zeros((0, d))
+    if pa.types.is_binary(arr.type):
+        offs = np.frombuffer(arr.buffers()[1], dtype=np.int32)[arr.offset:arr.offset + len(arr) + 1]
+        raw = np.frombuffer(arr.buffers()[2], dtype=np.uint8)[offs[0]:offs[-1]]
+        return raw.view(np.float32).astype(np.float64).reshape(len(arr), d)
     if arr.null_count:
         rows = [np.zeros(d) if v is None else np.asarray(v, dtype=np.float64) for v in arr.to_pylist()]
         return np.stack(rows)
@@ -29,11 +34,31 @@ def matrix(arr, d: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(len(arr), d)
 
 
+def positions(col, keys_array: pa.Array) -> np.ndarray:
+    """Position of every value of ``col`` in ``keys_array`` (vectorised; -1 when absent)."""
+    import pyarrow.compute as pc
+    idx = pc.index_in(col, value_set=keys_array)
+    return np.asarray(idx.fill_null(-1).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
 def unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def pack(m: np.ndarray) -> pa.BinaryArray:
+    """Rows of a matrix as packed float32 bytes: Spark moves a binary value between the JVM
+    and Python with one copy, an array<float> element by element."""
+    n, d = m.shape
+    data = np.ascontiguousarray(m, dtype=np.float32).tobytes()
+    offsets = pa.py_buffer(np.arange(0, (n + 1) * d * 4, d * 4, dtype=np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(data)])
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=np.float32).astype(np.float64)
+
+
 def list_array(m: np.ndarray) -> pa.ListArray:
     """Arrow list<double> column from a (rows x d) matrix."""
     n, d = m.shape
@@ -60,6 +85,9 @@ class QueryBlock:
         m = matrix(tbl.column(vec), d) if n else np.zeros((0, d))
         return cls(ids=ids, unit=unit_rows(m), pos={q: i for i, q in enumerate(ids)}, raw=m)
 
+    def key_array(self) -> pa.Array:
+        return pa.array(list(self.ids))
+
 
 def cosine_to_queries(rows: DataFrame, qb: QueryBlock, key: str = "query_id", vec: str = "embedding",
                       keep=("id", "name")) -> DataFrame:
@@ -72,11 +100,12 @@ def cosine_to_queries(rows: DataFrame, qb: QueryBlock, key: str = "query_id", ve
 
     def run(batches):
         block = bc.value
+        keys = block.key_array()
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = matrix(b.column(vec), d)
-            qv = block.unit[[block.pos[q] for q in b.column(key).to_pylist()]]
+            qv = block.unit[positions(b.column(key), keys)]
             n = np.linalg.norm(x, axis=1)
             sim = np.where(n > 0, (x * qv).sum(axis=1) / np.where(n > 0, n, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in [key] + keep] + [pa.array(sim)],

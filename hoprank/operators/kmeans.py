@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrowvec import MAX_BLOCK_BYTES, QueryBlock, list_array, matrix
+from ..functions.arrowvec import MAX_BLOCK_BYTES, QueryBlock, list_array, matrix, positions, unpack
 from ..functions.vectors import elementwise_sum, sq_dist, vector_dim
 
 
@@ -50,7 +50,8 @@ def init_rows(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", v
         rows = src.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).collect()
         by: dict = {}
         for r in sorted(rows, key=lambda r: (str(r[key]), r["_r"])):
-            by.setdefault(r[key], []).append(tuple(r[vec]))
+            v = r[vec]
+            by.setdefault(r[key], []).append(bytes(v) if isinstance(v, (bytes, bytearray)) else tuple(v))
         short = []
         for q, vs in by.items():
             seen = []
@@ -62,7 +63,8 @@ def init_rows(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", v
             if len(seen) < k and len(vs) < sizes[q]:
                 short.append(q)
             else:
-                out.extend({key: q, "cid": i, "c": list(v)} for i, v in enumerate(seen))
+                out.extend({key: q, "cid": i, "c": unpack(v) if isinstance(v, bytes) else np.asarray(v, dtype=np.float64)}
+                           for i, v in enumerate(seen))
         if not short:
             return out
         todo, m = short, m * 2
@@ -101,12 +103,14 @@ def _assign(x: np.ndarray, qi: np.ndarray, cen: np.ndarray, valid: np.ndarray) -
 def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cen = bc.value
+        keys = pa.array(cen.keys)
         sums = np.zeros_like(cen.c)
+        sq = np.zeros(cen.valid.shape)
         cnt = np.zeros(cen.valid.shape, dtype=np.int64)
         for b in batches:
             if b.num_rows == 0:
                 continue
-            qi = np.array([cen.pos[q] for q in b.column(key).to_pylist()], dtype=np.int64)
+            qi = positions(b.column(key), keys)
             x = matrix(b.column(vec), d)
             lab = _assign(x, qi, cen.c, cen.valid)
             flat = qi * k + lab
@@ -114,12 +118,13 @@ def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType)
             for j in range(d):
                 sums[..., j] += np.bincount(flat, weights=x[:, j], minlength=size).reshape(-1, k)
             cnt += np.bincount(flat, minlength=size).reshape(-1, k)
+            sq += np.bincount(flat, weights=(x * x).sum(axis=1), minlength=size).reshape(-1, k)
         qs, cs = np.nonzero(cnt)
         if len(qs):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cen.keys[i] for i in qs], type=key_type), pa.array(cs.astype(np.int32)),
-                 list_array(sums[qs, cs]), pa.array(cnt[qs, cs])],
-                names=[key, "cluster", "s", "n"])
+                 list_array(sums[qs, cs]), pa.array(cnt[qs, cs]), pa.array(sq[qs, cs])],
+                names=[key, "cluster", "s", "n", "ss"])
     return run
 
 
@@ -127,24 +132,33 @@ def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 20, seed: int = 7,
                  vec: str = "embedding", dim: int | None = None, tol: float = 1e-4) -> "KeyedKMeans":
     """K1: fit one k-means per key; returns the fitted centres (labels via ``KeyedKMeans.label``)."""
     spark = points.sparkSession
-    dim = dim or vector_dim(points, vec)
+    if dim is None:
+        if dict(points.dtypes)[vec] == "binary":
+            row = points.select(F.length(vec).alias("n")).first()
+            dim = int(row["n"]) // 4 if row else 0
+        else:
+            dim = vector_dim(points, vec)
     pts = points.select(key, "id", vec).persist()
     cen = Centres.from_rows(init_rows(pts, k, seed, key, vec), k, dim, key)
-    # sklearn-style stop: squared centre shift below tol x mean per-dimension variance of each key's points
-    var = {r[key]: float(r["v"] or 0.0) for r in pts.groupBy(key).agg(
-        F.avg(F.aggregate(F.transform(F.col(vec), lambda x: x * x), F.lit(0.0), lambda a, b: a + b)).alias("ss"),
-        *[F.avg(F.col(vec)[j]).alias(f"m{j}") for j in range(dim)]).select(
-        key, ((F.col("ss") - sum(F.col(f"m{j}") * F.col(f"m{j}") for j in range(dim))) / dim).alias("v")).collect()}
-    limit = np.array([tol * var.get(q, 0.0) for q in cen.keys])
+    limit = None   # sklearn-style stop: squared centre shift <= tol x mean per-dimension variance
     key_type = pa.string() if points.schema[key].dataType.simpleString() == "string" else pa.int64()
-    schema = f"{key} {points.schema[key].dataType.simpleString()}, cluster int, s array<double>, n long"
+    schema = f"{key} {points.schema[key].dataType.simpleString()}, cluster int, s array<double>, n long, ss double"
     for _ in range(iters):
         bc = spark.sparkContext.broadcast(cen)
         part = pts.select(key, vec).mapInArrow(_partial_sums(key, vec, dim, k, bc, key_type), schema)
-        tot = part.groupBy(key, "cluster").agg(elementwise_sum("s", dim).alias("s"), F.sum("n").alias("n")).collect()
+        tot = part.groupBy(key, "cluster").agg(elementwise_sum("s", dim).alias("s"), F.sum("n").alias("n"),
+                                               F.sum("ss").alias("ss")).collect()
         new = cen.c.copy()
+        if limit is None:     # the first round also gives each key's variance (sums over all its points)
+            n_k, s_k, ss_k = np.zeros(len(cen.keys)), np.zeros((len(cen.keys), dim)), np.zeros(len(cen.keys))
         for r in tot:
-            new[cen.pos[r[key]], r["cluster"]] = np.asarray(r["s"]) / r["n"]
+            i = cen.pos[r[key]]
+            new[i, r["cluster"]] = np.asarray(r["s"]) / r["n"]
+            if limit is None:
+                n_k[i] += r["n"]; s_k[i] += np.asarray(r["s"]); ss_k[i] += r["ss"]
+        if limit is None:
+            mean = s_k / np.maximum(n_k, 1)[:, None]
+            limit = tol * np.maximum(ss_k / np.maximum(n_k, 1) - (mean * mean).sum(axis=1), 0.0) / dim
         shift = ((new - cen.c) ** 2).sum(axis=(1, 2))
         cen.c = new
         bc.unpersist()

@@ -155,6 +155,9 @@ def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, ve
                      keep=("id", "name"), with_vectors: bool = False) -> DataFrame:
     """L2 + L4 + L5 + cosine in one map-only pass (no index join, no vector shuffle).
 
+    ``with_vectors`` adds the row vector as packed float32 bytes (see ``arrowvec.pack``)
+    for the NumPy steps that follow (k-means); ``arrowvec.matrix`` reads both forms.
+
     The queries' bucket keys and unit vectors are one size-checked broadcast
     block.  Every row is hashed in its task; a row is a candidate of a query
     when any of the L keys match (set semantics: once per query).  Emits
@@ -162,7 +165,7 @@ def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, ve
     ``query_index`` + ``fetch_candidates`` + ``candidate_similarity``.
     """
     import pyarrow as pa
-    from ..functions.arrowvec import list_array, matrix
+    from ..functions.arrowvec import matrix, pack
 
     spark = rows.sparkSession
     qb = QueryBlock.collect(queries.select("query_id", vec), vec)
@@ -181,7 +184,7 @@ def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, ve
     keep = list(keep)
     qtype = queries.schema["query_id"].dataType.simpleString()
     fields = ", ".join([f"query_id {qtype}"] + [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep])
-    schema = fields + ", similarity double" + (f", {vec} array<double>" if with_vectors else "")
+    schema = fields + ", similarity double" + (f", {vec} binary" if with_vectors else "")
     pa_qtype = pa.string() if qtype == "string" else pa.int64()
 
     def run(batches):
@@ -210,7 +213,7 @@ def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, ve
             cols.append(pa.array(sim))
             names = ["query_id"] + keep + ["similarity"]
             if with_vectors:
-                cols.append(list_array(xs))
+                cols.append(pack(xs))
                 names.append(vec)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -185,7 +185,7 @@ def q_bucket_projection(spark, sf_dir):
     q = ws.queries()
     rows = lsh_candidates(model, q).select("query_id", "id", "embedding")
     fitted = KM.keyed_kmeans(rows, 5)
-    labels = fitted.labels(rows)
+    labels = fitted.labels(rows).drop("embedding").join(ws.train.select("id", "embedding"), "id")
     return rounded(KC.project_bucket(labels, "embedding", 2))
 
 
