@@ -152,6 +152,9 @@ def cf_scores(train: DataFrame, users: DataFrame, items: DataFrame | None = None
     return pred, betas
 
 
+MAX_FILL_NAMES = 200_000
+
+
 def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "midpoint") -> DataFrame:
     """F13 / plan D: the n best items for each known target user, as in the dense ranking.
 
@@ -180,8 +183,11 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "
     # zero-score items for users with fewer than n positives: the first names not predicted
     short = stats.filter(F.col("n_pos") < n)
     c_max = short.agg(F.max("nnz")).first()[0] or 0            # one scalar
+    if n + int(c_max) > MAX_FILL_NAMES:
+        raise ValueError(f"zero-score fill needs {n + int(c_max)} item names; above the {MAX_FILL_NAMES} bound")
     names = [r[0] for r in cells.select("name").distinct().orderBy("name").limit(n + int(c_max)).collect()]
-    # bounded by n + c_max names (checked above); shipped as a literal array
+    # bounded by n + c_max names (checked above): users short of n positive predictions have few
+    # non-zero ones, so the list stays small; shipped as a literal array
     lit_names = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     taken = (pred.join(short.select("reviewer"), "reviewer", "left_semi")
              .filter(F.col("name").isin(names) if names else F.lit(False))

@@ -30,12 +30,13 @@ def init_centres(points: DataFrame, k: int, seed: int = 7, key: str = "query_id"
     """(key, cid, c): first k distinct vectors per key in seeded hash order (expression form, for checks)."""
     distinct = points.groupBy(key, vec).agg(F.min(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))).alias("_h"))
     w = Window.partitionBy(key).orderBy("_h")
+    c = F.col(vec) if dict(points.dtypes)[vec] == "binary" else F.col(vec).cast("array<double>")
     return (distinct.withColumn("cid", (F.row_number().over(w) - 1).cast("int")).filter(F.col("cid") < k)
-            .select(key, "cid", F.col(vec).cast("array<double>").alias("c")))
+            .select(key, "cid", c.alias("c")))
 
 
 def init_rows(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", vec: str = "embedding",
-              first: int = 8) -> list:
+              first: int = 8, cap: int = 4096) -> list:
     """Same result as ``init_centres`` without grouping on vectors: the first m rows of each key
     in hash order (a window that Spark pre-limits per partition) hold the first k distinct
     vectors unless a key repeats vectors a lot; m doubles for those keys only.  The driver
@@ -68,6 +69,16 @@ def init_rows(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", v
         if not short:
             return out
         todo, m = short, m * 2
+        if m > cap:
+            # keys that repeat vectors heavily: distinct vectors by a distributed group-by,
+            # only for those keys (the driver receives k rows per key)
+            ktype = points.schema[key].dataType.simpleString()
+            rest = points.join(points.sparkSession.createDataFrame([(t,) for t in todo], f"{key} {ktype}"), key, "left_semi")
+            for r in init_centres(rest, k, seed, key, vec).collect():
+                c = r["c"]
+                out.append({key: r[key], "cid": r["cid"],
+                            "c": unpack(bytes(c)) if isinstance(c, (bytes, bytearray)) else np.asarray(c, dtype=np.float64)})
+            return out
 
 
 class Centres:

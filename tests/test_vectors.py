@@ -70,3 +70,10 @@ def test_keyed_kmeans_matches_numpy_lloyd(spark, data):
             c = np.stack([x[idx][lab == j].mean(0) if (lab == j).any() else c[j] for j in range(3)])
         got = fit.centres.c[fit.centres.pos[g]]
         assert np.allclose(got, c, atol=1e-9)
+
+
+def test_init_with_repeated_vectors_uses_distributed_path(spark):
+    rows = [(f"r{i}", "hot", [1.0, 0.0]) for i in range(300)] + [("x1", "hot", [0.0, 1.0]), ("x2", "hot", [1.0, 1.0])]
+    pts = spark.createDataFrame(rows, "id string, query_id string, embedding array<double>")
+    got = KM.init_rows(pts, 3, 7, first=2, cap=8)
+    assert sorted(tuple(r["c"]) for r in got) == [(0.0, 1.0), (1.0, 0.0), (1.0, 1.0)]
