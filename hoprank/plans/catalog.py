@@ -155,6 +155,13 @@ def q_evaluation_summary(spark, sf_dir):
     return rounded(EV.evaluate(ws.model(), {False: ws.queries(False), True: ws.queries(True)}))
 
 
+def q_evaluation_bcdf(spark, sf_dir):
+    """E1-E4 for the set-ups with a SQL statement (B, C, D, F)."""
+    ws = Workspace.load(spark, sf_dir)
+    out = EV.evaluate(ws.model(), {False: ws.queries(False), True: ws.queries(True)}, experiments=("B", "C", "D", "F"))
+    return rounded(out)
+
+
 def q_lsh_grid_search(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
     return rounded(EV.grid_search(ws.model(), ws.queries(True)))
@@ -336,6 +343,7 @@ def queries() -> dict[str, QueryFn]:
         "mining_pair_recommender": q_pair_recommender,
         "item_top_terms": q_item_top_terms,
         "evaluation_summary": q_evaluation_summary,
+        "evaluation_summary_bcdf": q_evaluation_bcdf,
         "lsh_grid_search": q_lsh_grid_search,
         "cluster_distribution": q_cluster_distribution,
         "cluster_top_items": q_cluster_top_items,
@@ -480,6 +488,33 @@ num AS (SELECT *, {O._num('rating')} AS rating_d, {O._num("regexp_replace(abv, '
 FROM num WHERE rating_d IS NOT NULL AND NOT isnan(rating_d) AND NOT isinf(rating_d)
   AND abv_d IS NOT NULL AND NOT isnan(abv_d) AND NOT isinf(abv_d)""",
         "stream_index": W(*split_q, LSH_INDEX_SQL(planes)) + "SELECT table_id, bucket, id FROM idx",
+        "evaluation_summary_bcdf": W(*O.SPLIT, O.queries_sql(False), O.queries_sql(True).replace("queries AS", "queries_i AS"),
+                                     O.CF_SQL, O.lsh_sql(planes),
+                                     "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
+                                     O.hybrid_ctes("text", "b_", "queries"), O.hybrid_ctes("text", "f_", "queries_i"), f"""
+c_scores AS (
+  SELECT q.query_id, t.name, avg({O.cosine_sql('t.embedding', 'q.embedding')}) AS cosine_score
+  FROM queries q, train_v t GROUP BY q.query_id, t.name),
+c_ranked AS (SELECT query_id, name AS beer, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine_score, 9) DESC, name) AS rank
+  FROM c_scores),
+known AS (SELECT DISTINCT reviewer FROM cells WHERE reviewer IN (SELECT reviewer FROM targets)),
+grid AS (SELECT k.reviewer, i.name FROM known k, (SELECT DISTINCT name FROM cells) i),
+dense AS (SELECT g.reviewer, g.name, coalesce(p.pred, 0.0) AS collab_score FROM grid g
+  LEFT JOIN pred p ON p.reviewer = g.reviewer AND p.name = g.name),
+d_user AS (SELECT *, row_number() OVER (PARTITION BY reviewer ORDER BY round(collab_score, 9) DESC, name) AS rank FROM dense),
+d_ranked AS (SELECT q.query_id, d.name AS beer, d.rank FROM queries q JOIN d_user d ON d.reviewer = q.reviewer),
+hits AS (
+  SELECT 'B' AS experiment, q.query_id, EXISTS (SELECT 1 FROM b_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) AS hit FROM queries q
+  UNION ALL SELECT 'C', q.query_id, EXISTS (SELECT 1 FROM c_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) FROM queries q
+  UNION ALL SELECT 'D', q.query_id, EXISTS (SELECT 1 FROM d_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) FROM queries q
+  UNION ALL SELECT 'F', q.query_id, EXISTS (SELECT 1 FROM f_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) FROM queries_i q),
+agg AS (SELECT experiment, count_if(hit) AS hits, count_if(NOT hit) AS misses FROM hits GROUP BY experiment)""")
+        + """SELECT experiment, hits, misses,
+  round(CASE WHEN hits + hits * 19 > 0 THEN hits / (hits + hits * 19.0) ELSE 0.0 END, 6) AS precision,
+  round(CASE WHEN hits + misses > 0 THEN hits / CAST(hits + misses AS DOUBLE) ELSE 0.0 END, 6) AS recall,
+  round(CASE WHEN hits + misses > 0 THEN 100.0 * hits / (hits + misses) END, 6) AS accuracy_pct,
+  CASE experiment WHEN 'B' THEN 'LSH/CF' WHEN 'C' THEN 'COSINE' WHEN 'D' THEN 'CF' WHEN 'F' THEN 'LSH/CF W info' END AS type
+FROM agg""",
     }
     return sql
 

@@ -117,28 +117,35 @@ def default_planes(d: int = 64) -> np.ndarray:
     return make_hyperplanes(d, LSH_K, LSH_L, SEED)
 
 
-def hybrid_sql(text_cte: str, n: int = 20) -> str:
-    """Hybrid score for text scores in ``text_cte`` (query_id, name, lsh_score)."""
+def hybrid_ctes(text_cte: str, prefix: str = "", queries: str = "queries") -> str:
+    """CTEs scoring (query_id, name, lsh_score) rows of ``text_cte``; ends in ``{prefix}ranked``."""
+    p = prefix
     return f"""
-scored AS (
+{p}scored AS (
   SELECT t.query_id, t.name AS beer, t.lsh_score, i.abv AS item_abv, i.subgenre, q.abv_desired, q.style_desired,
          CASE WHEN b.reviewer IS NULL THEN 1.0 ELSE b.beta END AS weight_beta,
          CASE WHEN b.reviewer IS NULL THEN 0.0 ELSE coalesce(p.pred, 0.0) END AS collab_score
-  FROM {text_cte} t JOIN queries q ON q.query_id = t.query_id
+  FROM {text_cte} t JOIN {queries} q ON q.query_id = t.query_id
   JOIN items i ON i.name = t.name
   LEFT JOIN betas b ON b.reviewer = q.reviewer
   LEFT JOIN pred p ON p.reviewer = q.reviewer AND p.name = t.name),
-parts AS (
+{p}parts AS (
   SELECT *,
     CASE WHEN abv_desired IS NULL OR abv_desired = 0 THEN 0.0
          ELSE -0.05 * ((item_abv - abv_desired) * (item_abv - abv_desired)) / (pow(abv_desired, 1.5) + 1) END AS abv_weight,
     CASE WHEN abv_desired IS NULL OR abv_desired = 0 THEN 0.0 ELSE abs(item_abv - abv_desired) END AS abv_diff,
     CASE WHEN style_desired IS NOT NULL AND style_desired <> '' AND subgenre = style_desired THEN 0.05 ELSE 0.0 END AS style_bonus
-  FROM scored),
-final AS (
-  SELECT *, weight_beta * lsh_score + (1 - weight_beta) * collab_score + abv_weight + style_bonus AS score FROM parts),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, beer) AS rank FROM final)
+  FROM {p}scored),
+{p}final AS (
+  SELECT *, weight_beta * lsh_score + (1 - weight_beta) * collab_score + abv_weight + style_bonus AS score FROM {p}parts),
+{p}ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, beer) AS rank FROM {p}final)
+"""
+
+
+def hybrid_sql(text_cte: str, n: int = 20) -> str:
+    """Hybrid score for text scores in ``text_cte`` (query_id, name, lsh_score)."""
+    return hybrid_ctes(text_cte) + f"""
 SELECT query_id, beer, round(score, 6) AS score, round(item_abv, 6) AS abv, round(lsh_score, 6) AS lsh_score,
        round(lsh_score * weight_beta, 6) AS lsh_score_weighted, round(collab_score, 6) AS collab_score,
        round(collab_score * (1 - weight_beta), 6) AS collab_score_weighted, round(abv_diff, 6) AS abv_diff,
