@@ -42,6 +42,8 @@ def utility(df: DataFrame, scale: str = "midpoint", user: str = "reviewer", item
         return rows.groupBy("reviewer", "name").agg(
             F.avg("rating").alias("r"), F.avg((F.col("rating") >= 3).cast("double")).alias("x"))
     cells = rows.groupBy("reviewer", "name").agg(F.avg("rating").alias("r"))
+    if scale == "raw":      # the mean-added variant measures similarity on the ratings themselves
+        return cells.withColumn("x", F.col("r"))
     if scale == "midpoint":
         return cells.withColumn("x", F.when(F.col("r") != 0, (F.col("r") - 3) / 2).otherwise(F.lit(0.0)))
     if scale == "user_mean":

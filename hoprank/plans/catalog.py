@@ -22,7 +22,7 @@ from ..operators import themes as TH
 from . import evaluate as EV
 from ..operators import cluster as KC
 from ..operators import kmeans as KM
-from ..operators.knn import item_profiles
+from ..operators.knn import item_profiles, knn_exact
 from ..sources import pages as PG
 from ..operators import language as LG
 from ..session import table_path
@@ -155,6 +155,49 @@ def q_evaluation_summary(spark, sf_dir):
     return rounded(EV.evaluate(ws.model(), {False: ws.queries(False), True: ws.queries(True)}))
 
 
+def q_cf_user_mean(spark, sf_dir):
+    """F3 + F10: mean-centred cells, plain prediction."""
+    ws = Workspace.load(spark, sf_dir)
+    cells = CF.utility(ws.train, "user_mean")
+    users = ws.test.select("reviewer").distinct()
+    return rounded(CF.predict(cells, CF.user_similarity(cells, "cosine", users)))
+
+
+def q_cf_mean_added(spark, sf_dir):
+    """similarity on raw ratings; user mean plus weighted neighbour deviations."""
+    ws = Workspace.load(spark, sf_dir)
+    cells = CF.utility(ws.train, "raw")
+    users = ws.test.select("reviewer").distinct()
+    return rounded(CF.predict(cells, CF.user_similarity(cells, "cosine", users), mode="mean_added"))
+
+
+def q_cf_zero_share(spark, sf_dir):
+    """F16: share of items with prediction exactly 0 per target user, and the linear beta."""
+    ws = Workspace.load(spark, sf_dir)
+    cells, users = _cf(ws)
+    return rounded(CF.zero_share(cells, CF.predict(cells, CF.user_similarity(cells, "cosine", users))))
+
+
+def q_rating_describe(spark, sf_dir):
+    """F17 over the cleaned ratings."""
+    return rounded(CF.describe(Workspace.load(spark, sf_dir).reviews, "rating"))
+
+
+def q_value_counts(spark, sf_dir):
+    """reviews per subgenre."""
+    return CF.value_counts(Workspace.load(spark, sf_dir).reviews, "subgenre")
+
+
+def q_lsh_quality(spark, sf_dir):
+    """Mean recall / precision of the LSH candidates against the exact 10 nearest rows."""
+    ws = Workspace.load(spark, sf_dir)
+    model = ws.model()
+    q = ws.queries()
+    cands = LSH.query_index(model.index, q, model.planes)
+    truth = knn_exact(ws.train.select("id", "embedding"), q, 10).select("query_id", "id")
+    return rounded(LSH.evaluate_lsh(cands, truth))
+
+
 def q_evaluation_bcdf(spark, sf_dir):
     """E1-E4 for the set-ups with a SQL statement (B, C, D, F)."""
     ws = Workspace.load(spark, sf_dir)
@@ -344,6 +387,12 @@ def queries() -> dict[str, QueryFn]:
         "item_top_terms": q_item_top_terms,
         "evaluation_summary": q_evaluation_summary,
         "evaluation_summary_bcdf": q_evaluation_bcdf,
+        "cf_user_mean_predictions": q_cf_user_mean,
+        "cf_mean_added_predictions": q_cf_mean_added,
+        "cf_zero_share": q_cf_zero_share,
+        "rating_describe": q_rating_describe,
+        "subgenre_value_counts": q_value_counts,
+        "lsh_quality": q_lsh_quality,
         "lsh_grid_search": q_lsh_grid_search,
         "cluster_distribution": q_cluster_distribution,
         "cluster_top_items": q_cluster_top_items,
@@ -488,6 +537,33 @@ num AS (SELECT *, {O._num('rating')} AS rating_d, {O._num("regexp_replace(abv, '
 FROM num WHERE rating_d IS NOT NULL AND NOT isnan(rating_d) AND NOT isinf(rating_d)
   AND abv_d IS NOT NULL AND NOT isnan(abv_d) AND NOT isinf(abv_d)""",
         "stream_index": W(*split_q, LSH_INDEX_SQL(planes)) + "SELECT table_id, bucket, id FROM idx",
+        "cf_user_mean_predictions": W(*O.SPLIT, CF_VARIANT_SQL("(avg(rating) - m)", "um")) + "SELECT reviewer, name, round(pred, 6) AS pred FROM pred_um",
+        "cf_mean_added_predictions": W(*O.SPLIT, CF_VARIANT_SQL("avg(rating)", "raw"), """
+means AS (SELECT reviewer, avg(r) AS m FROM cells_raw WHERE r <> 0 GROUP BY reviewer),
+smv AS (SELECT s.u, sum(s.sim * m.m) AS smv FROM sim_raw s JOIN means m ON m.reviewer = s.v GROUP BY s.u),
+num_r AS (SELECT s.u, c.name, sum(s.sim * c.r) AS num FROM sim_raw s JOIN cells_raw c ON c.reviewer = s.v GROUP BY s.u, c.name)""")
+        + """SELECT n.u AS reviewer, n.name, round(coalesce(mu.m, 0.0) + (n.num - coalesce(v.smv, 0.0)) / d.den, 6) AS pred
+FROM num_r n JOIN den_raw d ON d.u = n.u LEFT JOIN smv v ON v.u = n.u LEFT JOIN means mu ON mu.reviewer = n.u""",
+        "cf_zero_share": W(*O.SPLIT, O.CF_SQL, """
+nz AS (SELECT reviewer, count_if(pred <> 0) AS nz FROM pred GROUP BY reviewer),
+ni AS (SELECT count(DISTINCT name) AS n FROM cells)""")
+        + """SELECT reviewer, round(100.0 * (1 - nz / CAST((SELECT n FROM ni) AS DOUBLE)), 6) AS zero_pct,
+  round(0.6 + 0.004 * (100.0 * (1 - nz / CAST((SELECT n FROM ni) AS DOUBLE))), 6) AS beta FROM nz""",
+        "rating_describe": W(*O.BASE) + """SELECT count(rating) AS count, round(avg(rating), 6) AS mean, round(stddev_samp(rating), 6) AS std,
+  round(min(rating), 6) AS min, round(quantile_cont(rating, 0.25), 6) AS p25, round(quantile_cont(rating, 0.5), 6) AS p50,
+  round(quantile_cont(rating, 0.75), 6) AS p75, round(max(rating), 6) AS max FROM reviews""",
+        "subgenre_value_counts": W(*O.BASE) + "SELECT subgenre, count(*) AS count FROM reviews GROUP BY subgenre",
+        "lsh_quality": W(*split_q, O.lsh_sql(planes), f"""
+exact AS (SELECT q.query_id, t.id, {O.cosine_sql('t.embedding', 'q.embedding')} AS sim FROM queries q, train_v t),
+truth AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS r
+          FROM exact) WHERE r <= 10),
+c_n AS (SELECT query_id, count(*) AS n_c FROM cands GROUP BY query_id),
+t_n AS (SELECT query_id, count(*) AS n_t FROM truth GROUP BY query_id),
+both_ AS (SELECT c.query_id, count(*) AS hit FROM cands c JOIN truth t ON t.query_id = c.query_id AND t.id = c.id GROUP BY c.query_id),
+per_q AS (SELECT t.query_id, t.n_t, coalesce(c.n_c, 0) AS n_c, coalesce(b.hit, 0) AS hit
+          FROM t_n t LEFT JOIN c_n c ON c.query_id = t.query_id LEFT JOIN both_ b ON b.query_id = t.query_id)""")
+        + """SELECT round(avg(hit / CAST(n_t AS DOUBLE)), 6) AS mean_recall,
+  round(avg(CASE WHEN n_c = 0 THEN NULL ELSE hit / CAST(n_c AS DOUBLE) END), 6) AS mean_precision FROM per_q""",
         "evaluation_summary_bcdf": W(*O.SPLIT, O.queries_sql(False), O.queries_sql(True).replace("queries AS", "queries_i AS"),
                                      O.CF_SQL, O.lsh_sql(planes),
                                      "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
@@ -519,6 +595,30 @@ FROM agg""",
     return sql
 
 
+def CF_VARIANT_SQL(x_expr: str, tag: str) -> str:
+    """Cells with a given x, cosine similarity for the target users, plain prediction."""
+    t = tag
+    means = ("um_means AS (SELECT reviewer, avg(r) AS m FROM (SELECT reviewer, name, avg(rating) AS r FROM train "
+             "GROUP BY reviewer, name) WHERE r <> 0 GROUP BY reviewer),") if t == "um" else ""
+    src = ("(SELECT tr.*, coalesce(um.m, 0.0) AS m FROM train tr LEFT JOIN um_means um USING (reviewer))" if t == "um" else "train")
+    return f"""{means}
+cells_{t} AS (SELECT reviewer, name, avg(rating) AS r, CASE WHEN avg(rating) <> 0 THEN {x_expr} ELSE 0 END AS x
+              FROM {src} GROUP BY reviewer, name{', m' if t == 'um' else ''}),
+norms_{t} AS (SELECT reviewer, sqrt(sum(x * x)) AS n FROM cells_{t} WHERE x <> 0 GROUP BY reviewer),
+sim_{t} AS (
+  SELECT a.reviewer AS u, b.reviewer AS v, sum(a.x * b.x) / (nu.n * nv.n) AS sim
+  FROM cells_{t} a JOIN cells_{t} b ON a.name = b.name
+  JOIN norms_{t} nu ON nu.reviewer = a.reviewer JOIN norms_{t} nv ON nv.reviewer = b.reviewer
+  WHERE a.reviewer IN (SELECT DISTINCT reviewer FROM test) AND a.x <> 0 AND b.x <> 0
+  GROUP BY a.reviewer, b.reviewer, nu.n, nv.n),
+den_{t} AS (SELECT u, sum(abs(sim)) + 1e-8 AS den FROM sim_{t} GROUP BY u),
+pred_{t} AS (
+  SELECT s.u AS reviewer, c.name, sum(s.sim * c.x) / d.den AS pred
+  FROM sim_{t} s JOIN cells_{t} c ON c.reviewer = s.v JOIN den_{t} d ON d.u = s.u
+  GROUP BY s.u, c.name, d.den)
+"""
+
+
 def LSH_INDEX_SQL(planes) -> str:
     L = planes.shape[0]
     parts = " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS table_id, {O.bucket_sql('embedding', planes, t)} AS bucket, id FROM train_v"
