@@ -137,6 +137,13 @@ def q_pair_recommender(spark, sf_dir):
     return MI.pair_recommender(MI.frequent_pairs(ws.reviews, MINING_SUPPORT, item="brewery"))
 
 
+def q_pair_lookup(spark, sf_dir):
+    """M5: partners of the breweries of the held-out reviews."""
+    ws = Workspace.load(spark, sf_dir)
+    adj = MI.pair_recommender(MI.frequent_pairs(ws.reviews, MINING_SUPPORT, item="brewery"))
+    return MI.recommend_pairs(adj, ws.test.select(F.col("brewery").alias("item")))
+
+
 def q_item_top_terms(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
     return TH.top_terms(ws.reviews, 100).withColumn("term_rank", F.col("term_rank").cast("long"))
@@ -384,6 +391,7 @@ def queries() -> dict[str, QueryFn]:
         "cf_jaccard_neighbours": q_cf_jaccard_neighbours,
         "mining_frequent_pairs": q_frequent_pairs,
         "mining_pair_recommender": q_pair_recommender,
+        "mining_pair_lookup": q_pair_lookup,
         "item_top_terms": q_item_top_terms,
         "evaluation_summary": q_evaluation_summary,
         "evaluation_summary_bcdf": q_evaluation_bcdf,
@@ -480,6 +488,10 @@ nb AS (SELECT u, v, sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC NUL
         "mining_pair_recommender": W(*O.BASE, MINING_SQL, """
 both_dirs AS (SELECT a AS item, b AS partner FROM pairs UNION ALL SELECT b, a FROM pairs)""")
         + "SELECT item, list_sort(list(partner)) AS partners FROM both_dirs GROUP BY item",
+        "mining_pair_lookup": W(*O.SPLIT, MINING_SQL, """
+both_dirs AS (SELECT a AS item, b AS partner FROM pairs UNION ALL SELECT b, a FROM pairs),
+adj AS (SELECT item, list_sort(list(partner)) AS partners FROM both_dirs GROUP BY item)""")
+        + "SELECT a.item, a.partners FROM adj a WHERE a.item IN (SELECT DISTINCT brewery FROM test)",
         "item_top_terms": W(*O.BASE, f"""
 runs AS (SELECT name, unnest(regexp_extract_all(lower(review_text), '{TH.WORD_RUN.replace(chr(92) + 'p{L}', chr(92) + 'pL').replace(chr(92) + 'p{N}', chr(92) + 'pN')}')) AS term FROM reviews),
 toks AS (SELECT name, term FROM runs WHERE regexp_full_match(term, '[a-z]{{2,}}')
