@@ -17,6 +17,7 @@ from ..functions.vectors import vector_dim
 from ..operators import clean, split
 from ..session import ship_package
 from ..sources.io import materialize
+from .sizing import broadcast_if_small
 from .recommend import Model, queries_from_test
 
 # Fixed test settings (small-scale counterparts of the final d=384, k=13, L=30)
@@ -58,8 +59,10 @@ class Workspace:
                                            min_rating=MIN_RATING)
 
         test = keep("test", lambda: fixtures.with_embedding(spark, sf_dir, build_split()[1]))
-        train = keep("train", lambda: fixtures.with_embedding(
-            spark, sf_dir, reviews.join(test.select("id"), "id", "left_anti")))
+        # train = reviews minus the held-out rows: a lazy anti-join (broadcast after a size
+        # check), not a second full copy of the table
+        held_out = broadcast_if_small(test.select("id"), "held-out ids") if materialized else test.select("id")
+        train = fixtures.with_embedding(spark, sf_dir, reviews.join(held_out, "id", "left_anti"))
         dim = vector_dim(fixtures.table(spark, sf_dir, "embeddings"))
         ws = cls(spark, sf_dir, raw, reviews, items, train, test, dim)
         _LOADED[key] = ws
