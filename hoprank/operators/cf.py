@@ -157,7 +157,8 @@ def cf_scores(train: DataFrame, users: DataFrame, items: DataFrame | None = None
 MAX_FILL_NAMES = 200_000
 
 
-def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "midpoint") -> DataFrame:
+def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "midpoint",
+                 cells: DataFrame | None = None) -> DataFrame:
     """F13 / plan D: the n best items for each known target user, as in the dense ranking.
 
     In the dense form every item has a score; items without a non-zero
@@ -166,7 +167,7 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "
     order, then negative predictions - without building the user x item grid.
     Rated items are not removed.  Unknown users get no rows.
     """
-    cells = utility(train, scale)
+    cells = cells if cells is not None else utility(train, scale)
     sim = user_similarity(cells, "cosine", users)
     # targets x items at most; reused by several steps below, so written once
     pred = cut_lineage(predict(cells, sim).filter(F.col("pred") != 0))

@@ -142,7 +142,7 @@ def recommend(model: Model, queries: DataFrame, plan: str = "lsh_cf", n: int | N
         return score_items(model.train, queries, n).withColumnRenamed("name", "beer")
     if plan == "cf":
         users = queries.select("reviewer").distinct()
-        ranked = CF.recommend_cf(model.train, users, n or 20, model.scale)
+        ranked = CF.recommend_cf(model.train, users, n or 20, model.scale, cells=model.utility())
         return queries.select("query_id", "reviewer").join(ranked, "reviewer").select(
             "query_id", F.col("name").alias("beer"), "collab_score", "rank")
     if plan == "fixed_weights":
