@@ -108,18 +108,22 @@ def hybrid(model: Model, queries: DataFrame, text: DataFrame, beta_mode: str = "
          .join(model.items.select("name", F.col("abv").alias("item_abv"), "subgenre"), "name"))
     if beta_mode == "fixed":
         beta = F.when(F.col("known"), F.lit(S.FIXED_BETA)).otherwise(F.lit(1.0))
+    elif beta_mode == "sum":      # H7, first version: text + cf with weights 1 and 1
+        beta = F.lit(None).cast("double")
     else:
         beta = F.coalesce(F.col("b"), F.lit(1.0))                 # H8: unknown user -> beta 1, cf 0
     cf = F.when(F.col("known"), F.coalesce(F.col("cf"), F.lit(0.0))).otherwise(F.lit(0.0))
     want = F.col("abv_desired")
     abv_w = S.abv_penalty("item_abv", want, zero_is_wish=zero_is_wish)
     bonus = S.style_bonus("subgenre", "style_desired") if use_style else F.lit(0.0)
+    score = (S.hybrid_score("lsh_score", "collab_score", "weight_beta", "abv_weight", "style_bonus") if beta_mode != "sum"
+             else F.col("lsh_score") + F.col("collab_score") + F.col("abv_weight") + F.col("style_bonus"))
     out = (t.withColumn("weight_beta", beta).withColumn("collab_score", cf)
            .withColumn("abv_weight", abv_w).withColumn("style_bonus", bonus)
-           .withColumn("score", S.hybrid_score("lsh_score", "collab_score", "weight_beta", "abv_weight", "style_bonus"))
+           .withColumn("score", score)
            .select("query_id", F.col("name").alias("beer"), "score", F.col("item_abv").alias("abv"), "lsh_score",
-                   (F.col("lsh_score") * F.col("weight_beta")).alias("lsh_score_weighted"), "collab_score",
-                   (F.col("collab_score") * (1 - F.col("weight_beta"))).alias("collab_score_weighted"),
+                   (F.col("lsh_score") * F.coalesce("weight_beta", F.lit(1.0))).alias("lsh_score_weighted"), "collab_score",
+                   (F.col("collab_score") * F.coalesce(1 - F.col("weight_beta"), F.lit(1.0))).alias("collab_score_weighted"),
                    S.abv_diff("item_abv", want, zero_is_wish).alias("abv_diff"), "abv_weight", "style_bonus",
                    "weight_beta"))
     return rank(out, "score", n)
