@@ -75,12 +75,14 @@ class QueryBlock:
 
     @classmethod
     def collect(cls, queries: DataFrame, vec: str = "embedding", key: str = "query_id") -> "QueryBlock":
-        n = queries.count()
+        """At most MAX_BLOCK_BYTES of query vectors reach the driver: the read itself is limited."""
         d_row = queries.selectExpr(f"size({vec}) AS d").first()
         d = int(d_row["d"]) if d_row else 0
-        if n * max(d, 1) * 8 > MAX_BLOCK_BYTES:
-            raise ValueError(f"{n} query vectors of width {d} exceed one broadcast block; split the queries")
-        tbl = queries.select(key, vec).toArrow()
+        cap = MAX_BLOCK_BYTES // (max(d, 1) * 8)
+        tbl = queries.select(key, vec).limit(cap + 1).toArrow()
+        n = tbl.num_rows
+        if n > cap:
+            raise ValueError(f"more than {cap} query vectors of width {d}: above one broadcast block; split the queries")
         ids = np.asarray(tbl.column(key).to_pylist(), dtype=object)
         m = matrix(tbl.column(vec), d) if n else np.zeros((0, d))
         return cls(ids=ids, unit=unit_rows(m), pos={q: i for i, q in enumerate(ids)}, raw=m)

@@ -152,7 +152,7 @@ def candidate_similarity(cand_rows: DataFrame, queries: DataFrame, vec: str = "e
 
 
 def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, vec: str = "embedding",
-                     keep=("id", "name"), with_vectors: bool = False) -> DataFrame:
+                     keep=("id", "name"), with_vectors: bool = False, qb: QueryBlock | None = None) -> DataFrame:
     """L2 + L4 + L5 + cosine in one map-only pass (no index join, no vector shuffle).
 
     ``with_vectors`` adds the row vector as packed float32 bytes (see ``arrowvec.pack``)
@@ -168,7 +168,7 @@ def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, ve
     from ..functions.arrowvec import matrix, pack
 
     spark = rows.sparkSession
-    qb = QueryBlock.collect(queries.select("query_id", vec), vec)
+    qb = qb or QueryBlock.collect(queries.select("query_id", vec), vec)
     L, k, d = planes.shape
     flat = planes.reshape(L * k, d).T.copy()
     weights = (1 << np.arange(k - 1, -1, -1, dtype=np.int64))

@@ -60,8 +60,13 @@ def lsh_candidates(model: Model, queries: DataFrame, with_vectors: bool = True)
     probe: one map-only pass over the rows with the queries' keys broadcast
     (used while the query block fits); join: index join + fetch by id.
     """
-    if model.candidates == "probe" and fits_one_block(queries):
-        return LSH.probe_candidates(model.train, queries, model.planes, with_vectors=with_vectors)
+    if model.candidates == "probe":
+        try:
+            qb = QueryBlock.collect(queries.select("query_id", "embedding"))
+        except ValueError:          # too many queries for one block: index join
+            qb = None
+        if qb is not None:
+            return LSH.probe_candidates(model.train, queries, model.planes, with_vectors=with_vectors, qb=qb)
     cands = LSH.query_index(model.index, queries, model.planes)
     rows = LSH.fetch_candidates(cands, model.train)
     sims = LSH.candidate_similarity(rows, queries)
@@ -70,13 +75,6 @@ def lsh_candidates(model: Model, queries: DataFrame, with_vectors: bool = True)
     return sims
 
 
-def fits_one_block(queries: DataFrame) -> bool:
-    from ..functions.arrowvec import MAX_BLOCK_BYTES
-    n = queries.count()
-    d = queries.selectExpr("size(embedding) AS d").first()
-    return n * (int(d["d"]) if d else 1) * 8 <= MAX_BLOCK_BYTES
-
-
 def text_scores_lsh(model: Model, queries: DataFrame) -> DataFrame:
     return cut_lineage(item_similarity(lsh_candidates(model, queries, with_vectors=False)))
 
