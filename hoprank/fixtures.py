@@ -43,8 +43,10 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     # only the 200-character prefix of a document is a review text: cut before the join
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.substring("text", 1, 200).alias("review_text"))
-    # review count per item: partial aggregate + join, not a window over a hot item
-    per_item = r.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("total_reviews"))
+    # review count per item (planted copies included) from one scan of lineitem: a partial
+    # aggregate joined back, not a window over a hot item (every lineitem has its order)
+    per_item = li.groupBy("l_partkey").agg(
+        (F.count(F.lit(1)) + F.count_if(F.col("l_orderkey") % 50 == 0)).alias("total_reviews"))
 
     q = F.col("q")
     out = (r.join(part, r.l_partkey == part.p_partkey)
