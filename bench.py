@@ -52,7 +52,7 @@ def main():
         return spark.read.parquet(path)
 
     model.index = timed("index_build", build_index)
-    timed("lsh_candidates", lambda: run(LSH.query_index(model.index, queries, model.planes)))
+    n_cands = timed("lsh_candidates", lambda: LSH.query_index(model.index, queries, model.planes).count())
     users = queries.select("reviewer").distinct()
     timed("cf_predictions", lambda: run(CF.cf_scores(ws.train, users)[0]))
     n_q = queries.count()
@@ -69,6 +69,7 @@ def main():
     times["hash_k13_L30"] = round(dt, 3)
     extra["rows_hashed_per_sec_k13_L30"] = round(n_rows / dt, 1)
     extra["n_queries"] = n_q
+    extra["candidates_per_query"] = round(n_cands / max(n_q, 1), 1)
     extra["train_rows"] = n_rows
 
     total = round(sum(times.values()), 3)
