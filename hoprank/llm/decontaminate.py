@@ -207,5 +207,5 @@ def leak_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a leaked passage go."""
     out = leaks(docs, C.table(spark, sf_dir, "benchmark")).select(
         F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-                     & (C.text_key(F.col("text")) == F.col("_t")), "left_anti")
+    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_d"])
+                     & (C.text_key(docs["text"]) == out["_t"]), "left_anti")

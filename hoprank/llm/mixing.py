@@ -23,7 +23,7 @@ looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -35,6 +35,12 @@ POINTS, GOLDEN = 2**31, 1327217885
 BINS, CHUNK = 4096, 65536
 
 
+def _place(doc_id: Column, text: Column) -> Column:
+    """Where a document stands in the shuffled order of its source."""
+    return F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"),
+                          F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, source, size, and the place in the shuffled order of the source."""
     text = F.coalesce("text", F.lit(""))
@@ -42,8 +48,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(C.WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)
-              .cast("binary")).alias("place")), "sizes")
+        _place(F.col("doc_id"), F.col("text")).alias("place")), "sizes")
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -146,12 +151,11 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = (mix(docs).withColumn("_n", F.expr("if(size > 0, int((2 * taken + size) div (2 * size)), 0)"))
               .filter("_n > 0").groupBy(F.col("doc_id").alias("_d"), F.col("place").alias("_p"),
                                         F.col("source").alias("_s")).agg(F.max("_n").alias("_n")))
-    place = F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"),
-                           F.coalesce("text", F.lit(""))).cast("binary"))
-    joined = docs.withColumn("_place", place).join(
-        copies, (F.col("_place") == F.col("_p")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1, _n)"))).select(*docs.columns)
+    own = [docs[c] for c in docs.columns]
+    joined = docs.join(copies, (_place(docs["doc_id"], docs["text"]) == copies["_p"])
+                       & docs["doc_id"].cast("long").eqNullSafe(copies["_d"])
+                       & docs["source"].cast("string").eqNullSafe(copies["_s"]))
+    return joined.select(*own, F.explode(F.sequence(F.lit(1), copies["_n"])).alias("_copy")).select(*own)
 
 
 SQL = rf"""

@@ -154,9 +154,9 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass; rows are told apart by doc_id, source and text."""
     out = judge(docs).filter(~F.col("kept")).select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-                     & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-                     & (C.text_key(F.col("text")) == F.col("_t")), "left_anti")
+    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_d"])
+                     & docs["source"].cast("string").eqNullSafe(out["_s"])
+                     & (C.text_key(docs["text"]) == out["_t"]), "left_anti")
 
 
 SQL = r"""

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB statements."""
 
-from . import decontaminate, minhash, mixing, quality, repeats, secrets, tokens, urls, warc
+from . import chat, decontaminate, minhash, mixing, quality, repeats, secrets, tokens, urls, warc
 
 QUERIES = {
     "op1_warc_zip_archive": warc.warc_query,
     "op2_debruijn_repeats": repeats.repeats_query,
+    "op3_budgeted_windows": chat.chat_query,
     "op4_minhash_near_dedup": minhash.near_dup_query,
     "op5_orc_token_ids": tokens.token_query,
     "op6_host_reputation": urls.url_query,
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_warc_zip_archive": warc.SQL,
     "op2_debruijn_repeats": repeats.SQL,
+    "op3_budgeted_windows": chat.SQL,
     "op4_minhash_near_dedup": minhash.SQL,
     "op6_host_reputation": urls.SQL,
     "op9_low_discrepancy_mix": mixing.SQL,
