@@ -6,15 +6,19 @@ written under the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import logging
 import os
+import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import table_path
 
+log = logging.getLogger(__name__)
+
 # reviews_raw: text columns stay text until cleaning
 REVIEWS_RAW = StructType([
     StructField("id", StringType()), StructField("name", StringType()), StructField("brewery", StringType()),
@@ -59,38 +63,40 @@ def append_reviews(df: DataFrame, table: str, field_map: dict | None = None, **l
     if field_map:
         df = df.select(*[F.col(src).alias(dst) for src, dst in field_map.items()])
     df = with_batch_labels(df, **labels)
-    if df.isEmpty():
-        print(f"append_reviews: empty batch for {table}; nothing written")
-        return 0
     target = df.sparkSession.table(table)
     cols = [c for c in target.columns]
     out = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in cols])
-    n = out.count()
-    out.write.mode("append").insertInto(table)
+    seen = Observation()
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(table)     # one pass: write and count
+    n = seen.get["n"]
+    if not n:
+        log.info("append_reviews: empty batch for %s; nothing written", table)
     return n
 
 
 def with_surrogate_key(df: DataFrame, name: str = "id", start: int = 0) -> DataFrame:
     """Dense 0-based row numbers without a single-partition window.
 
-    Per-partition counts (one small job) give each partition its offset; the
-    key is offset + position inside the partition.  ``start`` continues an
-    existing table (its stored max + 1).
+    The rows are written once with their partition and place in it, so that the job
+    which counts the partitions and the one which numbers the rows see the same layout
+    whatever adaptive execution does.  Partitions of a sorted table are in its order, so
+    the numbers are as well.  ``start`` continues an existing table (its stored max + 1).
     """
-    with_pid = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    rows = counts.orderBy("_pid").collect()     # one row per partition
-    offsets, acc = [], start
-    for r in rows:
-        offsets.append((r["_pid"], acc, r["_first"]))
-        acc += r["_n"]
     spark = df.sparkSession
-    off = spark.createDataFrame(offsets, "_pid int, _off long, _first long")
-    return (with_pid.join(F.broadcast(off), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
+    path = table_path(spark, f"keyed-{uuid.uuid4().hex[:12]}")
+    df.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}).write.parquet(path)
+    rows = spark.read.schema(_keyed_schema(df.schema)).parquet(path)
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)     # one row per partition
+    offsets = counts.select("_pid", "_first", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.lit(start)).alias("_off"))
+    return (rows.join(offsets, "_pid").withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
             .drop("_pid", "_mid", "_off", "_first"))
 
 
+def _keyed_schema(schema: StructType) -> StructType:
+    return StructType(schema.fields + [StructField("_pid", IntegerType()), StructField("_mid", LongType())])
+
+
 def content_key(df: DataFrame, cols, name: str = "id") -> DataFrame:
     """S8 alternative: a key from the content (stable across re-runs)."""
     return df.withColumn(name, F.md5(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols])))

@@ -3,7 +3,8 @@
 Pages are rows (page_id, url, html).  Extraction uses regular expressions
 in Spark SQL functions (``regexp_extract_all`` + ``explode``), so it runs in
 the JVM, partition by partition, and each page is handled where it lies.
-Patterns avoid lazy quantifiers so that they mean the same in Java and RE2.
+Patterns avoid lazy quantifiers and repeated groups: they mean the same in Java
+and RE2, and long blocks can't exhaust the matcher's stack.
 """
 
 from __future__ import annotations
@@ -24,7 +25,13 @@ DEFAULT_SHORT = "Un"
 # default rules for the stored pages
 LINK = r'<li><a href="([^"]*)">([^<]*)</a></li>'
 HEADING = r"<h1>([^<]*)</h1>"
-PARAGRAPH = r"<p>([^<]*(<(b|i|em|strong|br)>[^<]*)*)"
+#: A paragraph runs from its tag to its close, the next paragraph, or the next block element.
+PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
+PARAGRAPH_END = (r"(?is)</?(?:p|div|article|section|table|ul|ol|dl|pre|blockquote|form|nav|header|footer|aside|main|"
+                 r"h[1-6]|body|html)[\s>].*$")
+#: Rows and cells of a table, and where they end if their closing tag is missing.
+ROW, ROW_END = r"(?i)<tr(?:\s[^>]*)?>", r"(?is)</(?:tr|table|tbody|thead|tfoot)[\s>].*$"
+CELL, CELL_END = r"(?i)<t[dh](?:\s[^>]*)?>", r"(?is)</t[dh][\s>].*$"
 TITLE = r"<title>([^<]*)</title>"
 LANG = r'<html lang="([^"]*)"'
 
@@ -58,18 +65,13 @@ def clean_options(options: DataFrame) -> DataFrame:
 def crawl_frontier(styles: DataFrame, countries: DataFrame, template: str = "https://example.org/top/%s/%s") -> DataFrame:
     """Every country x every style (styles containing "Saké" dropped), URL from a template.
 
-    Option lists are small menus; the style list is read once (size-checked)
-    and travels as a literal array that every country row explodes - no join."""
-    s = styles.filter(~F.col("text").contains(SKIP_STYLE_WORD)).select("pos", "name", "text")
-    if s.limit(100_001).count() > 100_000:
-        raise ValueError("style menu too large to inline")
-    rows = sorted(s.collect(), key=lambda r: r["pos"])
-    arr = F.array(*[F.struct(F.lit(r["pos"]).alias("pos"), F.lit(r["name"]).alias("name"), F.lit(r["text"]).alias("text"))
-                    for r in rows]) if rows else F.array().cast("array<struct<pos:int,name:string,text:string>>")
-    out = countries.select(F.col("pos").alias("country_pos"), F.col("name").alias("country_name"),
-                           F.col("text").alias("country_text"), F.explode(arr).alias("st"))
-    return (out.select("country_pos", "country_name", "country_text", F.col("st.pos").alias("style_pos"),
-                       F.col("st.name").alias("style_name"), F.col("st.text").alias("style_text"))
+    Every pair of the two menus is the feature: each country takes each style once."""
+    s = styles.filter(~F.col("text").contains(SKIP_STYLE_WORD)).select(
+        F.lit(1).alias("_menu"), F.col("pos").alias("style_pos"), F.col("name").alias("style_name"),
+        F.col("text").alias("style_text"))
+    c = countries.select(F.lit(1).alias("_menu"), F.col("pos").alias("country_pos"),
+                         F.col("name").alias("country_name"), F.col("text").alias("country_text"))
+    return (c.join(s, "_menu").select("country_pos", "country_name", "country_text", "style_pos", "style_name", "style_text")
             .withColumn("url", F.format_string(template, F.col("style_name"), F.col("country_name"))))
 
 
@@ -99,6 +101,12 @@ def page_plan(items: DataFrame, col: str = "count", page_size: int = PAGE_SIZE)
     return items.filter(n.isNotNull()).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / page_size))))
 
 
+def first_pages(items: DataFrame, limit: int) -> DataFrame:
+    """P5, the form with a fixed number of pages: 1 .. limit per item."""
+    return items.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(limit)))) if limit > 0 else items.withColumn(
+        "page", F.lit(1)).limit(0)
+
+
 # ------------------------------------------------------------------ P6-P13
 
 def extract_blocks(pages: DataFrame, block: str, fields: dict[str, tuple[str, int]], keep=("page_id", "url")) -> DataFrame:
@@ -109,14 +117,47 @@ def extract_blocks(pages: DataFrame, block: str, fields: dict[str, tuple[str, in
                                          for name, (pat, grp) in fields.items()])
 
 
+def between(text: Column, begin: str, end: str) -> Column:
+    """The pieces that follow each match of ``begin``, cut where ``end`` matches."""
+    pieces = F.split(text, begin, -1)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.regexp_replace(p, end, ""))
+
+
+def table_cells(pages: DataFrame, keep=("page_id", "url")) -> DataFrame:
+    """P6, table form: rows of ``<tr>`` with their position and the texts of their cells."""
+    rows = pages.select(*keep, F.posexplode(between(F.col("html"), ROW, ROW_END)).alias("pos", "_r"))
+    return rows.select(*keep, "pos", F.transform(between(F.col("_r"), CELL, CELL_END), strip_tags).alias("cells"))
+
+
 def extract_table_rows(pages: DataFrame, columns: dict[str, int], skip_header: bool = True, keep=("page_id", "url")) -> DataFrame:
-    """P6, table form: rows of ``<tr>`` cells; ``columns`` maps a name to a cell index.
+    """``columns`` maps a name to a cell index (null where a row is shorter).
     The first row is a header (skipped), as in the reference's listing tables."""
-    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all("html", F.lit(r"<tr[^>]*>(([^<]|<[^/]|</[^t]|</t[^r])*)</tr>"), 1)).alias("pos", "_r"))
+    rows = table_cells(pages, keep)
     if skip_header:
         rows = rows.filter(F.col("pos") > 0)
-    cells = rows.withColumn("_c", F.regexp_extract_all("_r", F.lit(r"<td[^>]*>(([^<]|<[^/]|</[^t]|</t[^d])*)</td>"), 1))
-    return cells.select(*keep, "pos", *[strip_tags(F.element_at("_c", i + 1)).alias(n) for n, i in columns.items()])
+    return rows.select(*keep, "pos", *[F.get("cells", F.lit(i)).alias(n) for n, i in columns.items()])
+
+
+def extract_table_by_header(pages: DataFrame, columns: dict[str, str], keep=("page_id", "url")) -> DataFrame:
+    """P6 by header names: ``columns`` maps a name to the heading of its column in the page's first row
+    (null where the page has no such heading)."""
+    rows = F.transform(between(F.col("html"), ROW, ROW_END),
+                       lambda r: F.transform(between(r, CELL, CELL_END), strip_tags))
+    split = pages.select(*keep, rows.alias("_rows")).filter(F.size("_rows") > 0)
+    out = split.select(*keep, F.get("_rows", F.lit(0)).alias("_head"), F.posexplode("_rows").alias("pos", "_c")).filter("pos > 0")
+    at = {n: F.array_position("_head", F.lit(h)).cast("int") for n, h in columns.items()}
+    return out.select(*keep, "pos", *[F.when(i > 0, F.get("_c", i - 1)).alias(n) for n, i in at.items()])
+
+
+def extract_records(pages: DataFrame, block: str, block_end: str, fields: dict[str, tuple[str, int]],
+                    constants: dict[str, tuple[str, int]] | None = None, keep=("page_id", "url")) -> DataFrame:
+    """Review records: blocks from ``block`` to ``block_end``, their fields (pattern, group; null when
+    missing), and constants that the whole page carries."""
+    def field(text, pattern, group):
+        return F.nullif(strip_tags(F.regexp_extract(text, pattern, group)), F.lit(""))
+    const = [field("html", p, g).alias(n) for n, (p, g) in (constants or {}).items()]
+    rows = pages.select(*keep, *const, F.posexplode(between(F.col("html"), block, block_end)).alias("pos", "_b"))
+    return rows.select(*keep, *(constants or {}), "pos", *[field("_b", p, g).alias(n) for n, (p, g) in fields.items()])
 
 
 def coalesce_default(c, default: str = DEFAULT_TEXT) -> Column:
@@ -157,27 +198,24 @@ def require(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull() & (F.col(col) != ""))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """Navigation links of every page with absolute URLs (P6 + P11 + P13)."""
-    links = extract_blocks(pages, LINK, {"href": (LINK, 1), "name": (LINK, 2)})
-    out = links.select("page_id", "pos", unescape(F.trim("name")).alias("name"),
+def page_links(pages: DataFrame, keep=()) -> DataFrame:
+    """Navigation links of every page with absolute URLs (P6 + P11 + P13); ``keep``: further columns of the page."""
+    links = extract_blocks(pages, LINK, {"href": (LINK, 1), "name": (LINK, 2)}, keep=("page_id", "url", *keep))
+    out = links.select("page_id", *keep, "pos", unescape(F.trim("name")).alias("name"),
                        absolute_url(unescape("href"), "url").alias("link"))
     return require(out, "name")
 
 
-def extract_taxonomy(pages: DataFrame, heading: str = HEADING, link: str = LINK) -> DataFrame:
+def extract_taxonomy(pages: DataFrame, heading: str = HEADING) -> DataFrame:
     """Heading -> its links; pages without a heading or without links give nothing."""
     h = pages.select("page_id", "url", "html", unescape(F.trim(F.regexp_extract("html", heading, 1))).alias("heading"))
-    links = page_links(h.filter(F.col("heading") != "").select("page_id", "url", "html"))
-    return (h.filter(F.col("heading") != "").select("page_id", "heading")
-            .join(links, "page_id").select("page_id", "heading", "pos", "name", "link"))
+    return page_links(h.filter(F.col("heading") != ""), ("heading",)).select("page_id", "heading", "pos", "name", "link")
 
 
 def page_paragraphs(pages: DataFrame) -> DataFrame:
-    """P7 + P10: paragraph blocks with page constants attached (language, title);
+    """P7 + P10: whole paragraphs with page constants attached (language, title), in one pass over the pages;
     an empty paragraph falls back to the page title."""
     consts = pages.select("page_id", F.regexp_extract("html", LANG, 1).alias("lang"),
-                          unescape(F.trim(F.regexp_extract("html", TITLE, 1))).alias("title"))
-    paras = extract_blocks(pages, PARAGRAPH, {"raw": (PARAGRAPH, 1)}, keep=("page_id",))
-    return (paras.join(consts, "page_id")
-            .select("page_id", "pos", "lang", "title", coalesce_text(strip_tags("raw"), "title").alias("text")))
+                          unescape(F.trim(F.regexp_extract("html", TITLE, 1))).alias("title"), "html")
+    paras = consts.select("page_id", "lang", "title", F.posexplode(between(F.col("html"), PARAGRAPH, PARAGRAPH_END)).alias("pos", "raw"))
+    return paras.select("page_id", "pos", "lang", "title", coalesce_text(strip_tags("raw"), "title").alias("text"))
