@@ -40,9 +40,8 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # only the 200-character prefix of a document is a review text: cut before the join
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 200).alias("review_text"))
+    # a review's text is a whole document; the reviews carry its id and its hash (see ``with_text``)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_hash"))
     # review count per item (planted copies included) from one scan of lineitem: a partial
     # aggregate joined back, not a window over a hot item (every lineitem has its order)
     per_item = li.groupBy("l_partkey").agg(
@@ -71,13 +70,20 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.0) + (F.col("l_partkey") % 41) / F.lit(10.0)).alias("average_rating"),
         F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("reviewer"),
         F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("review_date"),
-        "review_text",
+        "doc_key",
+        "text_hash",
         F.lit(None).cast("double").alias("algorithm_rating"),
         "total_reviews",
         "vec_id",
     )
 
 
+def with_text(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Attach the whole review text by ``doc_key``: only plans that read the text pay for it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), F.col("text").alias("review_text"))
+    return df.join(docs, "doc_key")
+
+
 def with_embedding(spark: SparkSession, sf_dir: str, df: DataFrame, col: str = "embedding") -> DataFrame:
     """Attach the review vector by ``vec_id`` (a join; fetch vectors as late as possible)."""
     vec = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias(col))
@@ -110,7 +116,7 @@ SELECT r.id,
   CAST(1 + (l_partkey % 41) / CAST(10 AS DOUBLE) AS DOUBLE) AS average_rating,
   concat('user-', o_custkey) AS reviewer,
   CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS review_date,
-  substring(text, 1, 200) AS review_text,
+  doc_id AS doc_key, md5(text) AS text_hash,
   CAST(NULL AS DOUBLE) AS algorithm_rating,
   count(*) OVER (PARTITION BY l_partkey) AS total_reviews,
   vec_id

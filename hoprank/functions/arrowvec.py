@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_BLOCK_BYTES = 128 << 20
 
@@ -66,6 +67,22 @@ def list_array(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(m.ravel(), type=pa.float64()))
 
 
+def query_blocks(queries: DataFrame, vec: str = "embedding", key: str = "query_id", per_query: int = 1,
+                 max_bytes: int | None = None) -> list[DataFrame]:
+    """The queries in blocks, each small enough for one QueryBlock with ``per_query`` vectors a query.
+
+    One block takes the queries as they are; several are dealt by a hash of the key, at half the
+    bound on average, since hashing is uneven.
+    """
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    size = row["n"] * max(row["d"] or 1, 1) * 8 * per_query
+    limit = max_bytes or MAX_BLOCK_BYTES
+    if size <= limit:
+        return [queries]
+    n = -(-2 * size // limit)
+    return [queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b) for b in range(n)]
+
+
 @dataclass
 class QueryBlock:
     ids: np.ndarray          # query ids (object or int)

@@ -117,8 +117,10 @@ def predict(cells: DataFrame, sim: DataFrame, items: DataFrame | None = None, mo
     mean_added  pred = m_u + sum_v sim * (r_v,i - m_v) / (sum_v |sim| + 1e-8), where an
                 unrated cell enters as (0 - m_v); expanded as
                 sum_v sim * r_v,i - sum_v sim * m_v so it stays sparse.
-    ``items`` (reviewer, name) restricts which cells are predicted; only cells
-    with a non-zero numerator are returned (others are 0, or m_u - c_u / den).
+    ``items`` (reviewer, name) restricts which cells are predicted.  Plain: cells
+    without a rated neighbour are 0 and left out.  Mean-added: such cells all have the
+    value m_u - c_u / den of their user; with ``items`` they are filled in, without it one
+    row per user whose name is null stands for every item that isn't listed.
     """
     den = sim.groupBy("u").agg((F.sum(F.abs("sim")) + F.lit(CF_EPS)).alias("den"))
     c = cells.select(F.col("reviewer").alias("v"), "name", "x", "r")
@@ -138,9 +140,17 @@ def predict(cells: DataFrame, sim: DataFrame, items: DataFrame | None = None, mo
         mv = means.select(F.col("reviewer").alias("v"), F.col("m").alias("mv"))
         sm = sim.join(mv, "v").groupBy("u").agg(F.sum(F.col("sim") * F.col("mv")).alias("smv"))
         mu = means.select(F.col("reviewer").alias("u"), F.col("m").alias("mu"))
-        return (out.join(sm, "u", "left").join(mu, "u", "left")
-                .select(F.col("u").alias("reviewer"), "name",
-                        (F.coalesce("mu", F.lit(0.0)) + (F.col("num") - F.coalesce("smv", F.lit(0.0))) / F.col("den")).alias("pred")))
+        per_user = (den.join(sm, "u", "left").join(mu, "u", "left")
+                    .select("u", "den", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("smv", F.lit(0.0)).alias("smv")))
+        if items is None:
+            listed = num.select("u", "name", "num").unionByName(
+                per_user.select("u", F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("num")))
+        else:
+            asked = items.select(F.col("reviewer").alias("u"), "name").distinct()
+            listed = asked.join(num, ["u", "name"], "left").select("u", "name", F.coalesce("num", F.lit(0.0)).alias("num"))
+        return listed.join(per_user, "u").select(
+            F.col("u").alias("reviewer"), "name",
+            (F.col("mu") + (F.col("num") - F.col("smv")) / F.col("den")).alias("pred"))
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -154,10 +164,7 @@ def cf_scores(train: DataFrame, users: DataFrame, items: DataFrame | None = None
     return pred, betas
 
 
-MAX_FILL_NAMES = 200_000
-
-
-def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "midpoint",
+def recommend_cf(train: DataFrame, users: DataFrame, n: int | None = 20, scale: str = "midpoint",
                  cells: DataFrame | None = None) -> DataFrame:
     """F13 / plan D: the n best items for each known target user, as in the dense ranking.
 
@@ -174,6 +181,7 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "
     known = _targets(cells, users).select("reviewer").distinct()
     n_items = cells.select("name").distinct().count()   # one scalar
 
+    n = n_items if n is None else n
     stats = known.join(pred.groupBy("reviewer").agg(
         F.count_if(F.col("pred") > 0).alias("n_pos"), F.count(F.lit(1)).alias("nnz")), "reviewer", "left"
     ).fillna(0, ["n_pos", "nnz"]).withColumn("n_zero", F.lit(n_items) - F.col("nnz"))
@@ -183,22 +191,18 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "
     pos = (scored.filter(F.col("collab_score") > 0).withColumn("rank", F.row_number().over(w))
            .filter(F.col("rank") <= n))
 
-    # zero-score items for users with fewer than n positives: the first names not predicted
+    # zero-score items for users with fewer than n positives: of the first n + nnz names in order,
+    # n at least aren't predicted.  The names are numbered once and met by position.
+    from ..sources.io import with_surrogate_key
     short = stats.filter(F.col("n_pos") < n)
-    c_max = short.agg(F.max("nnz")).first()[0] or 0            # one scalar
-    if n + int(c_max) > MAX_FILL_NAMES:
-        raise ValueError(f"zero-score fill needs {n + int(c_max)} item names; above the {MAX_FILL_NAMES} bound")
-    names = [r[0] for r in cells.select("name").distinct().orderBy("name").limit(n + int(c_max)).collect()]
-    # bounded by n + c_max names (checked above): users short of n positive predictions have few
-    # non-zero ones, so the list stays small; shipped as a literal array
-    lit_names = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-    taken = (pred.join(short.select("reviewer"), "reviewer", "left_semi")
-             .filter(F.col("name").isin(names) if names else F.lit(False))
-             .groupBy("reviewer").agg(F.collect_set("name").alias("taken")))
-    zeros = (short.join(taken, "reviewer", "left")
-             .withColumn("z", F.filter(lit_names, lambda x: ~F.array_contains(F.coalesce("taken", F.array().cast("array<string>")), x)))
-             .select("reviewer", "n_pos", F.posexplode(F.slice("z", 1, n)).alias("i", "name"))
-             .withColumn("rank", F.col("n_pos") + F.col("i") + 1).filter(F.col("rank") <= n)
+    names = with_surrogate_key(cells.select("name").distinct().sort("name"), "pos")
+    asked = (short.withColumn("upto", F.least(F.lit(n_items).cast("long"), F.col("nnz") + F.lit(n)))
+             .filter(F.col("upto") > 0)
+             .select("reviewer", "n_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("upto") - 1)).alias("pos")))
+    free = (asked.join(names, "pos").join(pred.select("reviewer", "name"), ["reviewer", "name"], "left_anti"))
+    by_name = Window.partitionBy("reviewer").orderBy("pos")
+    zeros = (free.withColumn("i", F.row_number().over(by_name)).withColumn("rank", F.col("n_pos") + F.col("i"))
+             .filter((F.col("i") <= n) & (F.col("rank") <= n))
              .select("reviewer", "name", F.lit(0.0).alias("collab_score"), "rank"))
 
     # negative predictions only when positives and zeros do not fill n places
@@ -209,10 +213,17 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int = 20, scale: str = "
     return pos.unionByName(zeros).unionByName(neg).withColumn("rank", F.col("rank").cast("long"))
 
 
-def zero_share(cells: DataFrame, pred: DataFrame) -> DataFrame:
-    """F16: percent of items whose prediction is exactly 0, per user; beta_linear from it."""
+def zero_share(cells: DataFrame, pred: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """F16: percent of items whose prediction is exactly 0, per user; beta_linear from it.
+
+    ``users``: the users that predictions were asked for; those of them who have cells but
+    no prediction other than 0 show 100 percent.
+    """
     n_items = cells.select("name").distinct().count()
     nz = pred.groupBy("reviewer").agg(F.count_if(F.col("pred") != 0).alias("nz"))
+    if users is not None:
+        known = cells.join(users.select("reviewer"), "reviewer", "left_semi").select("reviewer").distinct()
+        nz = known.join(nz, "reviewer", "left").fillna(0, ["nz"])
     return (nz.withColumn("zero_pct", 100.0 * (1 - F.col("nz") / F.lit(n_items)))
             .withColumn("beta", beta_linear("zero_pct")).select("reviewer", "zero_pct", "beta"))
 

@@ -1,7 +1,7 @@
 """Cleaning, projection and filters.
 
 ``preprocess`` is the reference's three-stage clean-up: keep the first copy of
-each (name, reviewer, review_text), drop rows whose rating is not a number,
+each (name, reviewer, text), drop rows whose rating is not a number,
 drop rows whose abv (a percent string) is not a number.
 """
 
@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEDUPE_KEYS = ("name", "reviewer", "review_text")
+DEDUPE_KEYS = ("name", "reviewer", "text_hash")      # with_text_hash gives the last from review_text
 
 # a plain decimal or exponent number, optional sign and surrounding blanks
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def with_text_hash(df: DataFrame, text: str = "review_text") -> DataFrame:
+    """The hash that stands for the review text in keys: long texts are neither grouped by nor shuffled as keys."""
+    return df if "text_hash" in df.columns else df.withColumn("text_hash", F.md5(text))
+
+
 def dedupe_first(df: DataFrame, keys=DEDUPE_KEYS, order: str = "id") -> DataFrame:
     """Keep the row with the smallest ``order`` value per key.
 
@@ -23,7 +28,13 @@ def dedupe_first(df: DataFrame, keys=DEDUPE_KEYS, order: str = "id") -> DataFram
     key with a huge number of copies is combined map-side before the shuffle
     instead of being sorted in one window task.
     """
-    keys = list(keys)
+    if "text_hash" in keys:
+        columns, df = df.columns, with_text_hash(df)
+        return _dedupe(df, list(keys), order).select(*columns)
+    return _dedupe(df, list(keys), order)
+
+
+def _dedupe(df: DataFrame, keys: list, order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys and c != order]
     first = F.min(F.struct(F.col(order).alias(order), *[F.col(c) for c in rest])).alias("_first")
     out = df.groupBy(*keys).agg(first)
@@ -64,25 +75,24 @@ def stage_counts(df: DataFrame) -> DataFrame:
     """Rows after each cleaning stage, as one small table (one scan, one aggregate).
 
     The three stages are nested filters over the de-duplicated rows, so their
-    sizes come from conditional counts in a single pass.
+    sizes come from conditional counts in a single pass; the raw size is the sum
+    of the copies of each key.
     """
-    d = dedupe_first(df)
+    keyed = with_text_hash(df)
+    d = (keyed.groupBy(*DEDUPE_KEYS).agg(F.min(F.struct("id", "rating", "abv")).alias("f"), F.count(F.lit(1)).alias("n"))
+         .select("n", "f.rating", "f.abv"))
     rating_ok = to_number("rating").isNotNull()
     abv_ok = percent_number("abv").isNotNull()
     counts = d.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("raw"),
         F.count(F.lit(1)).alias("deduped"),
         F.count_if(rating_ok).alias("rating_ok"),
         F.count_if(rating_ok & abv_ok).alias("abv_ok"),
     )
-    stages = F.array(
-        F.struct(F.lit(1).alias("step"), F.lit("drop_duplicates").alias("stage"), F.col("deduped").alias("rows")),
-        F.struct(F.lit(2).alias("step"), F.lit("drop_rating_na").alias("stage"), F.col("rating_ok").alias("rows")),
-        F.struct(F.lit(3).alias("step"), F.lit("drop_abv_na").alias("stage"), F.col("abv_ok").alias("rows")),
-    )
-    raw = df.agg(F.count(F.lit(1)).alias("n"))
-    raw_row = raw.select(F.array(F.struct(F.lit(0).alias("step"), F.lit("raw").alias("stage"), F.col("n").alias("rows"))).alias("s"))
-    return (counts.select(stages.alias("s")).unionByName(raw_row)
-            .select(F.explode("s").alias("s")).select("s.step", "s.stage", F.col("s.rows").cast("long").alias("rows")))
+    stages = F.array(*[F.struct(F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.col(c).alias("rows"))
+                       for step, (stage, c) in enumerate((("raw", "raw"), ("drop_duplicates", "deduped"),
+                                                          ("drop_rating_na", "rating_ok"), ("drop_abv_na", "abv_ok")))])
+    return counts.select(F.explode(stages).alias("s")).select("s.step", "s.stage", F.col("s.rows").cast("long").alias("rows"))
 
 
 def fill_defaults(df: DataFrame, text_cols=("review_text",), num_cols=("abv",)) -> DataFrame:

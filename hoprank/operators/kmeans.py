@@ -139,7 +139,7 @@ def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType)
     return run
 
 
-def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 20, seed: int = 7, key: str = "query_id",
+def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 300, seed: int = 7, key: str = "query_id",
                  vec: str = "embedding", dim: int | None = None, tol: float = 1e-4) -> "KeyedKMeans":
     """K1: fit one k-means per key; returns the fitted centres (labels via ``KeyedKMeans.label``)."""
     spark = points.sparkSession

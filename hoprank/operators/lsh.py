@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.arrowvec import QueryBlock, cosine_to_queries
+from ..functions.arrowvec import QueryBlock, cosine_to_queries, query_blocks
 from ..functions.vectors import dot, cosine
 from ..plans.sizing import broadcast_if_small
 
@@ -146,7 +146,12 @@ def candidate_similarity(cand_rows: DataFrame, queries: DataFrame, vec: str = "e
     scored in NumPy batches where they are; expr: a join and a JVM expression.
     """
     if method == "arrow":
-        return cosine_to_queries(cand_rows, QueryBlock.collect(queries.select("query_id", vec), vec), vec=vec)
+        out = None
+        for block in query_blocks(queries.select("query_id", vec), vec):
+            own = cand_rows.join(block.select("query_id"), "query_id", "left_semi")
+            part = cosine_to_queries(own, QueryBlock.collect(block, vec), vec=vec)
+            out = part if out is None else out.union(part)
+        return out
     q = queries.select("query_id", F.col(vec).alias("qvec"))
     return cand_rows.join(q, "query_id").withColumn("similarity", cosine(F.col(vec), F.col("qvec")))
 

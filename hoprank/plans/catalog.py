@@ -89,11 +89,11 @@ def q_user_betas(spark, sf_dir):
 
 # ---------------------------------------------------------------- recommendation set-ups
 
-def _plan(plan: str, with_info: bool = False, n: int = 20) -> QueryFn:
+def _plan(plan: str, with_info: bool = False, n: int = 20, beta: str = "log") -> QueryFn:
     def run(spark, sf_dir):
         ws = Workspace.load(spark, sf_dir)
         model = ws.model()
-        out = recommend(model, ws.queries(with_info), plan, n=n)
+        out = recommend(model, ws.queries(with_info), plan, n=n, beta=beta)
         return rounded(out)
     run.__name__ = f"q_recommend_{plan}"
     return run
@@ -146,7 +146,16 @@ def q_pair_lookup(spark, sf_dir):
 
 def q_item_top_terms(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
-    return TH.top_terms(ws.reviews, 100).withColumn("term_rank", F.col("term_rank").cast("long"))
+    return TH.top_terms_by_text(ws.reviews, _texts(spark, sf_dir), 100).withColumn("term_rank", F.col("term_rank").cast("long"))
+
+
+def _texts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), F.col("text").alias("review_text"))
+
+
+def _with_text(spark, sf_dir, df):
+    from ..fixtures import with_text
+    return with_text(spark, sf_dir, df)
 
 
 def q_recommend_notes(spark, sf_dir):
@@ -154,7 +163,7 @@ def q_recommend_notes(spark, sf_dir):
     model = ws.model()
     q = ws.queries(True)
     recs = recommend(model, q, "fixed_weights", n=10)
-    return rounded(TH.with_notes(recs, ws.train, q))
+    return rounded(TH.with_notes(recs, _with_text(spark, sf_dir, ws.train), q))
 
 
 def q_evaluation_summary(spark, sf_dir):
@@ -182,7 +191,7 @@ def q_cf_zero_share(spark, sf_dir):
     """F16: share of items with prediction exactly 0 per target user, and the linear beta."""
     ws = Workspace.load(spark, sf_dir)
     cells, users = _cf(ws)
-    return rounded(CF.zero_share(cells, CF.predict(cells, CF.user_similarity(cells, "cosine", users))))
+    return rounded(CF.zero_share(cells, CF.predict(cells, CF.user_similarity(cells, "cosine", users)), users))
 
 
 def q_rating_describe(spark, sf_dir):
@@ -218,7 +227,7 @@ def q_lsh_grid_search(spark, sf_dir):
 
 
 def _clustered(ws: Workspace):
-    return KC.cluster_reviews(ws.train, k=25, max_features=300, seed=42)
+    return KC.cluster_reviews(_with_text(ws.spark, ws.sf_dir, ws.train), k=25, max_features=300, seed=42)
 
 
 def q_cluster_distribution(spark, sf_dir):
@@ -231,7 +240,7 @@ def q_cluster_top_items(spark, sf_dir):
     """Clusters predicted for the held-out reviews, then each cluster's best items."""
     ws = Workspace.load(spark, sf_dir)
     cl, model = _clustered(ws)
-    pred = KC.predict_cluster(model, ws.test.select("id", "abv", "review_text"))
+    pred = KC.predict_cluster(model, _with_text(spark, sf_dir, ws.test).select("id", "abv", "review_text"))
     return rounded(KC.top_items_per_cluster(KC.clusters_by_item(cl), ws.items, pred, 10))
 
 
@@ -314,7 +323,10 @@ def q_review_languages(spark, sf_dir):
     """C11: language of every cleaned review (profile trained on the documents table); English kept."""
     ws = Workspace.load(spark, sf_dir)
     prof = LG.train_language_profile(_table(spark, sf_dir, "documents"))
-    return LG.keep_language(LG.detect_language(ws.reviews.select("id", "review_text"), prof)).select("id", "language")
+    # a document is judged once, whatever the number of its reviews
+    used = _texts(spark, sf_dir).join(ws.reviews.select("doc_key").distinct(), "doc_key", "left_semi")
+    told = LG.keep_language(LG.detect_language(used, prof)).select("doc_key", "language")
+    return ws.reviews.select("id", "doc_key").join(told, "doc_key").select("id", "language")
 
 
 # ---------------------------------------------------------------- streams
@@ -386,6 +398,8 @@ def queries() -> dict[str, QueryFn]:
         "recommend_lsh_kmeans_cf": _plan("lsh_kmeans_cf"),
         "recommend_lsh_kmeans_cf_info": _plan("lsh_kmeans_cf", with_info=True),
         "recommend_bucket_score": q_bucket_score,
+        "recommend_lsh_cf_linear_beta": _plan("lsh_cf", with_info=True, beta="linear"),
+        "recommend_tuning": _plan("tuning", with_info=True),
         "recommend_fixed_weights_notes": q_recommend_notes,
         "cf_neighbours": q_cf_neighbours,
         "cf_jaccard_neighbours": q_cf_jaccard_neighbours,
@@ -468,7 +482,10 @@ FROM queries q JOIN ranked r ON r.reviewer = q.reviewer WHERE r.rank <= 20""",
                                    O.hybrid_sql("text")),
         "recommend_bucket_score": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
                                     "text AS (SELECT query_id, name, min_by(similarity, id) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
-                                    O.hybrid_sql("text")),
+                                    O.LINEAR_BETAS, O.hybrid_sql("text", betas="betas_l")),
+        "recommend_lsh_cf_linear_beta": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
+                                          "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
+                                          O.LINEAR_BETAS, O.hybrid_sql("text", betas="betas_l")),
         "cf_neighbours": W(*split_q, O.CF_SQL, """
 nb AS (SELECT u, v, sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC NULLS LAST, v) AS rank FROM sim)""")
         + "SELECT u, v, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM nb WHERE rank <= 5",
@@ -493,10 +510,11 @@ both_dirs AS (SELECT a AS item, b AS partner FROM pairs UNION ALL SELECT b, a FR
 adj AS (SELECT item, list_sort(list(partner)) AS partners FROM both_dirs GROUP BY item)""")
         + "SELECT a.item, a.partners FROM adj a WHERE a.item IN (SELECT DISTINCT brewery FROM test)",
         "item_top_terms": W(*O.BASE, f"""
-runs AS (SELECT name, unnest(regexp_extract_all(lower(review_text), '{TH.WORD_RUN.replace(chr(92) + 'p{L}', chr(92) + 'pL').replace(chr(92) + 'p{N}', chr(92) + 'pN')}')) AS term FROM reviews),
-toks AS (SELECT name, term FROM runs WHERE regexp_full_match(term, '[a-z]{{2,}}')
-         AND term NOT IN ({", ".join("'" + w.replace("'", "''") + "'" for w in TH.stop_word_list())})),
-counts AS (SELECT name, term, count(*) AS n FROM toks GROUP BY name, term),
+used AS (SELECT name, doc_key, count(*) AS m FROM reviews GROUP BY name, doc_key),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TH.WORD_RUN.replace(chr(92) + 'p{L}', chr(92) + 'pL').replace(chr(92) + 'p{N}', chr(92) + 'pN')}')) AS term FROM documents),
+toks AS (SELECT doc_id, term, count(*) AS c FROM runs WHERE regexp_full_match(term, '[a-z]{{2,}}')
+         AND term NOT IN ({", ".join("'" + w.replace("'", "''") + "'" for w in TH.stop_word_list())}) GROUP BY doc_id, term),
+counts AS (SELECT name, term, CAST(sum(m * c) AS BIGINT) AS n FROM used JOIN toks ON doc_id = doc_key GROUP BY name, term),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, term) AS term_rank FROM counts)""")
         + "SELECT name, term, n, CAST(term_rank AS BIGINT) AS term_rank FROM ranked WHERE term_rank <= 100",
         "page_links": W(PAGE_LINKS_SQL) + "SELECT page_id, pos, name, link FROM page_links WHERE name IS NOT NULL AND name <> ''",
@@ -507,10 +525,10 @@ WHERE h.heading <> '' AND l.name IS NOT NULL AND l.name <> ''""",
         "page_paragraphs": W(f"""
 consts AS (SELECT page_id, regexp_extract(html, '{PG.LANG}', 1) AS lang,
   {_unescape_sql("trim(regexp_extract(html, '" + PG.TITLE + "', 1))")} AS title FROM pages),
-blocks AS (SELECT page_id, unnest(regexp_extract_all(html, '{PG.PARAGRAPH}', 0)) AS b,
-  generate_subscripts(regexp_extract_all(html, '{PG.PARAGRAPH}', 0), 1) - 1 AS pos FROM pages)""")
+parts AS (SELECT page_id, string_split_regex(html, '{PG.PARAGRAPH}') AS p FROM pages),
+blocks AS (SELECT page_id, unnest(p[2:]) AS b, generate_subscripts(p[2:], 1) - 1 AS pos FROM parts)""")
         + f"""SELECT b.page_id, CAST(b.pos AS INTEGER) AS pos, c.lang, c.title,
-  coalesce(nullif({_strip_sql("regexp_extract(b.b, '" + PG.PARAGRAPH + "', 1)")}, ''), c.title) AS text
+  coalesce(nullif({_strip_sql("regexp_replace(b.b, '" + PG.PARAGRAPH_END + "', '')")}, ''), c.title) AS text
 FROM blocks b JOIN consts c ON c.page_id = b.page_id""",
         "crawl_frontier": W(f"""
 countries AS (SELECT CAST(n_nationkey AS INTEGER) AS country_pos, lower(n_name) AS country_name, n_name AS country_text FROM nation
@@ -530,8 +548,8 @@ items_n AS (SELECT name, max(total_reviews) AS count FROM reviews GROUP BY name
   coalesce(substring(location, 3), 'Unknown') AS location_rest FROM reviews""",
         "language_profile": W(LANG_PROFILE_SQL) + "SELECT lang, gram, n, round(logp, 6) AS logp FROM profile",
         "review_languages_en": W(*O.BASE, LANG_PROFILE_SQL, f"""
-texts AS (SELECT DISTINCT md5(review_text) AS k, review_text FROM reviews
-          WHERE review_text IS NOT NULL AND length(trim(review_text)) > 3),
+texts AS (SELECT DISTINCT md5(text) AS k, text AS review_text FROM documents
+          WHERE text IS NOT NULL AND length(trim(text)) > 3),
 tg AS (SELECT k, g AS gram, count(*) AS c FROM (
          SELECT k, unnest(CASE WHEN length(lower(review_text)) >= 3 THEN
            [substring(lower(review_text), i, 3) FOR i IN range(1, length(lower(review_text)) - 1)] ELSE [] END) AS g
@@ -540,12 +558,12 @@ tot AS (SELECT k, sum(c) AS n_total FROM tg GROUP BY k),
 sums AS (SELECT tg.k, p.lang, sum(tg.c * (p.logp - ({LG.LOG_FLOOR}))) AS s FROM tg JOIN profile p ON p.gram = tg.gram GROUP BY tg.k, p.lang),
 scored AS (SELECT s.k, s.lang, round(s.s + t.n_total * ({LG.LOG_FLOOR}), 9) AS score FROM sums s JOIN tot t ON t.k = s.k),
 best AS (SELECT k, lang FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, lang DESC) AS r FROM scored) WHERE r = 1)""")
-        + """SELECT r.id, coalesce(b.lang, 'unknown') AS language FROM reviews r LEFT JOIN best b ON b.k = md5(r.review_text)
-WHERE r.review_text IS NOT NULL AND length(trim(r.review_text)) > 3 AND coalesce(b.lang, 'unknown') = 'en'""",
+        + """SELECT r.id, coalesce(b.lang, 'unknown') AS language FROM reviews r JOIN texts t ON t.k = r.text_hash LEFT JOIN best b ON b.k = r.text_hash
+WHERE coalesce(b.lang, 'unknown') = 'en'""",
         "stream_clean": W(REVIEWS_RAW_ONLY, f"""
 num AS (SELECT *, {O._num('rating')} AS rating_d, {O._num("regexp_replace(abv, '%+$', '')")} AS abv_d FROM reviews_raw)""")
         + """SELECT id, name, brewery, subgenre, round(abv_d, 6) AS abv, location, round(rating_d, 6) AS rating,
-  round(average_rating, 6) AS average_rating, reviewer, review_date, review_text, algorithm_rating, total_reviews, vec_id
+  round(average_rating, 6) AS average_rating, reviewer, review_date, doc_key, text_hash, algorithm_rating, total_reviews, vec_id
 FROM num WHERE rating_d IS NOT NULL AND NOT isnan(rating_d) AND NOT isinf(rating_d)
   AND abv_d IS NOT NULL AND NOT isnan(abv_d) AND NOT isinf(abv_d)""",
         "stream_index": W(*split_q, LSH_INDEX_SQL(planes)) + "SELECT table_id, bucket, id FROM idx",
@@ -555,9 +573,12 @@ means AS (SELECT reviewer, avg(r) AS m FROM cells_raw WHERE r <> 0 GROUP BY revi
 smv AS (SELECT s.u, sum(s.sim * m.m) AS smv FROM sim_raw s JOIN means m ON m.reviewer = s.v GROUP BY s.u),
 num_r AS (SELECT s.u, c.name, sum(s.sim * c.r) AS num FROM sim_raw s JOIN cells_raw c ON c.reviewer = s.v GROUP BY s.u, c.name)""")
         + """SELECT n.u AS reviewer, n.name, round(coalesce(mu.m, 0.0) + (n.num - coalesce(v.smv, 0.0)) / d.den, 6) AS pred
-FROM num_r n JOIN den_raw d ON d.u = n.u LEFT JOIN smv v ON v.u = n.u LEFT JOIN means mu ON mu.reviewer = n.u""",
+FROM (SELECT u, name, num FROM num_r UNION ALL SELECT u, NULL, 0 FROM den_raw) n
+JOIN den_raw d ON d.u = n.u LEFT JOIN smv v ON v.u = n.u LEFT JOIN means mu ON mu.reviewer = n.u""",
         "cf_zero_share": W(*O.SPLIT, O.CF_SQL, """
-nz AS (SELECT reviewer, count_if(pred <> 0) AS nz FROM pred GROUP BY reviewer),
+nz AS (SELECT k.reviewer, count_if(coalesce(p.pred, 0) <> 0) AS nz
+       FROM (SELECT DISTINCT reviewer FROM cells WHERE reviewer IN (SELECT reviewer FROM targets)) k
+       LEFT JOIN pred p ON p.reviewer = k.reviewer GROUP BY k.reviewer),
 ni AS (SELECT count(DISTINCT name) AS n FROM cells)""")
         + """SELECT reviewer, round(100.0 * (1 - nz / CAST((SELECT n FROM ni) AS DOUBLE)), 6) AS zero_pct,
   round(0.6 + 0.004 * (100.0 * (1 - nz / CAST((SELECT n FROM ni) AS DOUBLE))), 6) AS beta FROM nz""",

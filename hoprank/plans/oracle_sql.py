@@ -21,12 +21,12 @@ def _num(expr: str) -> str:
 CLEAN_SQL = f"""
 reviews_dedup AS (
   SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY name, reviewer, review_text ORDER BY id) rn FROM reviews_raw) WHERE rn = 1),
+    SELECT *, row_number() OVER (PARTITION BY name, reviewer, text_hash ORDER BY id) rn FROM reviews_raw) WHERE rn = 1),
 reviews_num AS (
   SELECT *, {_num('rating')} AS rating_d, {_num("regexp_replace(abv, '%+$', '')")} AS abv_d FROM reviews_dedup),
 reviews AS (
   SELECT id, name, brewery, subgenre, abv_d AS abv, location, rating_d AS rating, average_rating, reviewer,
-         review_date, review_text, algorithm_rating, total_reviews, vec_id
+         review_date, doc_key, text_hash, algorithm_rating, total_reviews, vec_id
   FROM reviews_num
   WHERE rating_d IS NOT NULL AND NOT isnan(rating_d) AND NOT isinf(rating_d)
     AND abv_d IS NOT NULL AND NOT isnan(abv_d) AND NOT isinf(abv_d)),
@@ -117,7 +117,16 @@ def default_planes(d: int = 64) -> np.ndarray:
     return make_hyperplanes(d, LSH_K, LSH_L, SEED)
 
 
-def hybrid_ctes(text_cte: str, prefix: str = "", queries: str = "queries") -> str:
+#: Betas from the share of zero predictions (F16), for the targets that have cells.
+LINEAR_BETAS = """
+known_l AS (SELECT DISTINCT reviewer FROM cells WHERE reviewer IN (SELECT reviewer FROM targets)),
+betas_l AS (SELECT k.reviewer, 0.6 + 0.004 * (100.0 * (1 - count_if(coalesce(p.pred, 0) <> 0)
+   / CAST((SELECT count(DISTINCT name) FROM cells) AS DOUBLE))) AS beta
+   FROM known_l k LEFT JOIN pred p ON p.reviewer = k.reviewer GROUP BY k.reviewer)
+"""
+
+
+def hybrid_ctes(text_cte: str, prefix: str = "", queries: str = "queries", betas: str = "betas") -> str:
     """CTEs scoring (query_id, name, lsh_score) rows of ``text_cte``; ends in ``{prefix}ranked``."""
     p = prefix
     return f"""
@@ -127,7 +136,7 @@ def hybrid_ctes(text_cte: str, prefix: str = "", queries: str = "queries") -> st
          CASE WHEN b.reviewer IS NULL THEN 0.0 ELSE coalesce(p.pred, 0.0) END AS collab_score
   FROM {text_cte} t JOIN {queries} q ON q.query_id = t.query_id
   JOIN items i ON i.name = t.name
-  LEFT JOIN betas b ON b.reviewer = q.reviewer
+  LEFT JOIN {betas} b ON b.reviewer = q.reviewer
   LEFT JOIN pred p ON p.reviewer = q.reviewer AND p.name = t.name),
 {p}parts AS (
   SELECT *,
@@ -143,9 +152,9 @@ def hybrid_ctes(text_cte: str, prefix: str = "", queries: str = "queries") -> st
 """
 
 
-def hybrid_sql(text_cte: str, n: int = 20) -> str:
+def hybrid_sql(text_cte: str, n: int = 20, betas: str = "betas") -> str:
     """Hybrid score for text scores in ``text_cte`` (query_id, name, lsh_score)."""
-    return hybrid_ctes(text_cte) + f"""
+    return hybrid_ctes(text_cte, betas=betas) + f"""
 SELECT query_id, beer, round(score, 6) AS score, round(item_abv, 6) AS abv, round(lsh_score, 6) AS lsh_score,
        round(lsh_score * weight_beta, 6) AS lsh_score_weighted, round(collab_score, 6) AS collab_score,
        round(collab_score * (1 - weight_beta), 6) AS collab_score_weighted, round(abv_diff, 6) AS abv_diff,

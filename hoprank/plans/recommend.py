@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.arrowvec import QueryBlock
+from ..functions.arrowvec import QueryBlock, query_blocks
 from ..operators import cf as CF
 from ..operators import kmeans as KM
 from ..operators import lsh as LSH
@@ -32,6 +32,10 @@ REC_COLUMNS = ["query_id", "beer", "score", "abv", "lsh_score", "lsh_score_weigh
                "collab_score_weighted", "abv_diff", "abv_weight", "style_bonus", "weight_beta", "rank"]
 
 
+#: Seed of the fixed-weight and the tuning recommender (fixed value).
+FIXED_SEED = 42
+
+
 @dataclass
 class Model:
     """Everything the set-ups share: training rows (with vectors), item dimension, LSH planes and index."""
@@ -57,16 +61,15 @@ class Model:
 def lsh_candidates(model: Model, queries: DataFrame, with_vectors: bool = True) -> DataFrame:
     """(query_id, id, name, similarity[, embedding]) of every LSH candidate row.
 
-    probe: one map-only pass over the rows with the queries' keys broadcast
-    (used while the query block fits); join: index join + fetch by id.
+    probe: a map-only pass over the rows for each block of queries, whose keys are
+    broadcast; join: index join + fetch by id.
     """
     if model.candidates == "probe":
-        try:
-            qb = QueryBlock.collect(queries.select("query_id", "embedding"))
-        except ValueError:          # too many queries for one block: index join
-            qb = None
-        if qb is not None:
-            return LSH.probe_candidates(model.train, queries, model.planes, with_vectors=with_vectors, qb=qb)
+        out = None
+        for block in query_blocks(queries.select("query_id", "embedding")):
+            part = LSH.probe_candidates(model.train, block, model.planes, with_vectors=with_vectors)
+            out = part if out is None else out.union(part)
+        return out
     cands = LSH.query_index(model.index, queries, model.planes)
     rows = LSH.fetch_candidates(cands, model.train)
     sims = LSH.candidate_similarity(rows, queries)
@@ -79,12 +82,15 @@ def text_scores_lsh(model: Model, queries: DataFrame) -> DataFrame:
     return cut_lineage(item_similarity(lsh_candidates(model, queries, with_vectors=False)))
 
 
-def text_scores_cluster(model: Model, queries: DataFrame, n_clusters: int = 5, iters: int = 20, seed: int = 7) -> DataFrame:
-    rows = lsh_candidates(model, queries).persist()
-    fitted = KM.keyed_kmeans(rows, n_clusters, iters, seed)
-    qb = QueryBlock.collect(queries.select("query_id", "embedding"))
-    out = cut_lineage(item_similarity(fitted.same_cluster_similarity(rows, qb)))
-    rows.unpersist()
+def text_scores_cluster(model: Model, queries: DataFrame, n_clusters: int = 5, iters: int = 300, seed: int = 7) -> DataFrame:
+    """Mean similarity per item in the query's cluster; blocks of queries whose centres fit are done in turn."""
+    out = None
+    for block in query_blocks(queries.select("query_id", "embedding"), per_query=n_clusters):
+        rows = lsh_candidates(model, block).persist()
+        fitted = KM.keyed_kmeans(rows, n_clusters, iters, seed)
+        part = cut_lineage(item_similarity(fitted.same_cluster_similarity(rows, QueryBlock.collect(block))))
+        rows.unpersist()
+        out = part if out is None else out.union(part)
     return out
 
 
@@ -97,9 +103,18 @@ def cf_parts(model: Model, queries: DataFrame, text: DataFrame) -> tuple[DataFra
 
 def hybrid(model: Model, queries: DataFrame, text: DataFrame, beta_mode: str = "log",
            zero_is_wish: bool = False, use_style: bool = True, n: int | None = 20) -> DataFrame:
-    """Combine text score, CF, abv penalty and style bonus; rank per query."""
+    """Combine text score, CF, abv penalty and style bonus; rank per query.
+
+    ``beta_mode``: log (F15), linear (F16, from the share of zero predictions), fixed, or sum (H7).
+    """
     q = queries.select("query_id", "reviewer", "abv_desired", "style_desired")
-    pred, betas = cf_parts(model, queries, text)
+    if beta_mode == "linear":
+        users = queries.select("reviewer").distinct()
+        pred, _ = CF.cf_scores(model.train, users, None, model.scale, cells=model.utility())
+        pred = cut_lineage(pred)
+        betas = CF.zero_share(model.utility(), pred, users)
+    else:
+        pred, betas = cf_parts(model, queries, text)
     t = (text.join(q, "query_id")
          .join(pred.withColumnRenamed("pred", "cf"), ["reviewer", "name"], "left")
          .join(betas.select("reviewer", F.lit(True).alias("known"), F.col("beta").alias("b")), "reviewer", "left")
@@ -135,21 +150,25 @@ def rank(df: DataFrame, score: str, n: int | None, key: str = "beer", digits: in
 
 
 def recommend(model: Model, queries: DataFrame, plan: str = "lsh_cf", n: int | None = 20,
-              n_clusters: int = 5, iters: int = 20, seed: int = 7) -> DataFrame:
+              n_clusters: int = 5, iters: int = 300, seed: int = 7, beta: str = "log") -> DataFrame:
+    """The ranked items of every query; ``n=None`` keeps all, ``beta`` is hybrid's ``beta_mode`` (A, B, E, F)."""
     if plan == "lsh_cf":
-        return hybrid(model, queries, text_scores_lsh(model, queries), n=n)
+        return hybrid(model, queries, text_scores_lsh(model, queries), beta, n=n)
     if plan == "lsh_kmeans_cf":
-        return hybrid(model, queries, text_scores_cluster(model, queries, n_clusters, iters, seed), n=n)
+        return hybrid(model, queries, text_scores_cluster(model, queries, n_clusters, iters, seed), beta, n=n)
     if plan == "cosine":
         return score_items(model.train, queries, n).withColumnRenamed("name", "beer")
     if plan == "cf":
         users = queries.select("reviewer").distinct()
-        ranked = CF.recommend_cf(model.train, users, n or 20, model.scale, cells=model.utility())
+        ranked = CF.recommend_cf(model.train, users, n, model.scale, cells=model.utility())
         return queries.select("query_id", "reviewer").join(ranked, "reviewer").select(
             "query_id", F.col("name").alias("beer"), "collab_score", "rank")
     if plan == "fixed_weights":
-        text = text_scores_cluster(model, queries, 15, iters, seed)
-        return hybrid(model, queries, text, beta_mode="fixed", zero_is_wish=True, use_style=False, n=n or 10)
+        text = text_scores_cluster(model, queries, 15, iters, FIXED_SEED)
+        return hybrid(model, queries, text, beta_mode="fixed", zero_is_wish=True, use_style=False, n=n)
+    if plan == "tuning":              # the tuning recommender: 15 clusters, linear beta
+        text = text_scores_cluster(model, queries, 15, iters, FIXED_SEED)
+        return hybrid(model, queries, text, beta_mode="linear", n=n)
     raise ValueError(f"unknown plan {plan!r}")
 
 
@@ -157,7 +176,7 @@ def bucket_score(model: Model, queries: DataFrame, n: int | None = None) -> Data
     """Score of the first candidate row per item in the whole bucket (not the mean)."""
     rows = lsh_candidates(model, queries, with_vectors=False)
     first = rows.groupBy("query_id", "name").agg(F.min_by("similarity", "id").alias("lsh_score"))
-    return hybrid(model, queries, first, n=n)
+    return hybrid(model, queries, first, beta_mode="linear", n=n)
 
 
 def queries_from_test(test: DataFrame, with_info: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 R1 ``stream_reviews``: new review files -> C2/C3 cleaning -> Parquet sink
    (file sink: exactly once through its own log; checkpoint in the shared folder).
-R2 ``stream_dedupe``: keep the first copy of every (name, reviewer, review_text):
+R2 ``stream_dedupe``: keep the first copy of every (name, reviewer, text hash):
    exact mode = foreachBatch: first row per key inside the batch, then a
    left-anti join against everything already written; each batch writes its
    own folder (``batch=<id>``) in overwrite mode, so a retried batch replaces
@@ -51,7 +51,7 @@ def _dedupe_batch(out_path: str, keys_path: str, keys=clean.DEDUPE_KEYS):
     then the rating / abv filters (a first copy with a bad rating still hides later copies)."""
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        first = clean.dedupe_first(batch, keys)
+        first = clean.dedupe_first(clean.with_text_hash(batch), keys)
         if _has_data(spark, keys_path):
             seen = (spark.read.option("basePath", keys_path).parquet(keys_path)
                     .filter(F.col("batch") != batch_id).select(*keys))
@@ -71,7 +71,7 @@ def stream_dedupe(spark: SparkSession, in_path: str, out_path: str, schema, mode
         w = (s.writeStream.foreachBatch(_dedupe_batch(out_path, _ckpt(spark, name + "-keys")))
              .option("checkpointLocation", _ckpt(spark, name)))
     else:
-        ts = s.withColumn("_ts", F.to_timestamp("review_date"))
+        ts = clean.with_text_hash(s).withColumn("_ts", F.to_timestamp("review_date"))
         deduped = cleaned(ts.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(list(clean.DEDUPE_KEYS)).drop("_ts"))
         w = (deduped.writeStream.format("parquet").option("path", out_path)
              .option("checkpointLocation", _ckpt(spark, name)).outputMode("append"))
