@@ -35,11 +35,9 @@ def frequent_pairs(df: DataFrame, support: float, item: str = "name", user: str
     b = baskets(df, item, user, min_rating)
     freq, n_users = frequent_items(b, support)
     fb = b.join(broadcast_if_small(freq.select("item"), "frequent items"), "item", "left_semi")
-    sets = fb.groupBy("user").agg(F.sort_array(F.collect_set("item")).alias("s"))
-    pairs = sets.select(F.explode(F.flatten(F.transform(
-        "s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s") - i - 1), lambda x: F.struct(a.alias("a"), x.alias("b"))))
-    )).alias("p"))
-    counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("users"))
+    # a join on the user: no user's pairs are ever one row, and adaptive execution splits an active user
+    x, y = fb.select("user", F.col("item").alias("a")), fb.select("user", F.col("item").alias("b"))
+    counts = x.join(y, "user").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("users"))
     return counts.filter(F.col("users") > F.lit(support * n_users))
 
 

@@ -10,7 +10,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from ..operators import cf as CF
 from ..operators import clean, split
@@ -23,6 +23,7 @@ from . import evaluate as EV
 from ..operators import cluster as KC
 from ..operators import kmeans as KM
 from ..operators.knn import item_profiles, knn_exact
+from ..sources import io as IO
 from ..sources import pages as PG
 from ..operators import language as LG
 from ..session import table_path
@@ -381,8 +382,85 @@ def q_stream_index(spark, sf_dir):
     return ST.read_index(spark, out)
 
 
+# ---------------------------------------------------------------- sources, keys and defaults
+
+def _raw(spark, sf_dir):
+    return Workspace.load(spark, sf_dir).raw
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """The raw reviews written as CSV with a header and read with the fixed schema."""
+    path = _fresh(spark, "reviews-csv")
+    cols = [f.name for f in IO.REVIEWS_RAW.fields if f.name != "review_text"]
+    _raw(spark, sf_dir).select(*cols).write.option("header", True).csv(path)
+    schema = StructType([f for f in IO.REVIEWS_RAW.fields if f.name != "review_text"])
+    back = IO.read_reviews(spark, path, "csv", schema)
+    return rounded(back.groupBy("location", "rating").agg(
+        F.count(F.lit(1)).alias("reviews"), F.avg("average_rating").alias("mean"), F.min("id").alias("first_id")))
+
+
+def q_append_labels(spark, sf_dir):
+    """Batches appended to a declared table with labels; counts per label."""
+    ws, name = Workspace.load(spark, sf_dir), "appended_" + os.path.basename(_fresh(spark, "t")).replace("-", "_")
+    schema = StructType([f for f in IO.REVIEWS_RAW.fields if f.name in ("id", "name", "subgenre", "location")])
+    IO.ensure_table(spark, name, schema, path=_fresh(spark, "appended"))
+    for place in ("Here", "There"):
+        IO.append_reviews(ws.items.select(F.col("name").alias("beer"), "subgenre"), name,
+                          {"beer": "name", "subgenre": "subgenre"}, location=place)
+    return spark.table(name).groupBy("location", "subgenre").agg(F.count(F.lit(1)).alias("items"), F.count("id").alias("ids"))
+
+
+def q_item_keys(spark, sf_dir):
+    """Dense numbers of the items in the order of their names."""
+    return IO.with_surrogate_key(Workspace.load(spark, sf_dir).items.select("name").sort("name"), "item_id")
+
+
+def q_content_keys(spark, sf_dir):
+    """S8, by content."""
+    return IO.content_key(Workspace.load(spark, sf_dir).items.select("name", "subgenre"), ["name", "subgenre"])
+
+
+def q_embeddings_roundtrip(spark, sf_dir):
+    """Vectors written and read back, as their length and sum."""
+    path = _fresh(spark, "vectors")
+    IO.write_embeddings(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("width"), F.round(total, 4).alias("total"))
+
+
+def q_strict_abv(spark, sf_dir):
+    """Strict percent numbers ('-' is missing), then the default 0."""
+    rows = _raw(spark, sf_dir).select("id", clean.percent_number("abv", strict=True).alias("abv"))
+    return rounded(clean.fill_defaults(rows, text_cols=()))
+
+
+def q_distinct_reviews(spark, sf_dir):
+    """C7."""
+    return clean.distinct_on(_raw(spark, sf_dir), ["name", "reviewer", "rating", "location"])
+
+
+def q_count_location(spark, sf_dir):
+    """The reviews of one nation."""
+    return clean.count_equal(_raw(spark, sf_dir), "location", RESUME_COUNTRY)
+
+
+def q_rating_defaults(spark, sf_dir):
+    """A missing value gets the default."""
+    missing = F.nullif(F.col("rating"), F.lit("Unknown"))
+    return _raw(spark, sf_dir).select("id", PG.coalesce_default(missing, "n/a").alias("rating"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "csv_roundtrip": q_csv_roundtrip,
+        "append_labels": q_append_labels,
+        "item_keys": q_item_keys,
+        "content_keys": q_content_keys,
+        "embeddings_roundtrip": q_embeddings_roundtrip,
+        "strict_abv": q_strict_abv,
+        "distinct_reviews": q_distinct_reviews,
+        "count_location": q_count_location,
+        "rating_defaults": q_rating_defaults,
         "clean_stage_counts": q_stage_counts,
         "item_info": q_item_info,
         "split_summary": q_split_summary,
@@ -442,6 +520,19 @@ def oracle_sql() -> dict[str, str]:
     split_q = O.SPLIT + (O.queries_sql(False),)
     split_qi = O.SPLIT + (O.queries_sql(True),)
     sql = {
+        "csv_roundtrip": W(REVIEWS_RAW_SQL) + """SELECT location, rating, count(*) AS reviews, round(avg(average_rating), 6) AS mean,
+  min(id) AS first_id FROM reviews_raw GROUP BY location, rating""",
+        "append_labels": W(*O.BASE) + """SELECT location, subgenre, count(*) AS items, CAST(0 AS BIGINT) AS ids
+FROM items, (VALUES ('Here'), ('There')) AS p(location) GROUP BY location, subgenre""",
+        "item_keys": W(*O.BASE) + "SELECT name, row_number() OVER (ORDER BY name) - 1 AS item_id FROM items",
+        "content_keys": W(*O.BASE) + "SELECT name, subgenre, md5(concat_ws(chr(1), name, subgenre)) AS id FROM items",
+        "embeddings_roundtrip": """SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width,
+  round(list_reduce(list_prepend(CAST(0 AS DOUBLE), CAST(embedding AS DOUBLE[])), lambda a, x: a + x), 4) AS total FROM embeddings""",
+        "strict_abv": W(REVIEWS_RAW_SQL) + """SELECT id, round(coalesce(CAST(regexp_replace(nullif(abv, '-'), '%+$', '') AS DOUBLE), 0), 6) AS abv
+FROM reviews_raw""",
+        "distinct_reviews": W(REVIEWS_RAW_SQL) + "SELECT DISTINCT name, reviewer, rating, location FROM reviews_raw",
+        "count_location": W(REVIEWS_RAW_SQL) + f"SELECT count(*) AS n FROM reviews_raw WHERE location = '{RESUME_COUNTRY}'",
+        "rating_defaults": W(REVIEWS_RAW_SQL) + "SELECT id, coalesce(nullif(rating, 'Unknown'), 'n/a') AS rating FROM reviews_raw",
         "clean_stage_counts": W(*O.BASE, """
 counts AS (SELECT (SELECT count(*) FROM reviews_raw) AS raw_n, (SELECT count(*) FROM reviews_dedup) AS dedup_n,
   (SELECT count(*) FROM reviews_num WHERE rating_d IS NOT NULL) AS rating_n, (SELECT count(*) FROM reviews) AS abv_n)""")

@@ -1,8 +1,7 @@
 """Size checks in front of every broadcast.
 
-A side is broadcast only after counting it (at most ``max_rows + 1`` rows
-are read for the check); a larger side goes to a shuffle join, where AQE's
-skew handling splits hot keys.
+A side is broadcast only after counting it (partial counts, no rows are moved);
+a larger side goes to a shuffle join, where AQE's skew handling splits hot keys.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ MAX_BROADCAST_ROWS = 2_000_000
 
 
 def small_enough(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, what: str = "", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
