@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
+from ..functions import scoring as SC
 from ..operators import cf as CF
 from ..operators import clean, split
 from ..operators import lsh as LSH
@@ -450,8 +451,55 @@ def q_rating_defaults(spark, sf_dir):
     return _raw(spark, sf_dir).select("id", PG.coalesce_default(missing, "n/a").alias("rating"))
 
 
+# ---------------------------------------------------------------- further forms of scores and features
+
+def q_zscore_cells(spark, sf_dir):
+    """cells standardised per user."""
+    return rounded(CF.utility(Workspace.load(spark, sf_dir).train, "zscore"))
+
+
+def q_like_similarity(spark, sf_dir):
+    """F8: cosine of the binary cells."""
+    ws = Workspace.load(spark, sf_dir)
+    return rounded(CF.user_similarity(CF.utility(ws.train, "like"), "cosine", ws.test.select("reviewer").distinct()))
+
+
+PENALTIES = ("scaled_square", "square", "linear", "log", "log_scaled", "linear_scaled")
+WISH = 5.0
+
+
+def q_abv_penalties(spark, sf_dir):
+    """H1-H3: every penalty shape for a wish, and the penalty of a wish for none."""
+    items = Workspace.load(spark, sf_dir).items
+    return rounded(items.select("name", *[SC.abv_penalty("abv", WISH, kind).alias(kind) for kind in PENALTIES],
+                                SC.abv_penalty("abv", 0.0, zero_is_wish=True).alias("zero_wish")))
+
+
+def q_plain_sum(spark, sf_dir):
+    """H7: text and CF scores with weights 1 and 1."""
+    ws = Workspace.load(spark, sf_dir)
+    return rounded(recommend(ws.model(), ws.queries(True), "lsh_cf", n=20, beta="sum").select("query_id", "beer", "score", "rank"))
+
+
+def q_abv_scaled(spark, sf_dir):
+    """K5: abv of the items, standardised with the population deviation."""
+    items = Workspace.load(spark, sf_dir).items.select("name", "abv")
+    return rounded(KC.fit_standardizer(items).transform(items))
+
+
+def q_tfidf_terms(spark, sf_dir):
+    """K4: the terms of the vocabulary (most frequent in the documents), their counts and idf."""
+    return rounded(KC.tfidf_terms(_texts(spark, sf_dir), max_features=100))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "cf_zscore_cells": q_zscore_cells,
+        "cf_like_similarity": q_like_similarity,
+        "abv_penalties": q_abv_penalties,
+        "recommend_plain_sum": q_plain_sum,
+        "abv_scaled": q_abv_scaled,
+        "tfidf_terms": q_tfidf_terms,
         "csv_roundtrip": q_csv_roundtrip,
         "append_labels": q_append_labels,
         "item_keys": q_item_keys,
@@ -520,6 +568,32 @@ def oracle_sql() -> dict[str, str]:
     split_q = O.SPLIT + (O.queries_sql(False),)
     split_qi = O.SPLIT + (O.queries_sql(True),)
     sql = {
+        "cf_zscore_cells": W(*O.SPLIT, """
+mom AS (SELECT reviewer, avg(rating) AS m, stddev_samp(rating) AS sd FROM train GROUP BY reviewer)""")
+        + """SELECT t.reviewer, t.name, round(avg(rating), 6) AS r,
+  round(avg(CASE WHEN sd > 0 THEN (rating - m) / sd ELSE 0 END), 6) AS x FROM train t JOIN mom USING (reviewer) GROUP BY t.reviewer, t.name""",
+        "cf_like_similarity": W(*O.SPLIT, """
+cl AS (SELECT reviewer, name, avg(CASE WHEN rating >= 3 THEN 1.0 ELSE 0.0 END) AS x FROM train GROUP BY reviewer, name),
+nl AS (SELECT reviewer, sqrt(sum(x * x)) AS n FROM cl WHERE x <> 0 GROUP BY reviewer)""")
+        + """SELECT a.reviewer AS u, b.reviewer AS v, round(sum(a.x * b.x) / (nu.n * nv.n), 6) AS sim
+FROM cl a JOIN cl b ON a.name = b.name JOIN nl nu ON nu.reviewer = a.reviewer JOIN nl nv ON nv.reviewer = b.reviewer
+WHERE a.reviewer IN (SELECT reviewer FROM test) AND a.x <> 0 AND b.x <> 0 GROUP BY a.reviewer, b.reviewer, nu.n, nv.n""",
+        "abv_penalties": W(*O.BASE) + f"""SELECT name, round(-0.05 * (abv - {WISH}) * (abv - {WISH}) / (pow({WISH}, 1.5) + 1), 6) AS scaled_square,
+  round(-0.05 * (abv - {WISH}) * (abv - {WISH}), 6) AS square, round(-0.05 * (abv - {WISH}), 6) AS linear,
+  round(-0.05 * ln(1 + abs(abv - {WISH})), 6) AS log, round(-0.05 * ln(1 + abs(abv - {WISH}) / {WISH}), 6) AS log_scaled,
+  round(-0.05 * abs(abv - {WISH}) / {WISH}, 6) AS linear_scaled, round(-2.0 * abs(abv), 6) AS zero_wish FROM items""",
+        "recommend_plain_sum": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
+                                 "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
+                                 O.hybrid_ctes("text"), """
+plain AS (SELECT query_id, beer, lsh_score + collab_score + abv_weight + style_bonus AS score FROM parts),
+plain_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, beer) AS rank FROM plain)""")
+        + "SELECT query_id, beer, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM plain_ranked WHERE rank <= 20",
+        "abv_scaled": W(*O.BASE) + """SELECT name, round(abv, 6) AS abv,
+  round((abv - (SELECT avg(abv) FROM items)) / (SELECT stddev_pop(abv) FROM items), 6) AS abv_scaled FROM items""",
+        "tfidf_terms": r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pM\p{Nd}\p{Pc}]+')) term FROM documents),
+c AS (SELECT term, count(*) n, count(DISTINCT doc_id) df FROM t WHERE length(term) >= 2 GROUP BY term),
+k AS (SELECT *, row_number() OVER (ORDER BY n DESC, term) r FROM c)
+SELECT term, n, df, round(ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf FROM k WHERE r <= 100""",
         "csv_roundtrip": W(REVIEWS_RAW_SQL) + """SELECT location, rating, count(*) AS reviews, round(avg(average_rating), 6) AS mean,
   min(id) AS first_id FROM reviews_raw GROUP BY location, rating""",
         "append_labels": W(*O.BASE) + """SELECT location, subgenre, count(*) AS items, CAST(0 AS BIGINT) AS ids
