@@ -1,11 +1,11 @@
 """Connected components by alternating large-star and small-star, as Spark joins.
 
 Each round points every larger neighbour of a vertex at its smallest neighbour
-(large-star), then every smaller one (small-star), until the edges stay the same:
-each component is then a star around its smallest vertex.  A hub's neighbours are
+(large-star), then every smaller one (small-star), until each component is a star
+around its smallest vertex.  A hub's neighbours are
 never gathered in one row: the minimum is a partial aggregate, and it is joined
 back to the edges (adaptive execution splits a hot hub).  Rounds are cut with
-``checkpoint()``.
+``checkpoint()``; they end when every component is a star.
 """
 
 from __future__ import annotations
@@ -34,8 +34,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _print(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+def _is_star(edges: DataFrame) -> bool:
+    """Whether each vertex points at one other, which points at none."""
+    ends = edges.select(F.col("u").alias("vertex"), F.lit(1).alias("out")).union(
+        edges.select(F.col("v").alias("vertex"), F.lit(None).cast("int")))
+    return ends.groupBy("vertex").agg(F.count("out").alias("out"), F.count_if(F.col("out").isNull()).alias("in")).filter(
+        (F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) -> (u, v): each vertex that isn't the smallest of its component, and the smallest."""
+    edges = cut_lineage(links.filter("u <> v").select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _is_star(edges):
+        edges = cut_lineage(_small_star(_large_star(edges)))
+    return edges
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,14 +56,6 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and loops are left out; repeated links count once; no links give no rows.
     """
-    edges = cut_lineage(links.filter("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = _print(edges)
-    while seen["n"]:
-        edges = cut_lineage(_small_star(_large_star(edges)))
-        now = _print(edges)
-        if now == seen:
-            break
-        seen = now
-    stars = edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    return stars.union(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+    edges = stars(links)
+    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())

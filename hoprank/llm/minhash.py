@@ -2,23 +2,27 @@
 
 1. One Arrow pass over the texts: the set of 5-word shingles (A-Z lower-cased), its
    size, a 128-bit fingerprint of the set, and the minima of HASHES universal hash
-   functions over it.
+   functions over it; kept are the last byte of each and the keys of the bands.
 2. Equal sets collapse to one class (smallest doc_id), whatever their number.
-3. Banding: BANDS hashes of ROWS minima each.  At a similarity of 0.75 a pair shares
+3. Banding: BANDS hashes of ROWS of the minima each.  At a similarity of 0.75 a pair shares
    no band with probability (1 - 0.75**4)**32, about 5e-6.
-4. Links are found in rounds that together test every candidate pair which isn't
-   already in one component: first each class against the smallest class of a shared
-   bucket, then, in buckets that still hold several components, all pairs across
-   components, best signature first.  So a bucket of thousands of copies costs one
-   test per copy, and yet no link between components is lost.  Pairs whose signatures
-   agree in fewer than SURE of the minima are dropped: at 0.75 that is five standard
-   deviations below the mean.  Every other pair is decided on its full sets.
-5. Components by alternating large-star and small-star.
+4. A shingle that only one class has is no part of any intersection, so the other
+   shingles of two classes bound their similarity from above, exactly.
+5. Links are found in rounds that together test every candidate pair which isn't
+   already in one component: first each class against the hub of a shared bucket, the
+   class with the fewest shingles of its own (in a group of edited copies the
+   original); then, in buckets that still hold several components, all pairs across
+   components that the bound allows, the best of each two components first.  So a bucket of thousands
+   of copies costs about one test per copy, and yet no link between components is
+   lost.  Pairs whose signatures agree in fewer than SURE of the minima are dropped:
+   at 0.75 that is four and a half standard deviations below the mean.  Every other pair is
+   decided on its full sets.
+6. Components by alternating large-star and small-star.
 
 Defined results: null, empty or blank texts have no shingles and are linked with
 nothing (component_id = doc_id); a text of one to four words is one shingle; rows
-that share a doc_id are one vertex and so are linked with each other; a null doc_id
-is linked with nothing, its component_id is null and it is kept; other columns are
+that share a doc_id are linked with each other, so that they have one component; a null
+doc_id is linked with nothing, its component_id is null and it is kept; other columns are
 not looked at; an empty table gives no rows.
 """
 
@@ -30,22 +34,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import common as C
-from .components import components
+from .components import stars
 
-WORDS, BANDS, ROWS = 5, 32, 4
-HASHES = BANDS * ROWS
+WORDS, BANDS, ROWS, HASHES = 5, 32, 4, 512
 #: Percent of the union that the intersection must have.
 PERCENT = 75
-#: Least number of equal minima of a pair that is tested on full sets.
-SURE = int(HASHES * (0.75 - 5 * (0.75 * 0.25 / HASHES) ** 0.5))
-#: Buckets above this many classes are paired in blocks of it.
+#: Least number of equal minima (by their last bytes) of a pair that is tested on full sets.
+SURE = int(HASHES * (0.75 - 4.5 * (0.75 * 0.25 / HASHES) ** 0.5))
+#: Buckets above this many classes are compared in blocks of it.
 BLOCK = 512
-#: Pairs of two components that a round tests, best first; None: all that are left.
-ROUNDS = (1, 8, None)
-
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -86,6 +85,14 @@ def minima(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sig
 
 
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket keys of each signature, one for each band."""
+    part = sig[:, :BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
+    with np.errstate(over="ignore"):
+        return C.mix(C.mix((C.mix(part + np.uint64(1)) * _BAND).sum(axis=2, dtype=np.uint64))
+                     + np.arange(BANDS, dtype=np.uint64))
+
+
 def _sign(batches):
     for rb in batches:
         for s in C.slices(rb.column("body"), C.SLICE_BYTES // 4):   # the hash loop runs in the cache
@@ -95,24 +102,14 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), C.int64s(np.diff(offs)),
                 C.binary_array([hashlib.blake2b(sets[a:b], digest_size=16).digest() for a, b in zip(offs, offs[1:])]),
-                C.binary_array([x.tobytes() for x in sig])], names=["doc_id", "n_shingles", "fp", "sig"])
+                C.binary_array([x.tobytes() for x in sig.astype(np.uint8)]),
+                C.lists(C.int64s(_band_keys(sig).ravel()), np.arange(s.rows() + 1) * BANDS)],
+                names=["doc_id", "n_shingles", "fp", "sig", "keys"])
 
 
 def _as_matrix(col: pa.Array) -> np.ndarray:
-    return np.concatenate([C.binary_parts(col)[1][o:e].view(np.uint32) for o, e in
-                           [C.binary_parts(col)[0][[0, -1]]]]).reshape(-1, HASHES) if len(col) else \
-        np.zeros((0, HASHES), np.uint32)
-
-
-def _bands(batches):
-    """Bucket keys of each class: one row per band."""
-    number = np.arange(BANDS, dtype=np.uint64)
-    for rb in batches:
-        sig = _as_matrix(rb.column("sig")).astype(np.uint64).reshape(-1, BANDS, ROWS)
-        with np.errstate(over="ignore"):
-            key = C.mix(C.mix((C.mix(sig + np.uint64(1)) * _BAND).sum(axis=2, dtype=np.uint64)) + number)
-        v = rb.column("v").to_numpy()
-        yield pa.RecordBatch.from_arrays([C.int64s(key.ravel()), C.int64s(np.repeat(v, BANDS))], names=["key", "v"])
+    offs, data = C.binary_parts(col)
+    return data[offs[0]:offs[-1]].reshape(-1, HASHES)
 
 
 def _agree(batches):
@@ -123,21 +120,55 @@ def _agree(batches):
                                          names=["x", "y", "same"])
 
 
+def _compare(batches):
+    """Two blocks of a bucket (lists of MEMBER): pairs that may be links across components, in their first shared band."""
+    def block(col):
+        m = col.values
+        number = [m.field(k).to_numpy() for k in ("v", "c", "size", "common")]
+        return col.offsets.to_numpy(), number, _as_matrix(m.field("sig")), m.field("keys").flatten().to_numpy().reshape(-1, BANDS)
+
+    for rb in batches:
+        (la, (va, ca, na, ma), sa, ka), (lb, (vb, cb, nb, mb), sb, kb) = block(rb.column("some")), block(rb.column("all"))
+        out = [[], [], [], [], []]
+        for r, (key, most) in enumerate(zip(rb.column("key").to_numpy(), rb.column("most").to_numpy())):
+            a, b = slice(la[r], la[r + 1]), slice(lb[r], lb[r + 1])
+            ok = (ca[a, None] != cb[None, b]) & ((cb[None, b] == most) | (ca[a, None] < cb[None, b]))
+            # the smaller number of common shingles is the most that the intersection can be
+            ok &= (100 + PERCENT) * np.minimum(ma[a, None], mb[None, b]) >= PERCENT * (na[a, None] + nb[None, b])
+            i, j = np.nonzero(ok)
+            for k in range(0, len(i), 8192):
+                p, q = i[k:k + 8192] + la[r], j[k:k + 8192] + lb[r]
+                shared = ka[p] == kb[q]
+                here = ka[p, shared.argmax(axis=1)] == key
+                p, q = p[here], q[here]
+                n = (sa[p] == sb[q]).sum(axis=1)
+                p, q, n = p[n >= SURE], q[n >= SURE], n[n >= SURE]
+                out[0].append(np.minimum(va[p], vb[q]))
+                out[1].append(np.maximum(va[p], vb[q]))
+                out[2].append(np.minimum(ca[p], cb[q]))
+                out[3].append(np.maximum(ca[p], cb[q]))
+                out[4].append(n)
+        if out[0]:
+            x, y, cx, cy, same = map(np.concatenate, out)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(cx), pa.array(cy),
+                                              pa.array(same.astype(np.int32))], names=["x", "y", "cx", "cy", "same"])
+
+
 def _sets(batches):
     for rb in batches:
         for s in C.slices(rb.column("body")):
             sets, offs = shingles(s)
-            yield pa.RecordBatch.from_arrays([
-                rb.column("v").slice(s.lo, s.rows()),
-                C.binary_array([sets[a:b].tobytes() for a, b in zip(offs, offs[1:])])], names=["v", "shingles"])
+            yield pa.RecordBatch.from_arrays([rb.column("v").slice(s.lo, s.rows()), C.lists(C.int64s(sets), offs)],
+                                             names=["v", "shingles"])
 
 
 def _confirm(batches):
     """The pairs whose full sets are similar enough."""
     for rb in batches:
         keep = []
-        for i, (a, b) in enumerate(zip(rb.column("ax"), rb.column("ay"))):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+        (x, xs), (y, ys) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (rb.column("ax"), rb.column("ay")))
+        for i in range(rb.num_rows):
+            a, b = xs[x[i]:x[i + 1]], ys[y[i]:y[i + 1]]
             both = np.concatenate([a, b])
             both.sort(kind="stable")
             inter = int((both[1:] == both[:-1]).sum())
@@ -149,12 +180,12 @@ def _confirm(batches):
 
 def signatures(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.body(F.col("text")).alias("body"))
-    return C.written(rows.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig binary"), "minhash")
+    return C.written(rows.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig binary, keys array<long>"), "minhash")
 
 
-def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Signature check of pairs (x, y): those with enough equal minima, and their number."""
-    x, y = (classes.select(F.col("v").alias(k), F.col("sig").alias("s" + k)) for k in "xy")
+    x, y = (marks.select(F.col("v").alias(k), F.col("sig").alias("s" + k)) for k in "xy")
     return pairs.join(x, "x").join(y, "y").select("x", "y", "sx", "sy").mapInArrow(
         _agree, "x long, y long, same int").filter(F.col("same") >= SURE)
 
@@ -165,27 +196,51 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         _confirm, "u long, v long").distinct()
 
 
-def _across(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one bucket whose components differ.
+def _bounds(sets: DataFrame) -> DataFrame:
+    """v, size and number of shingles that some other class has as well."""
+    one = sets.select("v", F.explode("shingles").alias("h"))
+    own = (one.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v")).filter("c = 1")
+           .groupBy(F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("own")))
+    return (sets.groupBy("v").agg(F.max(F.size("shingles")).cast("long").alias("size"))
+            .join(own, F.col("v") == F.col("_v"), "left")
+            .select("v", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common")))
+
+
+def _named(rows: DataFrame, vertex: str, comps: DataFrame, to: str) -> DataFrame:
+    """Add the component of column ``vertex``: the end of its edge in the stars, or itself."""
+    edge = comps.select(F.col("u").alias("_u"), F.col("v").alias("_end"))
+    return rows.join(edge, F.col(vertex) == F.col("_u"), "left").withColumn(to, F.coalesce("_end", vertex)).drop("_u", "_end")
+
+
+def _across(buckets: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (x, y) of one bucket whose components (cx < cy) differ and that the bound allows.
 
     Of a bucket's largest component only the partners of the others are wanted, so one
-    side of the join holds the others alone; it is dealt over blocks of the bucket.
+    side of the join holds the others alone.  Blocks of the bucket meet in the join, and
+    their members are compared inside the task, so that rows are only made for pairs
+    whose signatures agree.
     """
-    member = buckets.join(comps, F.col("v") == F.col("vertex"), "left").select(
-        "key", "v", F.coalesce("component", "v").alias("c"))
+    member = _named(buckets, "v", comps, "c")
     several = (member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                          F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n"))
     member = member.join(several, "key")
     most = (member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
             .groupBy("key").agg(F.max(F.struct("m", "c")).alias("top")).select("key", F.col("top.c").alias("most")))
-    member = member.join(most, "key").withColumn("blocks", F.expr(f"int((n - 1) div {BLOCK}) + 1"))
-    left = member.filter("c <> most").select(
-        "key", F.col("v").alias("a"), F.col("c").alias("ca"),
-        F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    right = member.select("key", F.col("v").alias("b"), F.col("c").alias("cb"), "most",
-                          F.expr("int(pmod(xxhash64(v), blocks))").alias("block"))
-    return (left.join(right, ["key", "block"]).filter("ca <> cb and (cb = most or ca < cb)")
-            .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
+    member = member.join(most, "key").withColumn(
+        "block", F.expr(f"pmod(xxhash64(v), (n - 1) div {BLOCK} + 1)")).join(marks, "v")
+    blocks = [side.groupBy("key", "most", "block").agg(F.collect_list(F.struct(
+        "v", "c", "size", "common", "sig", "keys")).alias(name)).drop("block")
+        for name, side in (("some", member.filter("c <> most")), ("all", member))]
+    return blocks[0].join(blocks[1].drop("most"), "key").mapInArrow(_compare, "x long, y long, cx long, cy long, same int")
+
+
+def _same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id."""
+    several = some.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select(
+        F.col("doc_id").alias("_d"))
+    own = some.join(several, F.col("doc_id") == F.col("_d"), "left_semi").select("doc_id", "fp").join(
+        classes.select(F.col("fp").alias("_fp"), "v"), F.col("fp") == F.col("_fp"))
+    return own.select(F.col("doc_id").alias("u"), "v").filter("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,44 +248,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = signatures(docs)
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = C.written(
-        some.groupBy("fp").agg(F.min(F.struct("doc_id", "sig")).alias("a"))
-        .select("fp", F.col("a.doc_id").alias("v"), F.col("a.sig").alias("sig")), "classes")
-    keyed = classes.select("v", "sig").mapInArrow(_bands, "key long, v long")
-    hubs = keyed.groupBy("key").agg(F.min("v").alias("hub"), F.max("v").alias("other"),
-                                    F.count(F.lit(1)).alias("n")).filter("hub <> other")
-    buckets = C.written(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
+        some.groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("a"))
+        .select("fp", F.col("a.doc_id").alias("v"), F.col("a.sig").alias("sig"), F.col("a.keys").alias("keys")), "classes")
+    keyed = classes.select("v", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("key")
+    buckets = C.written(keyed.join(shared, "key"), "buckets")
 
-    # each class against the hub with which it shares most bands
-    shared = buckets.filter("v <> hub").groupBy("v", "hub").agg(F.count(F.lit(1)).alias("n"))
-    first = shared.groupBy("v").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("a")).select(
-        F.expr("-a.h").alias("x"), F.col("v").alias("y"))
     involved = buckets.select(F.col("v").alias("_v")).distinct()
+    marks = C.written(classes.join(involved, F.col("v") == F.col("_v"), "left_semi").select("v", "sig", "keys"), "marks")
     texts = docs.select(F.col("doc_id").cast("long").alias("v"), C.body(F.col("text")).alias("body"))
     sets = C.written(texts.join(involved, F.col("v") == F.col("_v"), "left_semi").mapInArrow(
-        _sets, "v long, shingles binary"), "shingles")
-    # classes that share a doc_id are one vertex already; the same goes for their links
-    links = C.written(_verified(_similar(first, classes), sets), "links")
-    comps = components(links)
-    pairs = C.written(_similar(_across(buckets.select("key", "v"), comps), classes), "pairs")
-
-    for k in ROUNDS:
-        x, y = (comps.select(F.col("vertex").alias(e), F.col("component").alias("c" + e)) for e in "xy")
-        pairs = pairs.join(x, "x", "left").join(y, "y", "left").withColumns(
-            {"c" + e: F.coalesce("c" + e, e) for e in "xy"}).filter("cx <> cy")
-        pairs = pairs.withColumns({"cx": F.least("cx", "cy"), "cy": F.greatest("cx", "cy")})
-        if k:
-            order = Window.partitionBy("cx", "cy").orderBy(F.desc("same"), "x", "y")
-            test = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        else:
-            test = pairs
+        _sets, "v long, shingles array<long>"), "shingles")
+    bounds = C.written(_bounds(sets), "bounds")
+    members = buckets.join(bounds, "v")
+
+    # each class against the hub with which it shares most bands
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.expr("size - common").alias("own"), "v")).alias("h")).select(
+        "key", F.col("h.v").alias("hub"))
+    together = buckets.join(hubs, "key").filter("v <> hub").groupBy("v", "hub").agg(F.count(F.lit(1)).alias("n"))
+    first = together.groupBy("v").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("a")).select(
+        F.expr("-a.h").alias("x"), F.col("v").alias("y"))
+    links = C.written(_verified(_similar(first, marks), sets).union(_same_id(some, classes)), "links")
+    comps = stars(links)
+    pairs = C.written(_across(members, comps, marks), "pairs")
+
+    # the best pair of each two components, then all pairs that still are between components
+    best = pairs.groupBy("cx", "cy").agg(F.max(F.struct("same", "x", "y")).alias("b")).select("b.x", "b.y")
+    for test in (best, None):
+        if test is None:
+            test = _named(_named(pairs, "cx", comps, "dx"), "cy", comps, "dy").filter("dx <> dy")
         new = C.written(_verified(test, sets), "links")
-        pairs = pairs.select("x", "y", "same")
-        if new.isEmpty():
-            continue
-        links = links.union(new)
-        comps = components(links)
-    member = (classes.join(comps, F.col("v") == F.col("vertex"), "left")
-              .select(F.col("fp").alias("_fp"), F.coalesce("component", "v").alias("_c")))
+        if not new.isEmpty():
+            comps = stars(comps.select("u", "v").union(new))
+    member = _named(classes.select("fp", "v"), "v", comps, "_c").select(F.col("fp").alias("_fp"), "_c")
     return (signed.join(member, F.col("fp") == F.col("_fp"), "left")
             .select("doc_id", "n_shingles",
                     F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_c"))
@@ -245,7 +295,7 @@ def near_dup_query(spark, sf_dir: str) -> DataFrame:
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id (rows that repeat it stay with it)."""
     out = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long") == F.col("_d"), "left_anti")
+    return docs.join(out, docs["doc_id"].cast("long") == out["_d"], "left_anti")
 
 
 SQL = r"""
