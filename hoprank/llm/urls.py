@@ -3,7 +3,8 @@
 Labelled pages (bad: low quality or toxic) are counted per host, registered domain and
 suffix.  The bad rate of each level is shrunk towards the next wider one by a
 beta-binomial prior: all pages -> suffix -> domain -> host.  The strength of each prior
-comes from the spread of the rates between the groups of its level (method of moments).
+comes from the spread of the rates between the groups of its level (method of moments);
+the rate of all pages starts from one bad page in four.
 A host without rule is blocked when the lower bound of its posterior bad rate (mean less
 Z standard deviations) is above MAX_BAD; hosts without labels have the prior of their
 domain.
@@ -87,7 +88,7 @@ def host_verdicts(pages: DataFrame, labels: DataFrame) -> DataFrame:
               .withColumn("suffix", F.substring_index("domain", ".", -1)))
     counts = C.written(counts, "hosts")
     domains, suffixes = _level(counts, ["domain", "suffix"]), _level(counts, ["suffix"])
-    every = counts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
+    every = counts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 4)).alias("m0"))
     known = [x.filter("n > 0") for x in (suffixes, domains, counts)]
     # the mean over all pages and a strength for each level: four numbers
     numbers = every.select(F.lit("m0").alias("name"), F.col("m0").alias("value"))
@@ -141,7 +142,7 @@ h AS (SELECT host, count(bad) n, coalesce(sum(bad), 0) bad, array_to_string(list
    FROM u LEFT JOIN l ON page_id = doc_id GROUP BY host),
 d AS (SELECT domain, list_slice(string_split(domain, '.'), -1, -1)[1] suffix, sum(n) n, sum(bad) bad FROM h GROUP BY domain),
 s AS (SELECT suffix, sum(n) n, sum(bad) bad FROM d GROUP BY suffix),
-c AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) m0, {k['ks']} ks, {k['kd']} kd, {k['kh']} kh FROM h),
+c AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 4) m0, {k['ks']} ks, {k['kd']} kd, {k['kh']} kh FROM h),
 ms AS (SELECT suffix, (bad + ks * m0) / (n + ks) ms FROM s, c),
 md AS (SELECT domain, (bad + kd * ms) / (n + kd) md FROM d JOIN ms USING (suffix), c),
 mh AS (SELECT host, (bad + kh * md) / (n + kh) m, n + kh n FROM h JOIN md USING (domain), c),
