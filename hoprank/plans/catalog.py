@@ -283,6 +283,22 @@ def q_page_paragraphs(spark, sf_dir):
     return PG.page_paragraphs(_table(spark, sf_dir, "pages"))
 
 
+RECORD, RECORD_END = r"<li>", r"(?s)</li.*$"
+RECORD_LINK, RECORD_NAME = r'href="([^"]*)"', r"(?s)<a[^>]*>(.*)$"
+
+
+def q_page_records(spark, sf_dir):
+    """The list entries of every page as records, with the page's title as a constant."""
+    return PG.extract_records(_table(spark, sf_dir, "pages"), RECORD, RECORD_END,
+                              {"link": (RECORD_LINK, 1), "name": (RECORD_NAME, 1)}, {"title": (PG.TITLE, 1)}, keep=("page_id",))
+
+
+def q_first_pages(spark, sf_dir):
+    """P5: the first three review pages of every item with enough reviews."""
+    items = Workspace.load(spark, sf_dir).reviews.groupBy("name").agg(F.max("total_reviews").alias("count"))
+    return PG.first_pages(PG.filter_popular(items, "count"), 3)
+
+
 RESUME_COUNTRY, RESUME_STYLE = "NATION_6", "PROMO"
 
 
@@ -372,6 +388,14 @@ def q_stream_dedupe(spark, sf_dir):
     return rounded(spark.read.option("basePath", out).parquet(out).drop("batch", "year"))
 
 
+def q_stream_dedupe_keys(spark, sf_dir):
+    """R2: the keys that the stream has taken in, each once; which copy came first doesn't matter to them."""
+    src, schema = _stream_input(spark, sf_dir, Workspace.load(spark, sf_dir))
+    out = _fresh(spark, "stream-dedupe")
+    ST.stream_dedupe(spark, src, out, schema, name=os.path.basename(out)).awaitTermination()
+    return ST.seen_keys(spark, os.path.basename(out)).groupBy("name", "reviewer", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def q_stream_index(spark, sf_dir):
     """Index extended batch by batch; equals the batch-built index of the same rows."""
     ws = Workspace.load(spark, sf_dir)
@@ -556,6 +580,9 @@ def queries() -> dict[str, QueryFn]:
         "review_languages_en": q_review_languages,
         "stream_clean": q_stream_clean,
         "stream_dedupe": q_stream_dedupe,
+        "stream_dedupe_keys": q_stream_dedupe_keys,
+        "page_records": q_page_records,
+        "review_first_pages": q_first_pages,
         "stream_index": q_stream_index,
     }
 
@@ -567,7 +594,17 @@ def oracle_sql() -> dict[str, str]:
     W = O.with_ctes
     split_q = O.SPLIT + (O.queries_sql(False),)
     split_qi = O.SPLIT + (O.queries_sql(True),)
+    def field(text, pattern):
+        return "nullif(" + _strip_sql(f"regexp_extract({text}, '{pattern}', 1)") + ", '')"
     sql = {
+        "stream_dedupe_keys": W(*O.BASE) + "SELECT name, reviewer, text_hash, CAST(1 AS BIGINT) AS rows FROM reviews_dedup",
+        "page_records": f"""WITH b AS (SELECT page_id, {field("html", PG.TITLE)} AS title, string_split_regex(html, '{RECORD}') AS p FROM pages),
+r AS (SELECT page_id, title, unnest(p[2:]) AS raw, generate_subscripts(p[2:], 1) - 1 AS pos FROM b),
+c AS (SELECT page_id, title, CAST(pos AS INTEGER) AS pos, regexp_replace(raw, '{RECORD_END}', '') AS t FROM r)
+SELECT page_id, title, pos, {field("t", RECORD_LINK)} AS link, {field("t", RECORD_NAME)} AS name FROM c""",
+        "review_first_pages": W(*O.BASE, """
+items_n AS (SELECT name, max(total_reviews) AS count FROM reviews GROUP BY name HAVING max(total_reviews) > 10)""")
+        + "SELECT name, count, CAST(unnest([1, 2, 3]) AS INTEGER) AS page FROM items_n",
         "cf_zscore_cells": W(*O.SPLIT, """
 mom AS (SELECT reviewer, avg(rating) AS m, stddev_samp(rating) AS sd FROM train GROUP BY reviewer)""")
         + """SELECT t.reviewer, t.name, round(avg(rating), 6) AS r,

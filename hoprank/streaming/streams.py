@@ -79,6 +79,12 @@ def stream_dedupe(spark: SparkSession, in_path: str, out_path: str, schema, mode
     return w.start()
 
 
+def seen_keys(spark: SparkSession, name: str = "dedupe") -> DataFrame:
+    """The keys that an exact de-duplication stream has kept a row for."""
+    path = _ckpt(spark, name + "-keys")
+    return spark.read.option("basePath", path).parquet(path).drop("batch")
+
+
 def stream_index(spark: SparkSession, rows_path: str, index_path: str, schema, planes: np.ndarray,
                  name: str = "index", vec: str = "embedding", available_now: bool = True):
     """Extend the LSH index with every batch (fixed planes)."""
