@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from ..functions import scoring as SC
+from ..functions.arrowvec import query_blocks
 from ..operators import cf as CF
 from ..operators import clean, split
 from ..operators import lsh as LSH
@@ -251,10 +252,12 @@ def q_bucket_projection(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
     model = ws.model()
     q = ws.queries()
-    rows = lsh_candidates(model, q).select("query_id", "id", "embedding")
-    fitted = KM.keyed_kmeans(rows, 5)
-    labels = fitted.labels(rows).drop("embedding").join(ws.train.select("id", "embedding"), "id")
-    return rounded(KC.project_bucket(labels, "embedding", 2))
+    labels = None
+    for block in query_blocks(q.select("query_id", "embedding"), per_query=5):
+        rows = lsh_candidates(model, block).select("query_id", "id", "embedding")
+        part = KM.keyed_kmeans(rows, 5).labels(rows).drop("embedding")
+        labels = part if labels is None else labels.union(part)
+    return rounded(KC.project_bucket(labels.join(ws.train.select("id", "embedding"), "id"), "embedding", 2))
 
 
 def q_latent_topn(spark, sf_dir):
