@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from hoprank.fixtures import table, with_text
 from hoprank.operators import language as LG
 from hoprank.operators import mining as MI
 from hoprank.operators import themes as TH
@@ -39,7 +40,10 @@ def test_token_rule(spark):
 
 
 def test_top_terms_skip_stop_words(spark, ws):
-    top = TH.top_terms(ws.reviews, 5)
+    texts = table(spark, ws.sf_dir, "documents").selectExpr("doc_id doc_key", "text review_text")
+    top = TH.top_terms_by_text(ws.reviews, texts, 5)
+    plain = TH.top_terms(with_text(spark, ws.sf_dir, ws.reviews), 5)
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, plain.collect()))
     sw = set(TH.stop_word_list())
     rows = top.collect()
     assert rows and not any(r.term in sw for r in rows) and max(r.term_rank for r in rows) <= 5
