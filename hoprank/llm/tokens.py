@@ -34,7 +34,7 @@ VOCABULARY, END = "word_bpe_49k.json", 1
 #: Rows between two row index entries; bytes of a stripe.
 STRIDE, STRIPE = 1000, 16 << 20
 #: Pieces in each of the two generations of a worker's cache; longer pieces than LONG bytes are not kept.
-KEPT, LONG = 250_000, 48
+KEPT, LONG = 100_000, 48
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 #: Marks that the tokenizer cuts off from letters in one run (no apostrophe, and none of those in special tokens).
 MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -127,6 +127,7 @@ def _encode(path: str, end: int):
 
     def run(batches):
         if path not in _encoders:
+            pa.default_memory_pool().release_unused()     # what earlier stages have left in this worker
             _encoders[path] = Encoder(path)
         known = _encoders[path]
         for rb in batches:
