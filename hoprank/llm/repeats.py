@@ -11,9 +11,10 @@ edge would cost many times the text, so edges travel as paths:
    repeated edge.  An anchor under which one path occurs again and again, and no
    other, is compacted: all its edges are repeated.  Only where several different
    paths share an anchor does the graph branch.
-3. The states are joined back to the source coordinates.  Branching paths are opened
-   into their edges, which are counted one by one under (anchor, window hash) - 128
-   bits - and joined back to their coordinates.
+3. The states are joined back to the source coordinates.  Of branching paths, those that
+   occur again are repeated as a whole, and one occurrence stands for all; it and the
+   single ones are opened into their edges, which are counted under (anchor, window
+   hash) - 128 bits - and the edges of single paths are joined back to their coordinates.
 4. Repeated windows are joined to spans of words per document, and the words under
    them are removed.
 
@@ -39,8 +40,7 @@ from . import common as C
 WINDOW, ANCHOR = 35, 10
 
 PATHS = "doc_id long, th long, anchor long, path long, start int, n int"
-EDGES = "doc_id long, th long, anchor long, edge long, start int"
-SPANS = "doc_id long, th long, spans array<struct<a: int, b: int>>"
+EDGES = "doc_id long, th long, anchor long, edge long, start int, w int"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -91,15 +91,15 @@ def _paths(batches):
 
 
 def _flat(col: pa.Array):
-    """Offsets and the two int arrays of a column of lists of (a, b)."""
+    """Offsets and the int arrays of a column of lists of (a, b, w)."""
     offs = col.offsets.to_numpy().astype(np.int64)
-    return offs, col.values.field(0).to_numpy(), col.values.field(1).to_numpy()
+    return offs, *(col.values.field(k).to_numpy() for k in range(3))
 
 
 def _edges(batches):
-    """Open the branching paths of a text (``spans``: first window, number of windows) into edges."""
+    """Open the branching paths of a text (``spans``: first window, number of windows, weight) into edges."""
     for rb in batches:
-        offs, start, n = _flat(rb.column("spans"))
+        offs, start, n, weight = _flat(rb.column("spans"))
         for s in C.slices(rb.column("body")):
             w = C.words(s)
             a, b = offs[s.lo], offs[s.hi]
@@ -115,15 +115,16 @@ def _edges(batches):
             take = pa.array(row + s.lo)
             yield pa.RecordBatch.from_arrays([
                 rb.column("doc_id").take(take), rb.column("th").take(take), C.int64s(anchor),
-                C.int64s(C.grams(w.hash, WINDOW)[at]), pa.array((at - w.offs[row]).astype(np.int32))],
-                names=["doc_id", "th", "anchor", "edge", "start"])
+                C.int64s(C.grams(w.hash, WINDOW)[at]), pa.array((at - w.offs[row]).astype(np.int32)),
+                pa.array(np.repeat(weight[a:b], count).astype(np.int32))],
+                names=["doc_id", "th", "anchor", "edge", "start", "w"])
 
 
 def _remove(batches):
     """Words that aren't under a span (first window, number of windows) of the text."""
     for rb in batches:
         spans = rb.column("spans")
-        offs, start, n = _flat(spans)
+        offs, start, n, _ = _flat(spans)
         empty = np.asarray(spans.is_null())
         total, removed, digest = [], [], []
         for i, text in enumerate(rb.column("body")):
@@ -152,9 +153,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Texts with the spans (start, n) of their doc_id and text, as one list per text."""
+    """Texts with the spans (start, n, w) of their doc_id and text, as one list per text."""
     own = spans.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
-        F.collect_list(F.struct(F.col("start").alias("a"), F.col("n").alias("b"))).alias("spans"))
+        F.collect_list(F.struct(F.col("start").alias("a"), F.col("n").alias("b"), "w")).alias("spans"))
     return texts.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), how).select(
         "doc_id", "th", "body", "spans")
 
@@ -170,18 +171,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     state = (by_path.groupBy("anchor").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"))
              .filter("c > 1").select(F.col("anchor").alias("_a"), (F.col("kinds") > 1).alias("branches")))
     known = C.written(found.join(state, F.col("anchor") == F.col("_a")).select(
-        "doc_id", "th", "start", "n", "branches"), "known")
-    opened = C.written(_with_spans(texts, known.filter("branches").distinct(), "inner").mapInArrow(_edges, EDGES), "edges")
-    twice = (opened.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        "doc_id", "th", "start", "n", "branches", F.when(F.col("branches"), F.col("anchor")).alias("anchor"),
+        F.when(F.col("branches"), F.col("path")).alias("path")), "known")
+    single = known.filter("branches").withColumn("at", F.xxhash64("doc_id", "th", "start"))
+    paths = single.groupBy(F.col("anchor").alias("_a"), F.col("path").alias("_p")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
+    told = C.written(single.join(paths, (F.col("anchor") == F.col("_a")) & (F.col("path") == F.col("_p"))).select(
+        "doc_id", "th", "start", "n", "c", (F.col("at") == F.col("first")).alias("stands")), "branching")
+    opened = told.filter("c = 1 or stands").select("doc_id", "th", "start", "n", F.expr("if(c = 1, 1, 2)").alias("w"))
+    edges = C.written(_with_spans(texts, opened.distinct(), "inner").mapInArrow(_edges, EDGES), "edges")
+    twice = (edges.groupBy("anchor", "edge").agg(F.sum("w").alias("c")).filter("c > 1")
              .select(F.col("anchor").alias("_a"), F.col("edge").alias("_e")))
-    again = opened.join(twice, (F.col("anchor") == F.col("_a")) & (F.col("edge") == F.col("_e")), "left_semi")
+    again = edges.filter("w = 1").join(twice, (F.col("anchor") == F.col("_a")) & (F.col("edge") == F.col("_e")), "left_semi")
     return known.filter("not branches").select("doc_id", "th", "start", "n").union(
+        told.filter("c > 1").select("doc_id", "th", "start", "n")).union(
         again.select("doc_id", "th", "start", F.lit(1).alias("n")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per document."""
-    return _with_spans(_texts(docs), repeated_spans(docs), "left").mapInArrow(_remove, KEPT)
+    return _with_spans(_texts(docs), repeated_spans(docs).withColumn("w", F.lit(1)), "left").mapInArrow(_remove, KEPT)
 
 
 def repeats_query(spark, sf_dir: str) -> DataFrame:
