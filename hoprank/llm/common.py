@@ -8,6 +8,7 @@ bytes other than 0x20 and 0x09-0x0D; these never occur inside a UTF-8 sequence.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from ..session import ensure_checkpoint_dir, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are worked on at once in a task.
 SLICE_BYTES = 2_000_000
+#: Bytes of an Arrow batch that goes to a worker.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +43,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Bound the Arrow batches of the jobs run inside: both the JVM and the worker hold a batch outside the heap."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def body(col: Column) -> Column:
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(col, F.lit("")).cast("binary")

@@ -146,11 +146,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
     """Encode whole texts and write doc_id, n_tokens, ids as ORC, in ascending doc_id order over the files."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.body(F.col("text")).alias("body"))
-    (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-     .mapInArrow(_encode(vocabulary_path or vocabulary(), end), SCHEMA)
-     .write.option("compression", "zstd").option("orc.stripe.size", STRIPE).option("orc.create.index", "true")
-     .option("orc.row.index.stride", STRIDE).option("orc.bloom.filter.columns", "doc_id")
-     .option("orc.bloom.filter.fpp", "0.01").orc(path))
+    encoded = (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+               .mapInArrow(_encode(vocabulary_path or vocabulary(), end), SCHEMA))
+    with C.small_batches(docs.sparkSession):
+        (encoded.write.option("compression", "zstd").option("orc.stripe.size", STRIPE).option("orc.create.index", "true")
+         .option("orc.row.index.stride", STRIDE).option("orc.bloom.filter.columns", "doc_id")
+         .option("orc.bloom.filter.fpp", "0.01").orc(path))
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
