@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them.
 
 Words here are runs of ASCII letters, digits and non-ASCII characters of the
 lower-cased text, so case, punctuation and white space don't hide a copy.  Test items
@@ -8,9 +8,10 @@ are cut evenly into segments of at most SEGMENT words.
    the items (blocks of items with a bounded size are sent to the tasks, one block
    after the other).  Hits on one segment near one diagonal become a passage, which
    is kept as word hashes with a margin around it.
-2. The document frequency of each seed is counted over the corpus.  Of the seeds of
-   a segment the commonest quarter is not rare; passages that have only such seeds
-   are left out.  The rule is relative, so a leak into many documents stays found.
+2. A passage goes on if the words of the segment that it holds allow THRESHOLD.  That
+   is a bound on the score, not a guess: an alignment gains MATCH at most once for a
+   word of the segment.  How common a seed is in the corpus plays no part, since the
+   copies of an item make its own seeds common and would hide each other.
 3. Smith-Waterman over words (MATCH, MISMATCH, GAP) aligns passage and segment,
    vectorised over passages.  A passage is a leak if its score is at least THRESHOLD
    of the score of an exact copy.
@@ -40,7 +41,7 @@ BLOCK_BYTES = 8_000_000
 CELLS = 1_000_000
 
 LETTERS = np.array([not (b < 128 and not chr(b).isalnum()) for b in range(256)])
-PASSAGE = "doc_id long, th long, seg int, start int, words binary, seeds array<long>"
+PASSAGE = "doc_id long, th long, seg int, start int, words binary"
 
 
 def item_words(s: C.Slice) -> C.Words:
@@ -71,7 +72,7 @@ class Items:
         self.seen[self.gram & np.uint64(len(self.seen) - 1)] = True
 
 
-def _passages(items: Items, s: C.Slice, part: pa.RecordBatch):
+def _passages(items: Items, s: C.Slice, part: pa.RecordBatch, threshold: float):
     w = item_words(s)
     pos, row = C.gram_rows(w.offs, SEED)
     if not len(pos):
@@ -84,9 +85,9 @@ def _passages(items: Items, s: C.Slice, part: pa.RecordBatch):
         return None
     hit = np.repeat(maybe, n)
     j = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    row, seg, begin, g = row[hit], items.seg[j], pos[hit] - items.at[j], g[hit]
+    row, seg, begin = row[hit], items.seg[j], pos[hit] - items.at[j]
     order = np.lexsort((begin, seg, row))
-    row, seg, begin, g = row[order], seg[order], begin[order], g[order]
+    row, seg, begin = row[order], seg[order], begin[order]
     new = np.ones(len(row), dtype=bool)
     new[1:] = ((row[1:] != row[:-1]) | (seg[1:] != seg[:-1])
                | (begin[1:] - begin[:-1] > items.size[seg[1:]]))
@@ -95,13 +96,17 @@ def _passages(items: Items, s: C.Slice, part: pa.RecordBatch):
     margin = items.size[seg[first]] // 2 + 4
     a = np.maximum(begin[first] - margin, w.offs[row[first]])
     b = np.minimum(begin[last] + items.size[seg[first]] + margin, w.offs[row[first] + 1])
+    able = np.array([np.isin(items.words[k], w.hash[x:y]).sum() for k, x, y in zip(seg[first], a, b)])
+    go = able / items.size[seg[first]] >= threshold
+    if not go.any():
+        return None
+    first, a, b = first[go], a[go], b[go]
     take = pa.array(row[first])
     return pa.RecordBatch.from_arrays([
         part.column("doc_id").take(take), part.column("th").take(take), pa.array(seg[first].astype(np.int32)),
         pa.array((a - w.offs[row[first]]).astype(np.int32)),
         C.binary_array([w.hash[x:y].tobytes() for x, y in zip(a, b)]),
-        pa.array([np.unique(g[x:y + 1]).view(np.int64) for x, y in zip(first, last)], type=pa.list_(pa.int64())),
-    ], names=["doc_id", "th", "seg", "start", "words", "seeds"])
+    ], names=["doc_id", "th", "seg", "start", "words"])
 
 
 def align(segments: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +142,11 @@ def align(segments: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.nd
     return score, end
 
 
-def _find(items):
+def _find(items, threshold):
     def run(batches):
         for rb in batches:
             for s in C.slices(rb.column("body")):
-                out = _passages(items.value, s, rb.slice(s.lo, s.rows()))
+                out = _passages(items.value, s, rb.slice(s.lo, s.rows()), threshold)
                 if out is not None:
                     yield out
     return run
@@ -181,17 +186,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
         known = spark.sparkContext.broadcast(Items(
             held.column("item_id").to_pylist(), texts.cast(pa.binary())
             if not isinstance(texts, pa.ChunkedArray) else pa.concat_arrays(texts.chunks).cast(pa.binary())))
-        found = C.written(rows.mapInArrow(_find(known), PASSAGE).select(
-            F.monotonically_increasing_id().alias("id"), "*"), "passages")
-        seeds = found.select("id", "seg", F.explode("seeds").alias("seed"))
-        known_df = seeds.groupBy("seg", "seed").agg(F.count(F.lit(1)).alias("df"))
-        usual = known_df.groupBy(F.col("seg").alias("s")).agg(F.percentile("df", F.lit(0.75)).alias("usual"))
-        rare = known_df.join(usual, F.col("seg") == F.col("s")).filter("df <= usual").select(
-            F.col("seg").alias("_g"), F.col("seed").alias("_seed"))
-        ids = seeds.join(rare, (F.col("seg") == F.col("_g")) & (F.col("seed") == F.col("_seed")), "left_semi").select(
-            F.col("id").alias("_id")).distinct()
-        scored = found.join(ids, F.col("id") == F.col("_id"), "left_semi").mapInArrow(
-            _score(known), "doc_id long, th long, item_id long, score double, end_word long")
+        found = C.written(rows.mapInArrow(_find(known, threshold), PASSAGE), "passages")
+        scored = found.mapInArrow(_score(known), "doc_id long, th long, item_id long, score double, end_word long")
         scored = scored.filter(F.col("score") >= threshold)
         out = scored if out is None else out.union(scored)
     best = F.max(F.struct("score", "end_word")).alias("b")

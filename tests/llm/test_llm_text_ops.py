@@ -255,6 +255,20 @@ def test_leaks_exact_edited_and_none(spark, docs_of):
     assert decontaminate.leaks(docs, tests.limit(0)).count() == 0
 
 
+def test_an_edited_copy_is_found_beside_an_exact_one(spark, docs_of):
+    rng = random.Random(16)
+    items = [prose(rng, n, 3000) for n in (15, 30, 60)]
+    edited = [" ".join("changed" if k % 5 == 4 else w for k, w in enumerate(words(t))) for t in items]
+    rows = [(10 + i, f"{prose(rng, 40, 3000)} {t} {prose(rng, 40, 3000)}") for i, t in enumerate(items)]
+    rows += [(20 + i, f"{prose(rng, 40, 3000)} {t} {prose(rng, 40, 3000)}") for i, t in enumerate(edited)]
+    rows += [(30 + i, prose(rng, 100, 3000)) for i in range(20)]
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs_of(rows), tests).collect()}
+    assert set(got) == {(d + i, i) for d in (10, 20) for i in range(3)}
+    assert all((got[10 + i, i], got[20 + i, i]) == (1.0, brute_align(words(t), words(edited[i])) / (2 * len(words(t))))
+               for i, t in enumerate(items))
+
+
 def test_leak_query_finds_every_whole_passage(spark):
     import duckdb
     sf = "/root/testdata/sf0.01"
