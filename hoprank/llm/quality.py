@@ -3,10 +3,14 @@
 One Arrow pass over the texts counts words, symbols, repeats and lines, and hashes
 the normalised lines (A-Z lower-cased, digits as 0, white space as one space).
 Spark then counts, for every host and line, the distinct documents that hold the
-line.  Lines above the limit are boilerplate: their words count as removed, and a
-document of which too little is left is rejected.  The host of a row of
+line.  Lines above the limit are boilerplate: ``clean`` cuts them out of the text,
+and a document of which too little is left is rejected.  The host of a row of
 ``documents`` is its ``source``.
 
+What is left of a text is its other lines as they were, joined by newlines again.
+The hashes of the lines to cut are joined back to the rows by doc_id, source and
+text, and a pass over the texts hashes the lines again to find them.
+
 Copies: rows of one host with equal text count as one document, so a group of
 exact copies can't make its own lines look like boilerplate.
 
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import common as C
 
 SYMBOLS = C._bytes(b"#*$%&|<>")
@@ -55,13 +60,27 @@ def _repeat_words(w: C.Words) -> np.ndarray:
     return C.sums(np.cumsum(covered)[:-1] > 0, w.offs)
 
 
+def _word_lines(s: C.Slice, w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines with words: starts, ends, rows, numbers of words, normalised hashes."""
+    starts, ends = C.runs(s.buf != 10, s.offs)
+    n_words = np.searchsorted(w.starts, ends) - np.searchsorted(w.starts, starts)
+    starts, ends, n_words = starts[n_words > 0], ends[n_words > 0], n_words[n_words > 0]
+    row = np.searchsorted(s.offs, starts, side="right") - 1
+    if not len(starts):
+        return starts, ends, row, n_words, np.zeros(0, np.uint64)
+    # normalised: the sequence of the normalised words
+    norm = DIGITS_AS_ZERO[s.buf]
+    h = C.hash_runs(norm, ~C.SPACE[s.buf], w.starts)
+    first = np.searchsorted(w.starts, starts)
+    at = np.arange(len(h)) - np.repeat(first, n_words)
+    with np.errstate(over="ignore"):
+        return starts, ends, row, n_words, C.mix(np.add.reduceat(h * C._pow(int(n_words.max()) + 1)[at], first))
+
+
 def _lines(s: C.Slice, w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per row: repeated lines; and the distinct normalised lines: offsets, hashes, words."""
     inside = s.buf != 10
-    starts, ends = C.runs(inside, s.offs)
-    n_words = np.searchsorted(w.starts, ends) - np.searchsorted(w.starts, starts)
-    starts, n_words = starts[n_words > 0], n_words[n_words > 0]
-    row = np.searchsorted(s.offs, starts, side="right") - 1
+    starts, _, row, n_words, line = _word_lines(s, w)
     if not len(starts):
         zero = np.zeros(s.rows() + 1, np.int64)
         return zero[1:], zero, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -72,13 +91,6 @@ def _lines(s: C.Slice, w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     again = np.zeros(len(raw), dtype=bool)
     again[order[1:]] = (raw[order][1:] == raw[order][:-1]) & (row[order][1:] == row[order][:-1])
     dup = np.bincount(row[again], minlength=s.rows())
-    # normalised: the sequence of the normalised words
-    norm = DIGITS_AS_ZERO[s.buf]
-    h = C.hash_runs(norm, ~C.SPACE[s.buf], w.starts)
-    first = np.searchsorted(w.starts, starts)
-    at = np.arange(len(h)) - np.repeat(first, n_words)
-    with np.errstate(over="ignore"):
-        line = C.mix(np.add.reduceat(h * C._pow(int(n_words.max()) + 1)[at], first))
     order = np.lexsort((line, row))
     new = np.ones(len(line), dtype=bool)
     new[1:] = (line[order][1:] != line[order][:-1]) | (row[order][1:] != row[order][:-1])
@@ -129,15 +141,16 @@ def boilerplate(counted: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
             .select("host", F.col("h").alias("line"), "docs"))
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: int = MIN_LEFT,
-          left_share: float = LEFT_SHARE) -> DataFrame:
-    """One row per document: the base counts, words on boilerplate lines, and the verdict."""
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: int = MIN_LEFT,
+             left_share: float = LEFT_SHARE) -> DataFrame:
+    """One row per document: the base counts, the boilerplate lines to cut and their words, and the verdict."""
     counted = line_counts(docs)
     lines = counted.select("row_id", "source", F.explode("lines").alias("l")).select(
         "row_id", "source", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     common = boilerplate(counted, min_docs, max_share)
     removed = (lines.join(common, F.col("source").eqNullSafe(F.col("host")) & (F.col("h") == F.col("line")))
-               .groupBy("row_id").agg(F.sum("w").cast("long").alias("n_boilerplate_words")))
+               .groupBy("row_id").agg(F.sum("w").cast("long").alias("n_boilerplate_words"),
+                                      F.collect_list("h").alias("cut")))
     n, left = F.col("n_words"), F.col("n_words") - F.col("n_boilerplate_words")
     return (counted.drop("lines").join(removed, "row_id", "left")
             .withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0).cast("long")))
@@ -146,17 +159,74 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
             .drop("row_id"))
 
 
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: int = MIN_LEFT,
+          left_share: float = LEFT_SHARE) -> DataFrame:
+    """One row per document: the base counts, words on boilerplate lines, and the verdict."""
+    return verdicts(docs, min_docs, max_share, min_left, left_share).drop("cut")
+
+
+def _without(s: C.Slice, cut: pa.Array) -> list[bytes]:
+    """The texts of a slice without the lines whose normalised hashes are in the row's ``cut``."""
+    starts, ends, row, _, line = _word_lines(s, C.words(s))
+    rows = np.repeat(np.arange(len(cut)), np.asarray(cut.value_lengths()))
+    pair = np.dtype([("row", np.int64), ("h", np.int64)])
+    have, want = np.empty(len(line), pair), np.empty(len(rows), pair)
+    have["row"], have["h"] = row, line.view(np.int64)
+    want["row"], want["h"] = rows, np.asarray(cut.flatten(), dtype=np.int64)
+    gone = np.isin(have, want)
+    step = np.zeros(len(s.buf) + 2, dtype=np.int32)
+    last = ends[gone] == s.offs[row[gone] + 1]              # no newline after it: the one before it goes
+    np.add.at(step, starts[gone], 1)
+    np.add.at(step, ends[gone] + ~last, -1)
+    keep = np.cumsum(step[:len(s.buf)]) == 0
+    out = [s.buf[a:b][keep[a:b]].tobytes() for a, b in zip(s.offs[:-1], s.offs[1:])]
+    for r in row[gone][last]:
+        out[r] = out[r].removesuffix(b"\n")
+    return out
+
+
+def _cut(batches):
+    """Columns of documents and the lines to cut (null: none) -> columns of documents."""
+    for rb in batches:
+        names = rb.schema.names[:-1]
+        text, cut = rb.column(names.index("text")), rb.column(len(names))
+        todo = np.flatnonzero(np.asarray(cut.is_valid()))
+        if len(todo):
+            at = pa.array(todo)
+            new = text.to_pylist()
+            lines = cut.take(at)
+            for s in C.slices(text.take(at).cast(pa.binary())):
+                for k, t in zip(todo[s.lo:s.hi], _without(s, lines.slice(s.lo, s.rows()))):
+                    new[k] = t.decode()
+            text = pa.array(new, type=text.type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                size = rb.column(at).to_pylist()
+                for k in todo:
+                    size[k] = size[k] if size[k] is None else len(new[k])
+                rb = rb.set_column(at, rb.schema.field(at), pa.array(size, type=rb.column(at).type))
+        yield pa.RecordBatch.from_arrays([text if c == "text" else rb.column(k) for k, c in enumerate(names)], names=names)
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The rows that pass, without their boilerplate lines (n_chars follows); told apart by doc_id, source and text."""
+    ship_package(docs.sparkSession)
+    out = verdicts(docs).filter(~F.col("kept") | F.col("cut").isNotNull()).groupBy(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_h")).agg(
+        F.first("kept").alias("_kept"), F.first("cut").alias("_cut"))
+    rows = docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_d"])
+                     & docs["source"].cast("string").eqNullSafe(out["_s"])
+                     & (C.text_key(docs["text"]) == out["_h"]), "left").filter(F.coalesce(out["_kept"], F.lit(True)))
+    return rows.select(*[docs[c] for c in docs.columns], out["_cut"]).mapInArrow(_cut, docs.schema)
+
+
 def quality_query(spark, sf_dir: str) -> DataFrame:
     return judge(C.table(spark, sf_dir, "documents")).drop("source", "th")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass; rows are told apart by doc_id, source and text."""
-    out = judge(docs).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_d"])
-                     & docs["source"].cast("string").eqNullSafe(out["_s"])
-                     & (C.text_key(docs["text"]) == out["_t"]), "left_anti")
+    """Rows that pass, with cleaned texts."""
+    return clean(docs)
 
 
 SQL = r"""

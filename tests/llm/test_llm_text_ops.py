@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hoprank.llm import common as C
 from hoprank.llm import decontaminate, minhash, quality, repeats, secrets
@@ -204,6 +205,28 @@ def test_boilerplate_lines_deplete_a_document_but_copies_do_not(spark, docs_of):
     assert {r["doc_id"] for r in out.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_boilerplate_lines_are_cut_out_of_the_text(spark, docs_of):
+    rng = random.Random(21)
+    menu = ["Home | Products | Page 7", "all rights reserved by nobody 1999 é"]
+    own = {i: [prose(rng, 30, 5000), "", prose(rng, 12, 5000)] for i in range(30)}
+    rows = [(i, "\n".join([menu[0], t[0], t[1], menu[1].upper().replace("É", "é"), t[2], "home |  products | PAGE 8"]), "a")
+            for i, t in own.items()]
+    long = prose(rng, 90, 5000)
+    rows += [(50, "\n".join([long, *menu, menu[0]]), "a"), (51, f"{own[4][0]}\n{menu[1]}\n", "a"),
+             (52, f"{menu[0]}\r\n{own[5][0]}\r\n", "a"), (53, f"{own[6][0]}\n{menu[0]}", "b"), (54, own[7][0] + "\n", "a"),
+             (None, f"{own[8][0]}\n\n{menu[0]}", "a")]
+    docs = docs_of(rows).withColumn("n_chars", F.length("text").cast("long"))
+    out = quality.quality_stage(spark, docs, "")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = {r["doc_id"]: r for r in out.collect()}
+    want = {i: "\n".join(t) for i, t in own.items()}
+    want |= {50: long, 51: own[4][0] + "\n", 52: own[5][0] + "\r\n", 53: rows[33][1], 54: rows[34][1], None: own[8][0] + "\n"}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    for r in quality.judge(docs).collect():                 # the counts are those of the cut
+        assert r["n_words"] - r["n_boilerplate_words"] == len(words(got[r["doc_id"]]["text"]))
+
+
 def test_quality_of_nothing(docs_of):
     assert quality.judge(docs_of([])).count() == 0
 
