@@ -248,7 +248,7 @@ def q_cluster_top_items(spark, sf_dir):
 
 
 def q_bucket_projection(spark, sf_dir):
-    """2-d points of every query's candidate bucket with their k-means labels."""
+    """2-d points of every query's candidate bucket, each on its own axes, with their k-means labels."""
     ws = Workspace.load(spark, sf_dir)
     model = ws.model()
     q = ws.queries()
@@ -257,7 +257,7 @@ def q_bucket_projection(spark, sf_dir):
         rows = lsh_candidates(model, block).select("query_id", "id", "embedding")
         part = KM.keyed_kmeans(rows, 5).labels(rows).drop("embedding")
         labels = part if labels is None else labels.union(part)
-    return rounded(KC.project_bucket(labels.join(ws.train.select("id", "embedding"), "id"), "embedding", 2))
+    return rounded(KC.project_buckets(labels.join(ws.train.select("id", "embedding"), "id"), q, "embedding", 2))
 
 
 def q_latent_topn(spark, sf_dir):
