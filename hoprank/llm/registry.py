@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB statements."""
 
-from . import chat, decontaminate, minhash, mixing, quality, repeats, secrets, tokens, urls, warc, whitening
+from . import chat, decontaminate, minhash, mixing, quality, repair, repeats, secrets, tokens, urls, warc, whitening
 
 QUERIES = {
     "op1_warc_zip_archive": warc.warc_query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_low_discrepancy_mix": mixing.mix_query,
     "op10_line_frequency": quality.quality_query,
     "op12_bidiagonal_whitening": whitening.whitening_query,
+    "op13_four_russians_repair": repair.repair_query,
 }
 
 #: Tokenizing, character models and alignment have no SQL form; tests hold them against brute force.
