@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB statements."""
 
-from . import chat, decontaminate, minhash, mixing, quality, repair, repeats, secrets, tokens, urls, warc, whitening
+from . import chat, classifier, decontaminate, minhash, mixing, quality, repair, repeats, secrets, tokens, urls, warc, whitening
 
 QUERIES = {
     "op1_warc_zip_archive": warc.warc_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_markov_secrets": secrets.secrets_query,
     "op9_low_discrepancy_mix": mixing.mix_query,
     "op10_line_frequency": quality.quality_query,
+    "op11_rule_ensemble": classifier.classifier_query,
     "op12_bidiagonal_whitening": whitening.whitening_query,
     "op13_four_russians_repair": repair.repair_query,
 }
