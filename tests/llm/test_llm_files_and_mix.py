@@ -201,24 +201,40 @@ def token_truth(rows):
     return out
 
 
+def encoded(e, *texts):
+    """Ids of texts that stand in one slice, as bytes, without the end id."""
+    import pyarrow as pa
+    out = []
+    for s in common.slices(pa.array([t.encode() for t in texts], pa.binary())):
+        ids, size = e.encode(s, np.array([tokens.END], "<u4").tobytes())
+        ends = np.cumsum(size)
+        assert (ids[ends - 1] == tokens.END).all() and ends[-1] == len(ids)
+        out += [ids[b - n:b - 1].astype("<u4").tobytes() for n, b in zip(size, ends)]
+    return out
+
+
 def test_encoder_equals_whole_text_encoding():
     e = tokens.Encoder(tokens.vocabulary())
     rng = random.Random(1)
     letters = "abCD ÉİΣςßŉſ'.,!?<|>09 \u1100\u1161\u3000한글漢 \t\n\x0b\x1c\x85'sS're¼²_-Ḱéªºǆǅ\u0301\u212a"
+    texts = []
     for k in range(3000):
         s = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
         if k % 7 == 0:
             s += " <|endoftext|>" + s + "<|startoftext|>"
-        want = np.array(e.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        assert e.encode(s.encode()) == want, repr(s)
+        texts.append(s)
+    texts += ["", "x" * 3000, "é" * 500 + "." * 700, "Ȼɐ×÷ĲŉİÀ", "a|b>c |> | >", "  "]
+    for s, got in zip(texts, encoded(e, *texts)):
+        assert got == np.array(e.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), repr(s)
+    assert encoded(e, "") == [b""] and encoded(e, "one") == encoded(e, "x one", "one")[1:]
 
 
 def test_encoder_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 50)
     e = tokens.Encoder(tokens.vocabulary())
     for k in range(500):
-        e.encode(f"word{k} Letters{chr(97 + k % 26)} {'x' * 60}{k}".encode())
-    assert len(e) <= 50 and len(e.older) <= 50 and len(e.parts) <= 50
+        encoded(e, f"word{k} Letters{chr(97 + k % 26)} {'x' * 60}{k} {'abcdefghij'[k % 10]}{chr(97 + k // 26)}")
+    assert len(e) <= 50 and len(e.older) <= 50
 
 
 def test_token_files(spark, docs_of):
@@ -249,15 +265,96 @@ def test_token_files_with_repeated_ids_and_of_nothing(spark, docs_of):
     assert tokens.layout(spark, path).count() == 0
 
 
-def test_token_file_has_stripes_indexes_and_bloom_filters(spark):
+def file_rows(path):
+    """doc_id and ids in the order of the files and of the rows in them."""
+    import glob
+
     import pyarrow.orc as orc
+    return [(r["doc_id"], r["ids"]) for f in sorted(glob.glob(path.removeprefix("file:") + "/*.orc")) for r in orc.ORCFile(f).read().to_pylist()]
+
+
+def test_starts_are_those_of_the_files(spark, docs_of):
+    """Many rows of one id, with and without equal texts, over several files."""
+    rng = random.Random(8)
+    rows = [(7, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 12)))) for _ in range(60)] + [(7, "a b c")] * 40
+    rows += [(None, "x " * k) for k in range(12)] + [(3, "three"), (9, "nine")]
     path = common.scratch_path(spark, "tokens")
-    tokens.write_tokens(common.table(spark, SF, "documents"), path)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        tokens.write_tokens(docs_of(rows), path)
+    finally:
+        spark.conf.set(coalesce, "true")
+    want, at = [], 0
+    for doc_id, ids in file_rows(path):
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert len({f for f, in tokens.read_tokens(spark, path).select("_metadata.file_path").distinct().collect()}) > 1
+    assert sorted((tuple(r) for r in tokens.layout(spark, path).collect()), key=lambda r: r[1]) == want
+
+
+def fields(raw):
+    """The fields of a protocol buffer message: number and value (an integer or bytes)."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 2:
+            n = varint()
+            yield tag >> 3, raw[at:at + n]
+            at += n
+        elif tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            at += 8 if tag & 7 == 1 else 4
+
+
+def plain(raw):
+    """The chunks of a compressed ORC section."""
+    import zstandard
+    out = b""
+    while raw:
+        n = int.from_bytes(raw[:3], "little")
+        part, raw = raw[3:3 + (n >> 1)], raw[3 + (n >> 1):]
+        out += part if n & 1 else zstandard.ZstdDecompressor().decompress(part, max_output_size=1 << 20)
+    return out
+
+
+def test_token_file_has_stripes_indexes_and_bloom_filters(spark):
+    """Row index and Bloom filter of doc_id, and the run-length encoding of the ids, as the stripe footers name them."""
     import glob
-    files = [orc.ORCFile(f) for f in glob.glob(path.removeprefix("file:") + "/*.orc")]
-    assert sum(f.nrows for f in files) == 200 and all(f.row_index_stride == tokens.STRIDE for f in files)
-    raw = b"".join(open(f, "rb").read() for f in glob.glob(path.removeprefix("file:") + "/*.orc"))
-    assert raw.startswith(b"ORC")
+    path = common.scratch_path(spark, "tokens")
+    tokens.write_tokens(common.table(spark, SF, "documents"), path)
+    rows = 0
+    for f in glob.glob(path.removeprefix("file:") + "/*.orc"):
+        raw = open(f, "rb").read()
+        post = dict(fields(raw[-1 - raw[-1]:-1]))
+        tail = len(raw) - 1 - raw[-1]
+        footer = list(fields(plain(raw[tail - post[1]:tail])))
+        assert dict(footer)[8] == tokens.STRIDE
+        stripes = [dict(fields(v)) for k, v in footer if k == 3]
+        if dict(footer).get(6, 0):
+            assert stripes
+        for s in stripes:
+            rows += s[5]
+            at = s[1] + s.get(2, 0) + s[3]
+            stripe = list(fields(plain(raw[at:at + s[4]])))
+            streams = [(d.get(2, 0), d.get(1, 0)) for d in (dict(fields(v)) for k, v in stripe if k == 1)]
+            encodings = [dict(fields(v)).get(1, 0) for k, v in stripe if k == 2]
+            assert (1, 6) in streams and (1, 8) in streams          # row index and Bloom filter of doc_id
+            assert not [c for c, kind in streams if kind == 8 and c != 1]
+            assert encodings[1] == encodings[4] == 2                 # run-length encoding, version 2
+    assert rows == 200
 
 
 # ---------------------------------------------------------------- urls
