@@ -87,6 +87,7 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
+_PLACE = _rng.integers(0, 2**64, 1 << 16, dtype=np.uint64)
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -164,12 +165,30 @@ def hash_runs(buf: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.nda
     first = starts[0]
     seg = np.diff(np.append(starts, len(buf)))
     at = np.arange(first, len(buf), dtype=np.int64) - np.repeat(starts, seg)
+    part = placed(_BYTE[buf[first:]], at)
+    part[~inside[first:]] = 0
     with np.errstate(over="ignore"):
-        part = _BYTE[buf[first:]] * _pow(int(seg.max()) + 1)[at]
-        part[~inside[first:]] = 0
         return mix(np.add.reduceat(part, starts - first))
 
 
+def placed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash each value together with its place in a run, so that a sum over the run stands for the sequence.
+
+    Value and place are mixed, not multiplied: a polynomial in the place modulo 2**64 has
+    the same sum for some structured sequences (such as a Thue-Morse word and its complement).
+    """
+    with np.errstate(over="ignore"):
+        part = _PLACE[at & (len(_PLACE) - 1)] + values
+        if len(at) and at.max() >= len(_PLACE):
+            part += mix((at // len(_PLACE)).astype(np.uint64))
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(29)
+        return part
+
+
 @dataclass
 class Words:
     hash: np.ndarray      # of each word

@@ -74,7 +74,7 @@ def _word_lines(s: C.Slice, w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndar
     first = np.searchsorted(w.starts, starts)
     at = np.arange(len(h)) - np.repeat(first, n_words)
     with np.errstate(over="ignore"):
-        return starts, ends, row, n_words, C.mix(np.add.reduceat(h * C._pow(int(n_words.max()) + 1)[at], first))
+        return starts, ends, row, n_words, C.mix(np.add.reduceat(C.placed(h, at), first))
 
 
 def _lines(s: C.Slice, w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

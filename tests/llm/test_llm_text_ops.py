@@ -372,3 +372,33 @@ def test_slices_cut_at_rows():
         got = [w.hash[a:b].tolist() for s in C.slices(col, size) for w in [C.words(s)] for a, b in zip(w.offs, w.offs[1:])]
         assert [len(x) for x in got] == [2, 0, 1, 2]
         assert got == [w.hash[a:b].tolist() for s in C.slices(col) for w in [C.words(s)] for a, b in zip(w.offs, w.offs[1:])]
+
+
+# ---------------------------------------------------------------- hashes of structured words
+
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if bin(k).count("1") % 2 else zero for k in range(n))
+
+
+def test_structured_words_have_different_hashes():
+    sizes = [512, 1024, 4096, 65_536, 131_072]
+    texts = [f(n) for n in sizes for f in (thue_morse, lambda n: thue_morse(n, "b", "a"))]
+    texts += [" ".join(t[:2048]) for t in (thue_morse(2048), thue_morse(2048, "b", "a"))]
+    import pyarrow as pa
+    for s in C.slices(pa.array([t.encode() for t in texts], pa.binary()), 1 << 30):
+        w = C.words(s)
+        one_word = w.hash[:len(sizes) * 2]
+        assert len(set(one_word.tolist())) == len(sizes) * 2
+        lines = quality._word_lines(s, w)[4]
+        assert len(set(lines.tolist())) == len(texts)           # and lines of 2,048 words
+
+
+def test_structured_words_in_the_operators(spark, docs_of):
+    a, b = thue_morse(1024), thue_morse(1024, "b", "a")
+    w = [f"w{k}" for k in range(17)]
+    rows = [(1, " ".join([*w, a, *w])), (2, " ".join([*w, b, *w]))]           # 35 words, the middle ones differ
+    assert [r["n_removed"] for r in repeats.remove_repeats(docs_of(rows)).collect()] == [0, 0]
+    got = minhash.near_duplicates(docs_of([(1, a), (2, b)])).collect()
+    assert all(r["kept"] for r in got)
+    counts = quality.line_counts(docs_of([(1, f"{a}\n{b}")])).first()
+    assert counts["n_dup_lines"] == 0 and len(counts["lines"]) == 2
