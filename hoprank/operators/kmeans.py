@@ -9,8 +9,12 @@ points are persisted for the rounds (recomputed from lineage if an executor
 is lost); the driver holds the centres only.
 
 Initialisation is deterministic: the first k distinct vectors of a query in
-seeded hash order (k' = min(k, distinct points)).  Rounds stop when no
-centre moves, or after ``iters``.  An empty cluster keeps its centre.
+seeded hash order (k' = min(k, distinct points)).  Each query stops by itself: in
+the round in which its centres move by no more than its own limit (``tol`` times its own
+mean variance), it takes the new centres and is frozen.  Frozen queries are not assigned
+any more, and once half of the rows belong to frozen queries the others are written
+apart, so the rounds of a slow query don't pay for the rest.  A query's clusters are
+therefore the same alone and in any batch.  An empty cluster keeps its centre.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrowvec import MAX_BLOCK_BYTES, QueryBlock, list_array, matrix, positions, unpack
 from ..functions.vectors import elementwise_sum, sq_dist, vector_dim
+from ..session import cut_lineage
 
 
 def init_centres(points: DataFrame, k: int, seed: int = 7, key: str = "query_id", vec: str = "embedding") -> DataFrame:
@@ -89,6 +94,7 @@ class Centres:
         self.pos = {q: i for i, q in enumerate(self.keys)}
         self.c = np.zeros((len(self.keys), k, d))
         self.valid = np.zeros((len(self.keys), k), dtype=bool)
+        self.active = np.ones(len(self.keys), dtype=bool)
 
     @classmethod
     def from_rows(cls, rows, k: int, d: int, key: str = "query_id"):
@@ -122,7 +128,10 @@ def _partial_sums(key: str, vec: str, d: int, k: int, bc, key_type: pa.DataType)
             if b.num_rows == 0:
                 continue
             qi = positions(b.column(key), keys)
-            x = matrix(b.column(vec), d)
+            live = np.flatnonzero((qi >= 0) & cen.active[qi])
+            if len(live) == 0:
+                continue
+            qi, x = qi[live], matrix(b.column(vec), d)[live]
             lab = _assign(x, qi, cen.c, cen.valid)
             flat = qi * k + lab
             size = sums.shape[0] * k
@@ -151,12 +160,15 @@ def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 300, seed: int = 7,
             dim = vector_dim(points, vec)
     pts = points.select(key, "id", vec).persist()
     cen = Centres.from_rows(init_rows(pts, k, seed, key, vec), k, dim, key)
-    limit = None   # sklearn-style stop: squared centre shift <= tol x mean per-dimension variance
+    pts = held = pts.select(key, vec)
+    limit = n_k = None   # sklearn-style stop: squared centre shift <= tol x mean per-dimension variance
     key_type = pa.string() if points.schema[key].dataType.simpleString() == "string" else pa.int64()
     schema = f"{key} {points.schema[key].dataType.simpleString()}, cluster int, s array<double>, n long, ss double"
     for _ in range(iters):
+        if not cen.active.any():
+            break
         bc = spark.sparkContext.broadcast(cen)
-        part = pts.select(key, vec).mapInArrow(_partial_sums(key, vec, dim, k, bc, key_type), schema)
+        part = held.mapInArrow(_partial_sums(key, vec, dim, k, bc, key_type), schema)
         tot = part.groupBy(key, "cluster").agg(elementwise_sum("s", dim).alias("s"), F.sum("n").alias("n"),
                                                F.sum("ss").alias("ss")).collect()
         new = cen.c.copy()
@@ -170,11 +182,16 @@ def keyed_kmeans(points: DataFrame, k: int = 5, iters: int = 300, seed: int = 7,
         if limit is None:
             mean = s_k / np.maximum(n_k, 1)[:, None]
             limit = tol * np.maximum(ss_k / np.maximum(n_k, 1) - (mean * mean).sum(axis=1), 0.0) / dim
+            rows_held = n_k.sum()
         shift = ((new - cen.c) ** 2).sum(axis=(1, 2))
         cen.c = new
+        cen.active = cen.active & (shift > limit)
         bc.unpersist()
-        if not len(shift) or (shift <= limit).all():
-            break
+        left = n_k[cen.active].sum()
+        if 0 < left <= rows_held / 2:
+            live = [cen.keys[i] for i in np.flatnonzero(cen.active)]
+            some = F.broadcast(spark.createDataFrame([(q,) for q in live], pts.select(key).schema))
+            held, rows_held = cut_lineage(held.join(some, key, "left_semi")), left
     pts.unpersist()
     return KeyedKMeans(cen, key, vec, dim)
 
@@ -198,10 +215,11 @@ class KeyedKMeans:
 
         def run(batches):
             cen = bc.value
+            keys = pa.array(cen.keys)
             for b in batches:
                 if b.num_rows == 0:
                     continue
-                qi = np.array([cen.pos[q] for q in b.column(key).to_pylist()], dtype=np.int64)
+                qi = positions(b.column(key), keys)
                 lab = _assign(matrix(b.column(vec), d), qi, cen.c, cen.valid)
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in other] + [b.column(vec), pa.array(lab.astype(np.int32))],
                                                  names=other + [vec, "cluster"])
@@ -229,20 +247,21 @@ class KeyedKMeans:
 
         def run(batches):
             cen, qcl, block = bc.value
+            keys = pa.array(cen.keys)
+            want = np.array([qcl.get(q, -1) for q in cen.keys], dtype=np.int64)       # by position, as the next
+            where = np.array([block.pos.get(q, -1) for q in cen.keys], dtype=np.int64)
             for b in batches:
                 if b.num_rows == 0:
                     continue
-                qkeys = b.column(key).to_pylist()
-                qi = np.array([cen.pos[q] for q in qkeys], dtype=np.int64)
+                qi = positions(b.column(key), keys)
                 x = matrix(b.column(vec), d)
                 lab = _assign(x, qi, cen.c, cen.valid)
-                want = np.array([qcl.get(q, -1) for q in qkeys])
-                sel = np.nonzero(lab == want)[0]
+                sel = np.nonzero(lab == want[qi])[0]
                 if len(sel) == 0:
                     continue
                 xs = x[sel]
                 n = np.linalg.norm(xs, axis=1)
-                qv = block.unit[[block.pos[qkeys[i]] for i in sel]]
+                qv = block.unit[where[qi[sel]]]
                 sim = np.where(n > 0, (xs * qv).sum(axis=1) / np.where(n > 0, n, 1), 0.0)
                 cols = [b.column(key).take(pa.array(sel))] + [b.column(c).take(pa.array(sel)) for c in keep]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(sim)], names=[key] + keep + ["similarity"])

@@ -32,7 +32,7 @@ from ..session import table_path
 from ..streaming import streams as ST
 import os
 from pyspark.sql import Window
-from .recommend import bucket_score, lsh_candidates, recommend
+from .recommend import FIXED_SEED, bucket_score, lsh_candidates, recommend
 from .workspace import Workspace
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -419,12 +419,12 @@ def _raw(spark, sf_dir):
 def q_csv_roundtrip(spark, sf_dir):
     """The raw reviews written as CSV with a header and read with the fixed schema."""
     path = _fresh(spark, "reviews-csv")
-    cols = [f.name for f in IO.REVIEWS_RAW.fields if f.name != "review_text"]
-    _raw(spark, sf_dir).select(*cols).write.option("header", True).csv(path)
-    schema = StructType([f for f in IO.REVIEWS_RAW.fields if f.name != "review_text"])
-    back = IO.read_reviews(spark, path, "csv", schema)
+    cols = [f.name for f in IO.REVIEWS_RAW.fields]
+    IO.write_reviews_csv(_with_text(spark, sf_dir, _raw(spark, sf_dir)).select(*cols), path)
+    back = IO.read_reviews(spark, path, "csv")
     return rounded(back.groupBy("location", "rating").agg(
-        F.count(F.lit(1)).alias("reviews"), F.avg("average_rating").alias("mean"), F.min("id").alias("first_id")))
+        F.count(F.lit(1)).alias("reviews"), F.sum(F.round(F.col("average_rating") * 10).cast("long")).alias("tenths"),
+        F.min("id").alias("first_id"), F.sum(F.length("review_text")).cast("long").alias("chars"), F.max(F.md5("review_text")).alias("last_text")))
 
 
 def q_append_labels(spark, sf_dir):
@@ -634,8 +634,9 @@ plain_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rou
 c AS (SELECT term, count(*) n, count(DISTINCT doc_id) df FROM t WHERE length(term) >= 2 GROUP BY term),
 k AS (SELECT *, row_number() OVER (ORDER BY n DESC, term) r FROM c)
 SELECT term, n, df, round(ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf FROM k WHERE r <= 100""",
-        "csv_roundtrip": W(REVIEWS_RAW_SQL) + """SELECT location, rating, count(*) AS reviews, round(avg(average_rating), 6) AS mean,
-  min(id) AS first_id FROM reviews_raw GROUP BY location, rating""",
+        "csv_roundtrip": W(REVIEWS_RAW_SQL) + """SELECT location, rating, count(*) AS reviews,
+  CAST(sum(CAST(round(average_rating * 10) AS BIGINT)) AS BIGINT) AS tenths, min(id) AS first_id, CAST(sum(length(text)) AS BIGINT) AS chars, max(md5(text)) AS last_text
+FROM reviews_raw JOIN documents ON doc_id = doc_key GROUP BY location, rating""",
         "append_labels": W(*O.BASE) + """SELECT location, subgenre, count(*) AS items, CAST(0 AS BIGINT) AS ids
 FROM items, (VALUES ('Here'), ('There')) AS p(location) GROUP BY location, subgenre""",
         "item_keys": W(*O.BASE) + "SELECT name, row_number() OVER (ORDER BY name) - 1 AS item_id FROM items",
@@ -685,6 +686,10 @@ FROM queries q JOIN ranked r ON r.reviewer = q.reviewer WHERE r.rank <= 20""",
         "recommend_lsh_cf_info": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
                                    "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
                                    O.hybrid_sql("text")),
+        "recommend_lsh_kmeans_cf": W(*split_q, O.CF_SQL, O.lsh_sql(planes), O.kmeans_sql(), O.hybrid_sql("text")),
+        "recommend_lsh_kmeans_cf_info": W(*split_qi, O.CF_SQL, O.lsh_sql(planes), O.kmeans_sql(), O.hybrid_sql("text")),
+        "recommend_tuning": W(*split_qi, O.CF_SQL, O.lsh_sql(planes), O.kmeans_sql(15, FIXED_SEED), O.LINEAR_BETAS,
+                              O.hybrid_sql("text", betas="betas_l")),
         "recommend_bucket_score": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
                                     "text AS (SELECT query_id, name, min_by(similarity, id) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
                                     O.LINEAR_BETAS, O.hybrid_sql("text", betas="betas_l")),
@@ -802,10 +807,26 @@ per_q AS (SELECT t.query_id, t.n_t, coalesce(c.n_c, 0) AS n_c, coalesce(b.hit, 0
           FROM t_n t LEFT JOIN c_n c ON c.query_id = t.query_id LEFT JOIN both_ b ON b.query_id = t.query_id)""")
         + """SELECT round(avg(hit / CAST(n_t AS DOUBLE)), 6) AS mean_recall,
   round(avg(CASE WHEN n_c = 0 THEN NULL ELSE hit / CAST(n_c AS DOUBLE) END), 6) AS mean_precision FROM per_q""",
-        "evaluation_summary_bcdf": W(*O.SPLIT, O.queries_sql(False), O.queries_sql(True).replace("queries AS", "queries_i AS"),
-                                     O.CF_SQL, O.lsh_sql(planes),
-                                     "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
-                                     O.hybrid_ctes("text", "b_", "queries"), O.hybrid_ctes("text", "f_", "queries_i"), f"""
+        "evaluation_summary_bcdf": evaluation_sql(planes, "BCDF"),
+        "evaluation_summary": evaluation_sql(planes, "ABCDEF"),
+    }
+    return sql
+
+
+def evaluation_sql(planes, experiments: str) -> str:
+    """E1-E4 for the named set-ups."""
+    def hit(e, ranked, queries="queries"):
+        return (f"SELECT '{e}' AS experiment, q.query_id, EXISTS (SELECT 1 FROM {ranked} r WHERE r.query_id = q.query_id "
+                f"AND r.beer = q.true_name AND r.rank <= 20) AS hit FROM {queries} q")
+    parts = {"A": hit("A", "a_ranked"), "B": hit("B", "b_ranked"), "C": hit("C", "c_ranked"), "D": hit("D", "d_ranked"),
+             "E": hit("E", "e_ranked", "queries_i"), "F": hit("F", "f_ranked", "queries_i")}
+    names = " ".join(f"WHEN '{e}' THEN '{t}'" for e, t in EV.PLAN_TYPES.items())
+    clusters = [O.kmeans_sql(prefix="k_"), O.hybrid_ctes("k_text", "a_", "queries"), O.hybrid_ctes("k_text", "e_", "queries_i")]
+    return O.with_ctes(
+        *O.SPLIT, O.queries_sql(False), O.queries_sql(True).replace("queries AS", "queries_i AS"), O.CF_SQL, O.lsh_sql(planes),
+        "text AS (SELECT query_id, name, avg(similarity) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
+        O.hybrid_ctes("text", "b_", "queries"), O.hybrid_ctes("text", "f_", "queries_i"),
+        *(clusters if "A" in experiments else []), f"""
 c_scores AS (
   SELECT q.query_id, t.name, avg({O.cosine_sql('t.embedding', 'q.embedding')}) AS cosine_score
   FROM queries q, train_v t GROUP BY q.query_id, t.name),
@@ -818,19 +839,12 @@ dense AS (SELECT g.reviewer, g.name, coalesce(p.pred, 0.0) AS collab_score FROM
 d_user AS (SELECT *, row_number() OVER (PARTITION BY reviewer ORDER BY round(collab_score, 9) DESC, name) AS rank FROM dense),
 d_ranked AS (SELECT q.query_id, d.name AS beer, d.rank FROM queries q JOIN d_user d ON d.reviewer = q.reviewer),
 hits AS (
-  SELECT 'B' AS experiment, q.query_id, EXISTS (SELECT 1 FROM b_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) AS hit FROM queries q
-  UNION ALL SELECT 'C', q.query_id, EXISTS (SELECT 1 FROM c_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) FROM queries q
-  UNION ALL SELECT 'D', q.query_id, EXISTS (SELECT 1 FROM d_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) FROM queries q
-  UNION ALL SELECT 'F', q.query_id, EXISTS (SELECT 1 FROM f_ranked r WHERE r.query_id = q.query_id AND r.beer = q.true_name AND r.rank <= 20) FROM queries_i q),
-agg AS (SELECT experiment, count_if(hit) AS hits, count_if(NOT hit) AS misses FROM hits GROUP BY experiment)""")
-        + """SELECT experiment, hits, misses,
+  {" UNION ALL ".join(parts[e] for e in experiments)}),
+agg AS (SELECT experiment, count_if(hit) AS hits, count_if(NOT hit) AS misses FROM hits GROUP BY experiment)""") + f"""SELECT experiment, hits, misses,
   round(CASE WHEN hits + hits * 19 > 0 THEN hits / (hits + hits * 19.0) ELSE 0.0 END, 6) AS precision,
   round(CASE WHEN hits + misses > 0 THEN hits / CAST(hits + misses AS DOUBLE) ELSE 0.0 END, 6) AS recall,
   round(CASE WHEN hits + misses > 0 THEN 100.0 * hits / (hits + misses) END, 6) AS accuracy_pct,
-  CASE experiment WHEN 'B' THEN 'LSH/CF' WHEN 'C' THEN 'COSINE' WHEN 'D' THEN 'CF' WHEN 'F' THEN 'LSH/CF W info' END AS type
-FROM agg""",
-    }
-    return sql
+  CASE experiment {names} END AS type FROM agg"""
 
 
 def CF_VARIANT_SQL(x_expr: str, tag: str) -> str:

@@ -112,6 +112,56 @@ cand_rows AS (
 """
 
 
+def kmeans_sql(k: int = 5, seed: int = 7, prefix: str = "", iters: int = 300, tol: float = 1e-4) -> str:
+    """K1-K3: Lloyd's rounds of every query over its distinct candidate vectors (weighted by their rows) as one recursion.
+
+    A query leaves the recursion when its centres move by no more than its limit.  Ends in
+    ``{prefix}text``: mean similarity per item in the query's cluster.
+    """
+    p = prefix
+    return f"""
+{p}km_pts AS (
+  SELECT c.query_id, t.embedding AS v, count(*) AS n, min(md5(concat('{seed}|', c.id))) AS h
+  FROM cands c JOIN train_v t ON t.id = c.id GROUP BY c.query_id, t.embedding),
+{p}km_init AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h) - 1 AS INTEGER) AS cid, v AS c
+  FROM {p}km_pts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY h) <= {k}),
+{p}km_dims AS (
+  SELECT query_id, unnest(v) AS x, generate_subscripts(v, 1) AS j, n FROM {p}km_pts),
+{p}km_limit AS (
+  SELECT query_id, {tol!r}::DOUBLE * greatest(sum(ss) / max(n) - sum((s / n) * (s / n)), 0) / count(*) AS lim FROM (
+    SELECT query_id, j, sum(n * x * x) AS ss, sum(n * x) AS s, CAST(sum(n) AS DOUBLE) AS n FROM {p}km_dims GROUP BY query_id, j)
+  GROUP BY query_id),
+{p}km AS (
+  SELECT query_id, cid, c, 0 AS round, FALSE AS done FROM {p}km_init
+  UNION ALL
+  (WITH live AS (SELECT * FROM {p}km WHERE NOT done AND round < {iters}),
+  near AS (
+    SELECT pt.query_id, pt.v, pt.n, arg_min(l.cid, (list_distance(pt.v, l.c), l.cid)) AS cid
+    FROM {p}km_pts pt JOIN live l ON l.query_id = pt.query_id GROUP BY pt.query_id, pt.v, pt.n),
+  dims AS (SELECT query_id, cid, n, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM near),
+  mean AS (SELECT query_id, cid, j, sum(n * x) / sum(n) AS x FROM dims GROUP BY query_id, cid, j),
+  centre AS (SELECT query_id, cid, list(x ORDER BY j) AS c FROM mean GROUP BY query_id, cid),
+  moved AS (
+    SELECT l.query_id, l.cid, l.round, coalesce(m.c, l.c) AS c, pow(list_distance(coalesce(m.c, l.c), l.c), 2) AS shift
+    FROM live l LEFT JOIN centre m ON m.query_id = l.query_id AND m.cid = l.cid)
+  SELECT m.query_id, m.cid, m.c, m.round + 1, sum(m.shift) OVER (PARTITION BY m.query_id) <= k.lim
+  FROM moved m JOIN {p}km_limit k ON k.query_id = m.query_id)),
+{p}km_last AS (SELECT query_id, cid, c FROM {p}km QUALIFY round = max(round) OVER (PARTITION BY query_id)),
+{p}km_label AS (
+  SELECT pt.query_id, pt.v, arg_min(l.cid, (list_distance(pt.v, l.c), l.cid)) AS cid
+  FROM {p}km_pts pt JOIN {p}km_last l ON l.query_id = pt.query_id GROUP BY pt.query_id, pt.v),
+{p}km_own AS (
+  SELECT q.query_id, arg_min(l.cid, (list_distance(q.embedding, l.c), l.cid)) AS cid
+  FROM queries q JOIN {p}km_last l ON l.query_id = q.query_id GROUP BY q.query_id),
+{p}text AS (
+  SELECT r.query_id, r.name, avg(r.similarity) AS lsh_score
+  FROM cand_rows r JOIN train_v t ON t.id = r.id
+  JOIN {p}km_label b ON b.query_id = r.query_id AND b.v = t.embedding
+  JOIN {p}km_own o ON o.query_id = r.query_id AND o.cid = b.cid GROUP BY r.query_id, r.name)
+"""
+
+
 def default_planes(d: int = 64) -> np.ndarray:
     from ..operators.lsh import make_hyperplanes
     return make_hyperplanes(d, LSH_K, LSH_L, SEED)
@@ -166,7 +216,7 @@ FROM ranked WHERE rank <= {n}
 
 def with_ctes(*blocks: str) -> str:
     body = ",\n".join(b.strip().rstrip(",") for b in blocks)
-    return f"WITH {body}\n"
+    return f"WITH {'RECURSIVE ' if 'UNION ALL\n  (WITH live' in body else ''}{body}\n"
 
 
 BASE = (REVIEWS_RAW_SQL, CLEAN_SQL)

@@ -30,11 +30,24 @@ REVIEWS_RAW = StructType([
 ])
 
 
+#: One way of quoting for reading and writing: a quote inside a quoted field is doubled.
+CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+       "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8"}
+
+
+def write_reviews_csv(df: DataFrame, path: str) -> None:
+    """S3, the other way: every text field quoted, so that ``read_reviews`` gives the same rows back."""
+    df.write.options(**CSV).option("quoteAll", True).option("lineSep", "\n").csv(path)
+
+
 def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None) -> DataFrame:
-    """Whole reviews table; CSV with a header row, permissive, fixed schema."""
+    """Whole reviews table; CSV with a header row, permissive, fixed schema.
+
+    Quoted CSV fields may hold line breaks, commas and doubled quotes; white space at their ends is kept.
+    """
     reader = spark.read
     if fmt == "csv":
-        return reader.option("header", True).option("mode", "PERMISSIVE").schema(schema or REVIEWS_RAW).csv(path)
+        return reader.options(**CSV).option("mode", "PERMISSIVE").schema(schema or REVIEWS_RAW).csv(path)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.format(fmt).load(path)

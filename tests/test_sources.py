@@ -43,3 +43,20 @@ def test_csv_declare_append_and_keys(spark):
     m1 = IO.materialize(spark, "mat-" + os.path.basename(d), lambda: built.append(1) or spark.range(5))
     m2 = IO.materialize(spark, "mat-" + os.path.basename(d), lambda: built.append(1) or spark.range(5))
     assert m1.count() == m2.count() == 5 and built == [1]
+
+
+def test_csv_keeps_breaks_quotes_and_white_space(spark):
+    d = tempfile.mkdtemp(prefix="hoprank-test-", dir="/tmp")
+    texts = ['first line\nsecond, line', 'say ""hi"", ok', '"', '""', ',', ' both ends ', 'tab\tand \\ slash', 'a\r\nb', 'é\n\n"x"\n', None,
+             'long ' * 50_000, '\\"', "it's"]
+    cols = [f.name for f in IO.REVIEWS_RAW.fields]
+    rows = [(str(i), "n", "b", "s", "5%", None, "4.0", 3.5, "u", "2020-01-01", t, None, 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, IO.REVIEWS_RAW)
+    IO.write_reviews_csv(df.repartition(3), os.path.join(d, "out"))
+    back = {r["id"]: tuple(r) for r in IO.read_reviews(spark, os.path.join(d, "out"), "csv").select(cols).collect()}
+    want = {str(i): tuple(r) for i, r in enumerate(rows)}
+    assert back == want
+    with open(os.path.join(d, "in.csv"), "w", newline="") as f:          # as other programs write it
+        f.write(",".join(cols) + "\n" + '1,n,b,s,5%,DK,4.0,3.5,u,2020,"first line\nsecond, line",,3\n2,n,b,s,5%,DK,4.0,3.5,u,2020,"say ""hi"", ok",,3\n')
+    got = IO.read_reviews(spark, os.path.join(d, "in.csv"), "csv").select("id", "review_text", "total_reviews").collect()
+    assert [tuple(r) for r in got] == [("1", "first line\nsecond, line", 3), ("2", 'say "hi", ok', 3)]

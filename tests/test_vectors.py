@@ -77,3 +77,46 @@ def test_init_with_repeated_vectors_uses_distributed_path(spark):
     pts = spark.createDataFrame(rows, "id string, query_id string, embedding array<double>")
     got = KM.init_rows(pts, 3, 7, first=2, cap=8)
     assert sorted(tuple(r["c"]) for r in got) == [(0.0, 1.0), (1.0, 0.0), (1.0, 1.0)]
+
+
+def lloyd(x, k, seed, ids, tol=1e-4):
+    """One query by itself, in NumPy."""
+    import hashlib
+    order = sorted(range(len(x)), key=lambda i: hashlib.md5(f"{seed}|{ids[i]}".encode()).hexdigest())
+    c, seen = [], set()
+    for i in order:
+        if x[i].tobytes() not in seen:
+            seen.add(x[i].tobytes())
+            c.append(x[i].astype(float))
+        if len(c) == k:
+            break
+    c, x = np.array(c), x.astype(float)
+    limit = tol * x.var(axis=0).mean()
+    for _ in range(300):
+        lab = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([x[lab == j].mean(axis=0) if (lab == j).any() else c[j] for j in range(len(c))])
+        moved, c = ((new - c) ** 2).sum(), new
+        if moved <= limit:
+            break
+    return ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+
+
+def test_a_query_gets_the_same_clusters_alone_and_in_any_batch(spark):
+    """Queries that need few rounds beside ones that need many: each is frozen by its own limit."""
+    rng = np.random.default_rng(12)
+    rows, data = [], {}
+    for q in range(8):
+        n = (1200, 900, 40, 12, 3, 700, 60, 500)[q]
+        x = rng.normal(size=(n, 6)).astype(np.float32)
+        if q % 2:
+            x[: n // 2] += 25.0                       # far groups: few rounds
+        data[f"q{q}"] = x
+        rows += [(f"q{q}", f"{q}-{i}", [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "query_id string, id string, embedding array<float>").repartition(5)
+    both = {r["id"]: r["cluster"] for r in KM.keyed_kmeans(df, k=5).labels(df).select("id", "cluster").collect()}
+    for q, x in data.items():
+        ids = [f"{q[1:]}-{i}" for i in range(len(x))]
+        assert [both[i] for i in ids] == lloyd(x, 5, 7, ids).tolist(), q
+    one = df.filter("query_id = 'q0'").repartition(3)
+    alone = {r["id"]: r["cluster"] for r in KM.keyed_kmeans(one, k=5).labels(one).select("id", "cluster").collect()}
+    assert alone == {i: both[i] for i in alone}
