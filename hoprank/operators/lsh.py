@@ -8,9 +8,9 @@
 * query: equi-join of the queries' (table_id, bucket) with the index, then
   ``distinct`` (query_id, id) - the union over tables with set semantics (L4).
 
-Two signature paths: an expression path (array higher-order functions with
-the planes as a literal; fine while k*L*d is small) and an Arrow path (one
-NumPy matmul per batch; planes shipped once as a broadcast variable).
+Signatures come from one NumPy matmul per Arrow batch (planes shipped once as a broadcast
+variable); an expression form (array functions, planes as literals) serves as a check.
+The stored index that queries read in part is in ``lsh_store``.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from ..functions.arrowvec import QueryBlock, cosine_to_queries, query_blocks
 from ..functions.vectors import dot, cosine
 from ..plans.sizing import broadcast_if_small
 
-EXPR_MAX_WEIGHTS = 256   # above k*L*d of this, use the Arrow path (measured ~10x faster)
-
 
 def make_hyperplanes(d: int, k: int, L: int, seed: int = 7) -> np.ndarray:
     """L1: Gaussian planes, shape (L, k, d)."""
@@ -74,17 +72,16 @@ def _signature_udf(spark: SparkSession, planes: np.ndarray):
 
 
 def lsh_signature(df: DataFrame, planes: np.ndarray, vec: str = "embedding", out: str = "buckets",
-                  method: str = "auto") -> DataFrame:
-    """L2: add the L bucket keys of each row."""
-    if method == "auto":
-        method = "expr" if planes.size <= EXPR_MAX_WEIGHTS else "arrow"
+                  method: str = "arrow") -> DataFrame:
+    """L2: add the L bucket keys of each row.  Rows and queries must use one method, as the two
+    add up products in different orders; ``arrow`` is the way of all plans, ``expr`` is for small checks."""
     if method == "expr":
         return df.withColumn(out, signature_expr(F.col(vec), planes))
     return df.withColumn(out, _signature_udf(df.sparkSession, planes)(F.col(vec)))
 
 
 def build_index(df: DataFrame, planes: np.ndarray, id_col: str = "id", vec: str = "embedding",
-                method: str = "auto") -> DataFrame:
+                method: str = "arrow") -> DataFrame:
     """L3: (table_id, bucket, id) for every row and table."""
     sig = lsh_signature(df.select(id_col, vec), planes, vec, method=method)
     return sig.select(F.posexplode("buckets").alias("table_id", "bucket"), F.col(id_col).alias("id"))
@@ -96,7 +93,7 @@ def append_index(df: DataFrame, planes: np.ndarray, path: str, id_col: str = "id
 
 
 def query_index(index: DataFrame, queries: DataFrame, planes: np.ndarray, vec: str = "embedding",
-                method: str = "auto") -> DataFrame:
+                method: str = "arrow") -> DataFrame:
     """L4: candidate ids per query, set semantics over the L tables."""
     q = lsh_signature(queries.select("query_id", vec), planes, vec, method=method)
     qk = q.select("query_id", F.posexplode("buckets").alias("table_id", "bucket"))
@@ -156,6 +153,16 @@ def candidate_similarity(cand_rows: DataFrame, queries: DataFrame, vec: str = "e
     return cand_rows.join(q, "query_id").withColumn("similarity", cosine(F.col(vec), F.col("qvec")))
 
 
+def _meet(row_keys: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.ndarray):
+    """Rows and queries whose keys are equal in one hash table."""
+    at = np.minimum(np.searchsorted(keys, row_keys), max(len(keys) - 1, 0))
+    hit = np.flatnonzero(keys[at] == row_keys) if len(keys) else np.zeros(0, np.int64)
+    many = size[at[hit]] if len(keys) else hit
+    start = np.repeat(first[at[hit]], many) if len(keys) else hit
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(hit, many), order[start + step]
+
+
 def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, vec: str = "embedding",
                      keep=("id", "name"), with_vectors: bool = False, qb: QueryBlock | None = None) -> DataFrame:
     """L2 + L4 + L5 + cosine in one map-only pass (no index join, no vector shuffle).
@@ -178,13 +185,12 @@ def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, ve
     flat = planes.reshape(L * k, d).T.copy()
     weights = (1 << np.arange(k - 1, -1, -1, dtype=np.int64))
     qkeys = ((qb.raw @ flat > 0).reshape(len(qb.ids), L, k) * weights).sum(axis=2) if len(qb.ids) else np.zeros((0, L), np.int64)
-    # per table: bucket key -> query positions
+    # per table: the distinct keys in order, and the queries of each key one after the other
     lookup = []
     for t in range(L):
-        m: dict = {}
-        for qi in range(len(qb.ids)):
-            m.setdefault(int(qkeys[qi, t]), []).append(qi)
-        lookup.append(m)
+        order = np.argsort(qkeys[:, t], kind="stable")
+        keys, first, size = np.unique(qkeys[order, t], return_index=True, return_counts=True)
+        lookup.append((keys, first, size, order))
     bc = spark.sparkContext.broadcast((flat, weights, lookup, qb))
     keep = list(keep)
     qtype = queries.schema["query_id"].dataType.simpleString()
@@ -199,17 +205,11 @@ def probe_candidates(rows: DataFrame, queries: DataFrame, planes: np.ndarray, ve
                 continue
             x = matrix(b.column(vec), d)
             keys = ((x @ w > 0).reshape(len(x), L, k) * wts).sum(axis=2)
-            ri, qi = [], []
-            for r in range(len(x)):
-                hit = set()
-                for t in range(L):
-                    hit.update(tables[t].get(int(keys[r, t]), ()))
-                for q in hit:
-                    ri.append(r)
-                    qi.append(q)
-            if not ri:
+            pairs = [_meet(keys[:, t], *tables[t]) for t in range(L)]
+            code = np.unique(np.concatenate([r * len(block.ids) + q for r, q in pairs]))      # once per query and row
+            if not len(code):
                 continue
-            ri, qi = np.asarray(ri), np.asarray(qi)
+            ri, qi = np.divmod(code, max(len(block.ids), 1))
             xs = x[ri]
             n = np.linalg.norm(xs, axis=1)
             sim = np.where(n > 0, (xs * block.unit[qi]).sum(axis=1) / np.where(n > 0, n, 1), 0.0)

@@ -92,10 +92,10 @@ def q_user_betas(spark, sf_dir):
 
 # ---------------------------------------------------------------- recommendation set-ups
 
-def _plan(plan: str, with_info: bool = False, n: int = 20, beta: str = "log") -> QueryFn:
+def _plan(plan: str, with_info: bool = False, n: int = 20, beta: str = "log", store: bool = False) -> QueryFn:
     def run(spark, sf_dir):
         ws = Workspace.load(spark, sf_dir)
-        model = ws.model()
+        model = ws.model(store=store)
         out = recommend(model, ws.queries(with_info), plan, n=n, beta=beta)
         return rounded(out)
     run.__name__ = f"q_recommend_{plan}"
@@ -104,14 +104,13 @@ def _plan(plan: str, with_info: bool = False, n: int = 20, beta: str = "log") ->
 
 def q_lsh_candidate_stats(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
-    model = ws.model()
-    cands = LSH.query_index(model.index, ws.queries(), model.planes)
-    return LSH.bucket_stats(cands, model.train)
+    model = ws.model(store=True)
+    return LSH.bucket_stats(model.store.candidates(ws.queries()), model.store.rows())
 
 
 def q_bucket_score(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
-    return rounded(bucket_score(ws.model(), ws.queries(True), n=20))
+    return rounded(bucket_score(ws.model(store=True), ws.queries(True), n=20))
 
 
 def q_cf_neighbours(spark, sf_dir):
@@ -546,8 +545,8 @@ def queries() -> dict[str, QueryFn]:
         "lsh_candidate_stats": q_lsh_candidate_stats,
         "recommend_cosine": _plan("cosine"),
         "recommend_cf": _plan("cf"),
-        "recommend_lsh_cf": _plan("lsh_cf"),
-        "recommend_lsh_cf_info": _plan("lsh_cf", with_info=True),
+        "recommend_lsh_cf": _plan("lsh_cf", store=True),
+        "recommend_lsh_cf_info": _plan("lsh_cf", with_info=True, store=True),
         "recommend_lsh_kmeans_cf": _plan("lsh_kmeans_cf"),
         "recommend_lsh_kmeans_cf_info": _plan("lsh_kmeans_cf", with_info=True),
         "recommend_bucket_score": q_bucket_score,

@@ -26,12 +26,16 @@ from ..operators import cf as CF
 from ..operators import kmeans as KM
 from ..operators import lsh as LSH
 from ..operators.knn import item_similarity, score_items
+from ..operators.lsh_store import LshStore
 from ..session import cut_lineage
 
 REC_COLUMNS = ["query_id", "beer", "score", "abv", "lsh_score", "lsh_score_weighted", "collab_score",
                "collab_score_weighted", "abv_diff", "abv_weight", "style_bonus", "weight_beta", "rank"]
 
 
+#: The stored index is read in part while the queries want no more than this share of the rows.
+STORE_SHARE = 0.2
+
 #: Seed of the fixed-weight and the tuning recommender (fixed value).
 FIXED_SEED = 42
 
@@ -44,7 +48,8 @@ class Model:
     planes: np.ndarray
     index: DataFrame | None = None   # table_id, bucket, id
     scale: str = "midpoint"
-    candidates: str = "probe"        # probe | join
+    store: LshStore | None = None    # the index as stored tables that queries read in part
+    candidates: str = "auto"         # auto: store if the queries want a small share of the rows | store | probe | join
     cells: DataFrame | None = None   # utility table, written once per model
 
     def utility(self) -> DataFrame:
@@ -61,10 +66,16 @@ class Model:
 def lsh_candidates(model: Model, queries: DataFrame, with_vectors: bool = True) -> DataFrame:
     """(query_id, id, name, similarity[, embedding]) of every LSH candidate row.
 
-    probe: a map-only pass over the rows for each block of queries, whose keys are
-    broadcast; join: index join + fetch by id.
+    store: the pruned read of the stored index; probe: a map-only pass over all rows for each block
+    of queries, whose keys are broadcast (nothing needs to be stored before); join: index join + fetch by id.
+    All give the same rows.
     """
-    if model.candidates == "probe":
+    how = model.candidates
+    if how == "auto":
+        how = "store" if model.store is not None and model.store.share(queries) <= STORE_SHARE else "probe"
+    if how == "store":
+        return model.store.similarity(queries, with_vectors)
+    if how == "probe":
         out = None
         for block in query_blocks(queries.select("query_id", "embedding")):
             part = LSH.probe_candidates(model.train, block, model.planes, with_vectors=with_vectors)

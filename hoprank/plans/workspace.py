@@ -7,7 +7,8 @@ short lineage with pruning and pushdown at the scan.  Everything downstream
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions.vectors import vector_dim
 from ..operators import clean, split
-from ..session import ship_package
+from ..operators.lsh_store import LshStore
+from ..session import ship_package, table_path
 from ..sources.io import materialize
 from .sizing import broadcast_if_small
 from .recommend import Model, queries_from_test
@@ -38,6 +40,7 @@ class Workspace:
     train: DataFrame        # with embedding
     test: DataFrame         # with embedding
     dim: int
+    stores: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str, materialized: bool = True) -> "Workspace":
@@ -68,8 +71,16 @@ class Workspace:
         _LOADED[key] = ws
         return ws
 
-    def model(self, k: int = LSH_K, L: int = LSH_L, seed: int = SEED) -> Model:
-        return Model.build(self.train, self.items, self.dim, k, L, seed)
+    def model(self, k: int = LSH_K, L: int = LSH_L, seed: int = SEED, store: bool = False) -> Model:
+        """The model over this workspace; with ``store`` its index is stored (once per setting) and read in part."""
+        model = Model.build(self.train, self.items, self.dim, k, L, seed)
+        if store:
+            key = (k, L, seed)
+            if key not in self.stores:
+                path = table_path(self.spark, f"lsh-{uuid.uuid4().hex[:12]}")
+                self.stores[key] = LshStore(self.spark, path, model.planes, ("id", "name")).append(self.train)
+            model.store, model.candidates = self.stores[key], "store"
+        return model
 
     def queries(self, with_info: bool = False) -> DataFrame:
         return queries_from_test(self.test, with_info)
