@@ -381,21 +381,21 @@ def q_stream_clean(spark, sf_dir):
     return rounded(spark.read.parquet(out).drop("year"))
 
 
-def q_stream_dedupe(spark, sf_dir):
-    """R2 exact: first copy per key across micro-batches (one year folder per batch)."""
-    ws = Workspace.load(spark, sf_dir)
-    src, schema = _stream_input(spark, sf_dir, ws)
+def _dedupe_stream(spark, sf_dir) -> str:
+    src, schema = _stream_input(spark, sf_dir, Workspace.load(spark, sf_dir))
     out = _fresh(spark, "stream-dedupe")
     ST.stream_dedupe(spark, src, out, schema, name=os.path.basename(out)).awaitTermination()
-    return rounded(spark.read.option("basePath", out).parquet(out).drop("batch", "year"))
+    return out
+
+
+def q_stream_dedupe(spark, sf_dir):
+    """R2 exact: the smallest copy of each key from keyed state over micro-batches, then C2/C3; equals the batch clean-up."""
+    return rounded(ST.deduped(spark, _dedupe_stream(spark, sf_dir)).drop("year"))
 
 
 def q_stream_dedupe_keys(spark, sf_dir):
-    """R2: the keys that the stream has taken in, each once; which copy came first doesn't matter to them."""
-    src, schema = _stream_input(spark, sf_dir, Workspace.load(spark, sf_dir))
-    out = _fresh(spark, "stream-dedupe")
-    ST.stream_dedupe(spark, src, out, schema, name=os.path.basename(out)).awaitTermination()
-    return ST.seen_keys(spark, os.path.basename(out)).groupBy("name", "reviewer", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    """R2: the keys that the stream has taken in, each once."""
+    return ST.seen_keys(spark, _dedupe_stream(spark, sf_dir)).withColumn("rows", F.lit(1).cast("long"))
 
 
 def q_stream_index(spark, sf_dir):
@@ -775,6 +775,9 @@ num AS (SELECT *, {O._num('rating')} AS rating_d, {O._num("regexp_replace(abv, '
   round(average_rating, 6) AS average_rating, reviewer, review_date, doc_key, text_hash, algorithm_rating, total_reviews, vec_id
 FROM num WHERE rating_d IS NOT NULL AND NOT isnan(rating_d) AND NOT isinf(rating_d)
   AND abv_d IS NOT NULL AND NOT isnan(abv_d) AND NOT isinf(abv_d)""",
+        "stream_dedupe": W(*O.BASE) + """SELECT id, name, brewery, subgenre, round(abv, 6) AS abv, location, round(rating, 6) AS rating,
+  round(average_rating, 6) AS average_rating, reviewer, review_date, doc_key, text_hash, algorithm_rating, total_reviews, vec_id
+FROM reviews""",
         "stream_index": W(*split_q, LSH_INDEX_SQL(planes)) + "SELECT table_id, bucket, id FROM idx",
         "cf_user_mean_predictions": W(*O.SPLIT, CF_VARIANT_SQL("(avg(rating) - m)", "um")) + "SELECT reviewer, name, round(pred, 6) AS pred FROM pred_um",
         "cf_mean_added_predictions": W(*O.SPLIT, CF_VARIANT_SQL("avg(rating)", "raw"), """

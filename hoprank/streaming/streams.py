@@ -2,11 +2,14 @@
 
 R1 ``stream_reviews``: new review files -> C2/C3 cleaning -> Parquet sink
    (file sink: exactly once through its own log; checkpoint in the shared folder).
-R2 ``stream_dedupe``: keep the first copy of every (name, reviewer, text hash):
-   exact mode = foreachBatch: first row per key inside the batch, then a
-   left-anti join against everything already written; each batch writes its
+R2 ``stream_dedupe``: keep the first copy (smallest id) of every (name, reviewer, text hash).
+   exact mode = a keyed aggregate in update mode: the state (RocksDB, changelog checkpoints)
+   holds the smallest copy of each key, a micro-batch reads and writes the state of its
+   own keys only, and hands on the new first copy of each.  Each batch writes its
    own folder (``batch=<id>``) in overwrite mode, so a retried batch replaces
-   its output instead of doubling it.  Bounded mode = dropDuplicatesWithinWatermark.
+   its output instead of doubling it; ``deduped`` reads the smallest copy of each key, which is the
+   batch clean-up's row in whatever order the copies came.  Bounded mode =
+   dropDuplicatesWithinWatermark (state is dropped behind the watermark; first come, first kept).
 R3 ``stream_index``: foreachBatch appends the LSH keys of each batch's rows to
    an index folder partitioned by batch and table (planes fixed up front).
 """
@@ -46,43 +49,55 @@ def stream_reviews(spark: SparkSession, in_path: str, out_path: str, schema, nam
     return q.start()
 
 
-def _dedupe_batch(out_path: str, keys_path: str, keys=clean.DEDUPE_KEYS):
-    """As the batch clean-up: first copy per key over everything seen so far,
-    then the rating / abv filters (a first copy with a bad rating still hides later copies)."""
+#: State of the exact de-duplication: on disk, keys of a batch only, small checkpoints.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+def first_copies(stream: DataFrame, keys=clean.DEDUPE_KEYS) -> DataFrame:
+    """The smallest copy (by id) of every key, as one struct; on a stream the state is one row per key.
+
+    A text is in the state by its hash only; plans that need it join it by id or hash."""
+    hashed = clean.with_text_hash(stream)
+    rest = [c for c in hashed.columns if c not in (*keys, "id", "review_text")]
+    return hashed.groupBy(*keys).agg(F.min(F.struct("id", *rest)).alias("first"))
+
+
+def _write_batch(out_path: str):
     def run(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        first = clean.dedupe_first(clean.with_text_hash(batch), keys)
-        if _has_data(spark, keys_path):
-            seen = (spark.read.option("basePath", keys_path).parquet(keys_path)
-                    .filter(F.col("batch") != batch_id).select(*keys))
-            first = first.join(seen, list(keys), "left_anti")
-        first = first.persist()
-        first.select(*keys).write.mode("overwrite").parquet(os.path.join(keys_path, f"batch={batch_id}"))
-        cleaned(first).write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
-        first.unpersist()
+        batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
     return run
 
 
+def deduped(spark: SparkSession, out_path: str, keys=clean.DEDUPE_KEYS) -> DataFrame:
+    """The smallest copy of each key over all batches, then the rating and abv filters, as the batch
+    clean-up does (a first copy with a bad rating hides the others)."""
+    copies = spark.read.option("basePath", out_path).parquet(out_path)
+    first = copies.groupBy(*keys).agg(F.min("first").alias("first"))
+    return cleaned(first.select(*keys, "first.*"))
+
+
 def stream_dedupe(spark: SparkSession, in_path: str, out_path: str, schema, mode: str = "exact",
                   name: str = "dedupe", watermark: str = "30 days", available_now: bool = True):
-    """R2: cleaned, de-duplicated reviews; ``exact`` (table lookup) or ``bounded`` (watermark state)."""
+    """R2: ``exact`` (keyed state; read with ``deduped``) or ``bounded`` (cleaned rows, watermark state)."""
     s = read_review_stream(spark, in_path, schema)
     if mode == "exact":
-        w = (s.writeStream.foreachBatch(_dedupe_batch(out_path, _ckpt(spark, name + "-keys")))
+        for k, v in STATE.items():                   # read when the query starts, and kept with its checkpoint
+            spark.conf.set(k, v)
+        w = (first_copies(s).writeStream.outputMode("update").foreachBatch(_write_batch(out_path))
              .option("checkpointLocation", _ckpt(spark, name)))
     else:
         ts = clean.with_text_hash(s).withColumn("_ts", F.to_timestamp("review_date"))
-        deduped = cleaned(ts.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(list(clean.DEDUPE_KEYS)).drop("_ts"))
-        w = (deduped.writeStream.format("parquet").option("path", out_path)
+        once = cleaned(ts.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(list(clean.DEDUPE_KEYS)).drop("_ts"))
+        w = (once.writeStream.format("parquet").option("path", out_path)
              .option("checkpointLocation", _ckpt(spark, name)).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def seen_keys(spark: SparkSession, name: str = "dedupe") -> DataFrame:
-    """The keys that an exact de-duplication stream has kept a row for."""
-    path = _ckpt(spark, name + "-keys")
-    return spark.read.option("basePath", path).parquet(path).drop("batch")
+def seen_keys(spark: SparkSession, out_path: str, keys=clean.DEDUPE_KEYS) -> DataFrame:
+    """The keys that an exact de-duplication stream has taken in, each once."""
+    return spark.read.option("basePath", out_path).parquet(out_path).select(*keys).distinct()
 
 
 def stream_index(spark: SparkSession, rows_path: str, index_path: str, schema, planes: np.ndarray,
@@ -100,10 +115,3 @@ def stream_index(spark: SparkSession, rows_path: str, index_path: str, schema, p
 
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:
     return spark.read.option("basePath", index_path).parquet(index_path).select("table_id", "bucket", "id")
-
-
-def _has_data(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and len(fs.listStatus(p)) > 0

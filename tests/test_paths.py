@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from hoprank.operators import clean
 from hoprank.operators import lsh as LSH
 from hoprank.operators.lsh_store import LshStore, runtime_filters
 from hoprank.plans.recommend import recommend
@@ -67,18 +68,43 @@ def test_store_with_many_keys_batches_and_repeats(spark, ws):
     assert pairs(again.similarity(q)) == want
 
 
+def rows_of(df):
+    cols = sorted(df.columns)
+    return sorted(map(str, df.select(*cols).collect()))
+
+
+def test_dedupe_stream_equals_the_batch_in_any_order_and_touches_its_own_keys(spark, ws):
+    d = tempfile.mkdtemp(prefix="hoprank-test-", dir="/tmp")
+    want = rows_of(clean.preprocess(ws.raw))
+    for turn, order in enumerate((F.col("id").asc(), F.col("id").desc())):
+        src, out, name = os.path.join(d, f"in{turn}"), os.path.join(d, f"out{turn}"), f"{os.path.basename(d)}-{turn}"
+        parts = ws.raw.repartitionByRange(4, order)                      # copies of a key meet in different batches
+        parts.write.parquet(src)
+        schema = spark.read.parquet(src).schema
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        try:
+            ST.stream_dedupe(spark, src, out, schema, name=name).awaitTermination()
+            assert rows_of(ST.deduped(spark, out)) == want
+            assert ST.seen_keys(spark, out).count() == clean.dedupe_first(clean.with_text_hash(ws.raw)).count()
+            # ten rows more: the state is asked for their keys, not for all
+            ws.raw.orderBy("id").limit(10).coalesce(1).write.mode("append").parquet(src)
+            q = ST.stream_dedupe(spark, src, out, schema, name=name)
+            q.awaitTermination()
+            state = [p for p in q.recentProgress if p["numInputRows"]][-1]["stateOperators"][0]
+            assert state["numRowsUpdated"] <= 10 and state["numRowsTotal"] > 100
+            assert state["customMetrics"]["rocksdbGetCount"] <= 20 and state["customMetrics"]["rocksdbPutCount"] <= 20
+            assert rows_of(ST.deduped(spark, out)) == want               # the same rows again change nothing
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_replayed_batch_does_not_double(spark, ws):
     d = tempfile.mkdtemp(prefix="hoprank-test-", dir="/tmp")
-    out, keys = os.path.join(d, "out"), os.path.join(d, "keys")
-    run = ST._dedupe_batch(out, keys)
-    from hoprank.operators import clean
-    batch = ws.raw
+    run, batch = ST._write_batch(d), ST.first_copies(ws.raw)
     run(batch, 0)
     run(batch, 0)                     # a retried micro-batch rewrites its own folder
-    n1 = spark.read.parquet(out).count()
-    assert n1 == ws.reviews.count()   # = the batch clean-up of the same rows
-    run(batch, 1)                     # the same rows again in a later batch: all seen already
-    assert spark.read.parquet(out).count() == n1
+    assert spark.read.parquet(d).count() == batch.count()
+    assert rows_of(ST.deduped(spark, d)) == rows_of(clean.preprocess(ws.raw))
 
 
 def test_bounded_dedupe_stream_runs(spark, ws):
