@@ -22,6 +22,7 @@ from ..fixtures import REVIEWS_RAW_SQL
 from ..operators import mining as MI
 from ..operators import themes as TH
 from . import evaluate as EV
+from . import grid as GR
 from ..operators import cluster as KC
 from ..operators import kmeans as KM
 from ..operators.knn import item_profiles, knn_exact
@@ -225,7 +226,7 @@ def q_evaluation_bcdf(spark, sf_dir):
 
 def q_lsh_grid_search(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
-    return rounded(EV.grid_search(ws.model(), ws.queries(True)))
+    return rounded(GR.grid_search(ws.model(), ws.queries(True)))
 
 
 def _clustered(ws: Workspace):
@@ -689,6 +690,8 @@ FROM queries q JOIN ranked r ON r.reviewer = q.reviewer WHERE r.rank <= 20""",
         "recommend_lsh_kmeans_cf_info": W(*split_qi, O.CF_SQL, O.lsh_sql(planes), O.kmeans_sql(), O.hybrid_sql("text")),
         "recommend_tuning": W(*split_qi, O.CF_SQL, O.lsh_sql(planes), O.kmeans_sql(15, FIXED_SEED), O.LINEAR_BETAS,
                               O.hybrid_sql("text", betas="betas_l")),
+        "lsh_grid_search": W(*split_qi, O.CF_SQL, O.LINEAR_BETAS, O.grid_sql(
+            LSH.make_hyperplanes(64, max(GR.KS), max(GR.LS), GR.SEED), GR.KS, GR.LS)),
         "recommend_bucket_score": W(*split_qi, O.CF_SQL, O.lsh_sql(planes),
                                     "text AS (SELECT query_id, name, min_by(similarity, id) AS lsh_score FROM cand_rows GROUP BY query_id, name)",
                                     O.LINEAR_BETAS, O.hybrid_sql("text", betas="betas_l")),

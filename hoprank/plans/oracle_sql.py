@@ -112,17 +112,30 @@ cand_rows AS (
 """
 
 
-def kmeans_sql(k: int = 5, seed: int = 7, prefix: str = "", iters: int = 300, tol: float = 1e-4) -> str:
-    """K1-K3: Lloyd's rounds of every query over its distinct candidate vectors (weighted by their rows) as one recursion.
-
-    A query leaves the recursion when its centres move by no more than its limit.  Ends in
-    ``{prefix}text``: mean similarity per item in the query's cluster.
-    """
+def kmeans_sql(k: int = 5, seed: int = 7, prefix: str = "") -> str:
+    """K1-K3 for the candidates of every query; ends in ``{prefix}text``: mean similarity per item in the query's cluster."""
     p = prefix
     return f"""
 {p}km_pts AS (
-  SELECT c.query_id, t.embedding AS v, count(*) AS n, min(md5(concat('{seed}|', c.id))) AS h
+  SELECT c.query_id, t.embedding AS vid, t.embedding AS v, count(*) AS n, min(md5(concat('{seed}|', c.id))) AS h
   FROM cands c JOIN train_v t ON t.id = c.id GROUP BY c.query_id, t.embedding),
+{p}km_of AS (SELECT query_id, embedding FROM queries),
+{lloyd_sql(k, p)},
+{p}text AS (
+  SELECT r.query_id, r.name, avg(r.similarity) AS lsh_score
+  FROM cand_rows r JOIN train_v t ON t.id = r.id
+  JOIN {p}km_label b ON b.query_id = r.query_id AND b.vid = t.embedding
+  JOIN {p}km_own o ON o.query_id = r.query_id AND o.cid = b.cid GROUP BY r.query_id, r.name)
+"""
+
+
+def lloyd_sql(k: int, p: str = "", iters: int = 300, tol: float = 1e-4) -> str:
+    """Lloyd's rounds of every query over its distinct vectors (``km_pts``: vid, v, weight n, order h) as one recursion.
+
+    A query leaves the recursion when its centres move by no more than its limit.  Ends in
+    ``km_label`` (query_id, vid, cid) and ``km_own``, the cluster of each vector of ``km_of``.
+    """
+    return f"""
 {p}km_init AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h) - 1 AS INTEGER) AS cid, v AS c
   FROM {p}km_pts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY h) <= {k}),
@@ -137,8 +150,8 @@ def kmeans_sql(k: int = 5, seed: int = 7, prefix: str = "", iters: int = 300, to
   UNION ALL
   (WITH live AS (SELECT * FROM {p}km WHERE NOT done AND round < {iters}),
   near AS (
-    SELECT pt.query_id, pt.v, pt.n, arg_min(l.cid, (list_distance(pt.v, l.c), l.cid)) AS cid
-    FROM {p}km_pts pt JOIN live l ON l.query_id = pt.query_id GROUP BY pt.query_id, pt.v, pt.n),
+    SELECT pt.query_id, pt.vid, any_value(pt.v) AS v, any_value(pt.n) AS n, arg_min(l.cid, (list_distance(pt.v, l.c), l.cid)) AS cid
+    FROM {p}km_pts pt JOIN live l ON l.query_id = pt.query_id GROUP BY pt.query_id, pt.vid),
   dims AS (SELECT query_id, cid, n, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM near),
   mean AS (SELECT query_id, cid, j, sum(n * x) / sum(n) AS x FROM dims GROUP BY query_id, cid, j),
   centre AS (SELECT query_id, cid, list(x ORDER BY j) AS c FROM mean GROUP BY query_id, cid),
@@ -149,16 +162,74 @@ def kmeans_sql(k: int = 5, seed: int = 7, prefix: str = "", iters: int = 300, to
   FROM moved m JOIN {p}km_limit k ON k.query_id = m.query_id)),
 {p}km_last AS (SELECT query_id, cid, c FROM {p}km QUALIFY round = max(round) OVER (PARTITION BY query_id)),
 {p}km_label AS (
-  SELECT pt.query_id, pt.v, arg_min(l.cid, (list_distance(pt.v, l.c), l.cid)) AS cid
-  FROM {p}km_pts pt JOIN {p}km_last l ON l.query_id = pt.query_id GROUP BY pt.query_id, pt.v),
+  SELECT pt.query_id, pt.vid, arg_min(l.cid, (list_distance(pt.v, l.c), l.cid)) AS cid
+  FROM {p}km_pts pt JOIN {p}km_last l ON l.query_id = pt.query_id GROUP BY pt.query_id, pt.vid),
 {p}km_own AS (
   SELECT q.query_id, arg_min(l.cid, (list_distance(q.embedding, l.c), l.cid)) AS cid
-  FROM queries q JOIN {p}km_last l ON l.query_id = q.query_id GROUP BY q.query_id),
-{p}text AS (
-  SELECT r.query_id, r.name, avg(r.similarity) AS lsh_score
-  FROM cand_rows r JOIN train_v t ON t.id = r.id
-  JOIN {p}km_label b ON b.query_id = r.query_id AND b.v = t.embedding
-  JOIN {p}km_own o ON o.query_id = r.query_id AND o.cid = b.cid GROUP BY r.query_id, r.name)
+  FROM {p}km_of q JOIN {p}km_last l ON l.query_id = q.query_id GROUP BY q.query_id)"""
+
+
+def grid_sql(planes: np.ndarray, ks, Ls, clusters: int = 5, seed: int = 7) -> str:
+    """Buckets by common prefix of the bits, k-means per cell and query, places by counting better items."""
+    L, kmax, _ = planes.shape
+    rows = ",\n".join(f"({t}, {b}, [{', '.join(repr(float(x)) for x in planes[t, b])}])" for t in range(L) for b in range(kmax))
+    return f"""
+g_planes AS (SELECT t, b, w::DOUBLE[] AS w FROM (VALUES {rows}) AS p(t, b, w)),
+g_keys AS (
+  SELECT e.vec_id, p.t, CAST(sum(CASE WHEN list_dot_product(e.embedding::DOUBLE[], p.w) > 0 THEN 1 << ({kmax - 1} - p.b) ELSE 0 END) AS BIGINT) AS key
+  FROM embeddings e, g_planes p GROUP BY e.vec_id, p.t),
+g_test AS (SELECT id AS query_id, vec_id, row_number() OVER (ORDER BY id) AS q FROM test),
+g_reach AS (
+  SELECT a.q, b.vec_id, l.L, max({kmax} - length(ltrim(bin(xor(x.key, b.key)), '0'))) AS depth
+  FROM g_test a JOIN g_keys x ON x.vec_id = a.vec_id JOIN g_keys b ON b.t = x.t
+  JOIN (VALUES {', '.join(f'({x})' for x in Ls)}) AS l(L) ON x.t < l.L GROUP BY a.q, b.vec_id, l.L),
+g_vec AS (SELECT vec_id, count(*) AS n, min(md5(concat('{seed}|', id))) AS h FROM train GROUP BY vec_id),
+g_in AS (
+  SELECT (r.q * 100 + k.k) * 100 + r.L AS cell, r.q, r.vec_id FROM g_reach r JOIN (VALUES {', '.join(f'({x})' for x in ks)}) AS k(k) ON r.depth >= k.k),
+km_pts AS (SELECT i.cell AS query_id, i.vec_id AS vid, e.embedding::DOUBLE[] AS v, v.n, v.h
+  FROM g_in i JOIN g_vec v ON v.vec_id = i.vec_id JOIN embeddings e ON e.vec_id = i.vec_id),
+km_of AS (SELECT c.cell AS query_id, e.embedding::DOUBLE[] AS embedding FROM (SELECT DISTINCT cell, q FROM g_in) c
+  JOIN g_test t ON t.q = c.q JOIN embeddings e ON e.vec_id = t.vec_id),
+{lloyd_sql(clusters)},
+g_sim AS (
+  SELECT t.q, e.vec_id, {cosine_sql('e.embedding::DOUBLE[]', 'f.embedding::DOUBLE[]')} AS sim
+  FROM g_test t JOIN embeddings f ON f.vec_id = t.vec_id, embeddings e),
+g_nv AS (SELECT name, vec_id, count(*) AS n, min(id) AS id FROM train GROUP BY name, vec_id),
+g_first AS (SELECT i.cell, i.q, r.name, arg_min(s.sim, r.id) AS first_sim
+  FROM g_in i JOIN g_nv r ON r.vec_id = i.vec_id JOIN g_sim s ON s.q = i.q AND s.vec_id = i.vec_id GROUP BY i.cell, i.q, r.name),
+g_mean AS (SELECT b.query_id AS cell, r.name, sum(r.n * s.sim) / sum(r.n) AS mean_sim
+  FROM km_label b JOIN km_own o ON o.query_id = b.query_id AND o.cid = b.cid
+  JOIN g_nv r ON r.vec_id = b.vid JOIN g_sim s ON s.q = b.query_id // 10000 AND s.vec_id = b.vid GROUP BY b.query_id, r.name),
+g_scored AS (
+  SELECT f.cell, f.q, f.name, q.true_name,
+    CASE WHEN b.reviewer IS NULL THEN 1.0 ELSE b.beta END AS beta,
+    CASE WHEN b.reviewer IS NULL THEN 0.0 ELSE coalesce(p.pred, 0.0) END AS cf,
+    CASE WHEN abv_desired IS NULL OR abv_desired = 0 THEN 0.0
+         ELSE -0.05 * ((i.abv - abv_desired) * (i.abv - abv_desired)) / (pow(abv_desired, 1.5) + 1) END
+    + CASE WHEN style_desired IS NOT NULL AND style_desired <> '' AND i.subgenre = style_desired THEN 0.05 ELSE 0.0 END AS extra,
+    f.first_sim, m.mean_sim
+  FROM g_first f JOIN g_test t ON t.q = f.q JOIN queries q ON q.query_id = t.query_id JOIN items i ON i.name = f.name
+  LEFT JOIN g_mean m ON m.cell = f.cell AND m.name = f.name
+  LEFT JOIN betas_l b ON b.reviewer = q.reviewer LEFT JOIN pred p ON p.reviewer = q.reviewer AND p.name = f.name),
+g_final AS (SELECT cell, name, true_name, round(beta * first_sim + (1 - beta) * cf + extra, 9) AS bucket,
+  round(beta * mean_sim + (1 - beta) * cf + extra, 9) AS rec FROM g_scored),
+g_true AS (SELECT cell, bucket, rec FROM g_final WHERE name = true_name),
+g_place AS (
+  SELECT t.cell, any_value(t.bucket) AS bucket, any_value(t.rec) AS rec, count(f.bucket) AS len_bucket, count(f.rec) AS len_rec,
+    count_if(f.bucket > t.bucket OR (f.bucket = t.bucket AND f.name < f.true_name)) AS better_bucket,
+    count_if(f.rec > t.rec OR (f.rec = t.rec AND f.name < f.true_name)) AS better_rec
+  FROM g_true t JOIN g_final f ON f.cell = t.cell GROUP BY t.cell),
+g_out AS (
+  SELECT CAST((cell // 100) % 100 AS INTEGER) AS k, CAST(cell % 100 AS INTEGER) AS L, count(bucket) AS found_bucket,
+    avg(CASE WHEN bucket IS NOT NULL THEN better_bucket / CAST(len_bucket AS DOUBLE) END) AS mean_norm_rank_bucket,
+    count(rec) AS found_recommendations,
+    avg(CASE WHEN rec IS NOT NULL THEN better_rec / CAST(len_rec AS DOUBLE) END) AS mean_norm_rank_recommendations
+  FROM g_place GROUP BY ALL)
+SELECT CAST(k.k AS INTEGER) AS k, CAST(l.L AS INTEGER) AS L, coalesce(o.found_bucket, 0) AS found_bucket,
+  round(o.mean_norm_rank_bucket, 6) AS mean_norm_rank_bucket, coalesce(o.found_recommendations, 0) AS found_recommendations,
+  round(o.mean_norm_rank_recommendations, 6) AS mean_norm_rank_recommendations
+FROM (VALUES {', '.join(f'({x})' for x in ks)}) AS k(k), (VALUES {', '.join(f'({x})' for x in Ls)}) AS l(L)
+LEFT JOIN g_out o ON o.k = k.k AND o.L = l.L
 """
 
 
