@@ -129,22 +129,21 @@ def kmeans_sql(k: int = 5, seed: int = 7, prefix: str = "") -> str:
 """
 
 
-def lloyd_sql(k: int, p: str = "", iters: int = 300, tol: float = 1e-4) -> str:
+def lloyd_sql(k: int, p: str = "", iters: int = 300, tol: float = 1e-4, d: int = 64) -> str:
     """Lloyd's rounds of every query over its distinct vectors (``km_pts``: vid, v, weight n, order h) as one recursion.
 
     A query leaves the recursion when its centres move by no more than its limit.  Ends in
     ``km_label`` (query_id, vid, cid) and ``km_own``, the cluster of each vector of ``km_of``.
     """
+    mean = ", ".join(f"sum(n * v[{j}]) / sum(n)" for j in range(1, d + 1))
+    square = " + ".join(f"pow(sum(n * v[{j}]) / sum(n), 2)" for j in range(1, d + 1))
     return f"""
 {p}km_init AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h) - 1 AS INTEGER) AS cid, v AS c
   FROM {p}km_pts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY h) <= {k}),
-{p}km_dims AS (
-  SELECT query_id, unnest(v) AS x, generate_subscripts(v, 1) AS j, n FROM {p}km_pts),
 {p}km_limit AS (
-  SELECT query_id, {tol!r}::DOUBLE * greatest(sum(ss) / max(n) - sum((s / n) * (s / n)), 0) / count(*) AS lim FROM (
-    SELECT query_id, j, sum(n * x * x) AS ss, sum(n * x) AS s, CAST(sum(n) AS DOUBLE) AS n FROM {p}km_dims GROUP BY query_id, j)
-  GROUP BY query_id),
+  SELECT query_id, {tol!r}::DOUBLE * greatest(sum(n * list_dot_product(v, v)) / sum(n) - ({square}), 0) / {d} AS lim
+  FROM {p}km_pts GROUP BY query_id),
 {p}km AS (
   SELECT query_id, cid, c, 0 AS round, FALSE AS done FROM {p}km_init
   UNION ALL
@@ -152,9 +151,7 @@ def lloyd_sql(k: int, p: str = "", iters: int = 300, tol: float = 1e-4) -> str:
   near AS (
     SELECT pt.query_id, pt.vid, any_value(pt.v) AS v, any_value(pt.n) AS n, arg_min(l.cid, (list_distance(pt.v, l.c), l.cid)) AS cid
     FROM {p}km_pts pt JOIN live l ON l.query_id = pt.query_id GROUP BY pt.query_id, pt.vid),
-  dims AS (SELECT query_id, cid, n, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM near),
-  mean AS (SELECT query_id, cid, j, sum(n * x) / sum(n) AS x FROM dims GROUP BY query_id, cid, j),
-  centre AS (SELECT query_id, cid, list(x ORDER BY j) AS c FROM mean GROUP BY query_id, cid),
+  centre AS (SELECT query_id, cid, [{mean}] AS c FROM near GROUP BY query_id, cid),
   moved AS (
     SELECT l.query_id, l.cid, l.round, coalesce(m.c, l.c) AS c, pow(list_distance(coalesce(m.c, l.c), l.c), 2) AS shift
     FROM live l LEFT JOIN centre m ON m.query_id = l.query_id AND m.cid = l.cid)
