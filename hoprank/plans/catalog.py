@@ -26,6 +26,7 @@ from . import grid as GR
 from ..operators import cluster as KC
 from ..operators import kmeans as KM
 from ..operators.knn import item_profiles, knn_exact
+from ..sources import html as HT
 from ..sources import io as IO
 from ..sources import pages as PG
 from ..operators import language as LG
@@ -296,6 +297,12 @@ def q_page_records(spark, sf_dir):
                               {"link": (RECORD_LINK, 1), "name": (RECORD_NAME, 1)}, {"title": (PG.TITLE, 1)}, keep=("page_id",))
 
 
+def q_review_records(spark, sf_dir):
+    """The reviews as pages of their items, and the records read back from the pages by structure."""
+    pages = HT.render_review_pages(_with_text(spark, sf_dir, _raw(spark, sf_dir)))
+    return HT.review_records(pages).select("name", "reviewer", "location", "rating", "date", F.md5("text").alias("text_md5"))
+
+
 def q_first_pages(spark, sf_dir):
     """P5: the first three review pages of every item with enough reviews."""
     items = Workspace.load(spark, sf_dir).reviews.groupBy("name").agg(F.max("total_reviews").alias("count"))
@@ -528,6 +535,7 @@ def queries() -> dict[str, QueryFn]:
         "abv_scaled": q_abv_scaled,
         "tfidf_terms": q_tfidf_terms,
         "csv_roundtrip": q_csv_roundtrip,
+        "review_records": q_review_records,
         "append_labels": q_append_labels,
         "item_keys": q_item_keys,
         "content_keys": q_content_keys,
@@ -637,6 +645,9 @@ SELECT term, n, df, round(ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + d
         "csv_roundtrip": W(REVIEWS_RAW_SQL) + """SELECT location, rating, count(*) AS reviews,
   CAST(sum(CAST(round(average_rating * 10) AS BIGINT)) AS BIGINT) AS tenths, min(id) AS first_id, CAST(sum(length(text)) AS BIGINT) AS chars, max(md5(text)) AS last_text
 FROM reviews_raw JOIN documents ON doc_id = doc_key GROUP BY location, rating""",
+        "review_records": W(REVIEWS_RAW_SQL) + """SELECT name, reviewer, location, rating, review_date AS date,
+  md5(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS text_md5
+FROM reviews_raw JOIN documents ON doc_id = doc_key""",
         "append_labels": W(*O.BASE) + """SELECT location, subgenre, count(*) AS items, CAST(0 AS BIGINT) AS ids
 FROM items, (VALUES ('Here'), ('There')) AS p(location) GROUP BY location, subgenre""",
         "item_keys": W(*O.BASE) + "SELECT name, row_number() OVER (ORDER BY name) - 1 AS item_id FROM items",

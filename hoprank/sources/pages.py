@@ -3,6 +3,7 @@
 Pages are rows (page_id, url, html).  Extraction uses regular expressions
 in Spark SQL functions (``regexp_extract_all`` + ``explode``), so it runs in
 the JVM, partition by partition, and each page is handled where it lies.
+Tables and review records, whose elements nest, are read by structure (``html``).
 Patterns avoid lazy quantifiers and repeated groups: they mean the same in Java
 and RE2, and long blocks can't exhaust the matcher's stack.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .html import table_cells
+
 # Fixed values that must equal the reference's
 PLACEHOLDERS_PREFIX = "All "          # "All Styles", "All Countries"
 PLACEHOLDER_DASHES = "---"
@@ -29,9 +32,6 @@ HEADING = r"<h1>([^<]*)</h1>"
 PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
 PARAGRAPH_END = (r"(?is)</?(?:p|div|article|section|table|ul|ol|dl|pre|blockquote|form|nav|header|footer|aside|main|"
                  r"h[1-6]|body|html)[\s>].*$")
-#: Rows and cells of a table, and where they end if their closing tag is missing.
-ROW, ROW_END = r"(?i)<tr(?:\s[^>]*)?>", r"(?is)</(?:tr|table|tbody|thead|tfoot)[\s>].*$"
-CELL, CELL_END = r"(?i)<t[dh](?:\s[^>]*)?>", r"(?is)</t[dh][\s>].*$"
 TITLE = r"<title>([^<]*)</title>"
 LANG = r'<html lang="([^"]*)"'
 
@@ -123,30 +123,26 @@ def between(text: Column, begin: str, end: str) -> Column:
     return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.regexp_replace(p, end, ""))
 
 
-def table_cells(pages: DataFrame, keep=("page_id", "url")) -> DataFrame:
-    """P6, table form: rows of ``<tr>`` with their position and the texts of their cells."""
-    rows = pages.select(*keep, F.posexplode(between(F.col("html"), ROW, ROW_END)).alias("pos", "_r"))
-    return rows.select(*keep, "pos", F.transform(between(F.col("_r"), CELL, CELL_END), strip_tags).alias("cells"))
-
-
 def extract_table_rows(pages: DataFrame, columns: dict[str, int], skip_header: bool = True, keep=("page_id", "url")) -> DataFrame:
     """``columns`` maps a name to a cell index (null where a row is shorter).
-    The first row is a header (skipped), as in the reference's listing tables."""
+    The first row of a table is a header (skipped), as in the reference's listing tables."""
     rows = table_cells(pages, keep)
     if skip_header:
         rows = rows.filter(F.col("pos") > 0)
-    return rows.select(*keep, "pos", *[F.get("cells", F.lit(i)).alias(n) for n, i in columns.items()])
+    return rows.select(*keep, "table_no", "pos", *[F.get("cells", F.lit(i)).alias(n) for n, i in columns.items()])
 
 
 def extract_table_by_header(pages: DataFrame, columns: dict[str, str], keep=("page_id", "url")) -> DataFrame:
-    """P6 by header names: ``columns`` maps a name to the heading of its column in the page's first row
-    (null where the page has no such heading)."""
-    rows = F.transform(between(F.col("html"), ROW, ROW_END),
-                       lambda r: F.transform(between(r, CELL, CELL_END), strip_tags))
-    split = pages.select(*keep, rows.alias("_rows")).filter(F.size("_rows") > 0)
-    out = split.select(*keep, F.get("_rows", F.lit(0)).alias("_head"), F.posexplode("_rows").alias("pos", "_c")).filter("pos > 0")
+    """P6 by header names: ``columns`` maps a name to the heading of its column in the table's first row
+    (null where the table has no such heading)."""
+    rows = table_cells(pages, keep)
+    heads = rows.filter("pos = 0").select(*[F.col(c).alias(f"_{c}") for c in keep], F.col("table_no").alias("_t"), F.col("cells").alias("_head"))
+    same = F.col("table_no") == F.col("_t")
+    for c in keep:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = rows.filter("pos > 0").join(heads, same)
     at = {n: F.array_position("_head", F.lit(h)).cast("int") for n, h in columns.items()}
-    return out.select(*keep, "pos", *[F.when(i > 0, F.get("_c", i - 1)).alias(n) for n, i in at.items()])
+    return out.select(*keep, "table_no", "pos", *[F.when(i > 0, F.get("cells", i - 1)).alias(n) for n, i in at.items()])
 
 
 def extract_records(pages: DataFrame, block: str, block_end: str, fields: dict[str, tuple[str, int]],
