@@ -228,13 +228,69 @@ def zero_share(cells: DataFrame, pred: DataFrame, users: DataFrame | None = None
             .withColumn("beta", beta_linear("zero_pct")).select("reviewer", "zero_pct", "beta"))
 
 
+#: Bins of a round, and values of one bin that are taken out to be sorted.
+BINS, FEW = 256, 4096
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values at 0-based ranks of the sorted column (nulls and NaN left out), by repeated refinement of a histogram.
+
+    A round counts the values of the interval of each rank in BINS bins (partial counts; count, least and largest
+    value per bin) and goes on inside the bin that holds the rank, narrowed to its values.  It ends when
+    the bin has one distinct value or at most FEW values, which are sorted.  No task holds more than that.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    ends = values.agg(F.min("v"), F.max("v")).collect()[0]
+    todo, done = {r: (ends[0], ends[1], 0, None) for r in set(ranks)}, {}       # interval, ranks below it, its size
+    while todo:
+        for r, (lo, hi, below, n) in list(todo.items()):
+            if lo == hi:
+                done[r] = lo
+                del todo[r]
+            elif n is not None and n <= FEW:
+                got = sorted(x["v"] for x in values.filter((F.col("v") >= lo) & (F.col("v") <= hi)).limit(FEW).collect())
+                done[r] = got[r - below]
+                del todo[r]
+        spans = sorted({(lo, hi) for lo, hi, _, _ in todo.values()})
+        if not spans:
+            break
+        # scaled before the difference: the width of an interval may not fit a double
+        place = F.array(*[F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.struct(
+            F.lit(k).alias("k"), F.least(F.floor((F.col("v") / 4 - lo / 4) / (hi / 4 - lo / 4) * BINS), F.lit(BINS - 1)).alias("bin")))
+            for k, (lo, hi) in enumerate(spans)])
+        counts = (values.select("v", F.explode(place).alias("p")).filter("p is not null").groupBy("p.k", "p.bin")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        for r, (lo, hi, below, _) in list(todo.items()):
+            mine = sorted((c["bin"], c["n"], c["lo"], c["hi"]) for c in counts if c["k"] == spans.index((lo, hi)))
+            for _, n, least, most in mine:
+                if r < below + n:
+                    todo[r] = (least, most, below, n)
+                    break
+                below += n
+    return done
+
+
+def quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles, linear between neighbouring values; None for a column without values."""
+    n = df.select(F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)").count()
+    if not n:
+        return [None] * len(shares)
+    at = [p * (n - 1) for p in shares]
+    known = order_statistics(df, col, [int(a) for a in at] + [min(int(a) + 1, n - 1) for a in at])
+    out = []
+    for a in at:
+        low, high = known[int(a)], known[min(int(a) + 1, n - 1)]
+        out.append(low if a == int(a) else low * (1 - (a - int(a))) + high * (a - int(a)))
+    return out
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """count, mean, std, min, quartiles, max of a column (one aggregate)."""
+    """count, mean, std, min, quartiles, max of a column; quartiles by ``quantiles``."""
     c = F.col(col)
+    q = [F.lit(v).cast("double") for v in quantiles(df, col, [0.25, 0.5, 0.75])]
     return df.agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"), F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"),
-        F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"))
+        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
+        F.max(c).alias("max")).select("count", "mean", "std", "min", q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), "max")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

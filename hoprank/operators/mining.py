@@ -1,11 +1,11 @@
 """Frequent-pair mining (M1-M5), apriori style.
 
-Pass 1 counts users per item; pass 2 counts pairs only among frequent items,
-per user from the sorted set of that user's frequent items.  A user's set
-holds at most F items (F = number of frequent items, bounded by the support
-threshold, not by the data), so the pairs a user emits are bounded as well;
-pair counts are combined map-side before the shuffle.  Both thresholds are
-strict (> s * N), as in the reference.
+Pass 1 counts users per item.  Pass 2 hashes the pairs of frequent items of each user into
+a fixed number of buckets and counts these (a partial aggregate of at most BUCKETS rows a
+task).  Pass 3 counts, exactly, only pairs whose bucket reaches the threshold: a frequent pair's bucket
+always does, and most infrequent pairs never become rows of a shuffle.  A user's pairs
+come from a join on the user, so no user's items are ever one row and adaptive execution
+splits an active one.  Both thresholds are strict (> s * N), as in the reference.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..plans.sizing import broadcast_if_small
 
+#: Buckets of the hashed pair counts.
+BUCKETS = 1 << 20
+
 
 def baskets(df: DataFrame, item: str = "name", user: str = "reviewer", min_rating: float = 2.5) -> DataFrame:
     """M1: distinct (user, item) with rating >= min_rating."""
@@ -30,15 +33,18 @@ def frequent_items(b: DataFrame, support: float) -> tuple[DataFrame, int]:
 
 
 def frequent_pairs(df: DataFrame, support: float, item: str = "name", user: str = "reviewer",
-                   min_rating: float = 2.5) -> DataFrame:
+                   min_rating: float = 2.5, buckets: int = BUCKETS) -> DataFrame:
     """M3: (a, b, users) with a < b, both frequent, co-rated by strictly more than support * N users."""
     b = baskets(df, item, user, min_rating)
     freq, n_users = frequent_items(b, support)
     fb = b.join(broadcast_if_small(freq.select("item"), "frequent items"), "item", "left_semi")
-    # a join on the user: no user's pairs are ever one row, and adaptive execution splits an active user
     x, y = fb.select("user", F.col("item").alias("a")), fb.select("user", F.col("item").alias("b"))
-    counts = x.join(y, "user").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("users"))
-    return counts.filter(F.col("users") > F.lit(support * n_users))
+    pairs = x.join(y, "user").filter("a < b").select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).alias("bucket"))
+    enough = F.col("users") > F.lit(support * n_users)
+    hot = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("users")).filter(enough).select("bucket")
+    # at most BUCKETS numbers by construction
+    some = pairs.join(F.broadcast(hot) if buckets <= BUCKETS else hot, "bucket", "left_semi")
+    return some.groupBy("a", "b").agg(F.count(F.lit(1)).alias("users")).filter(enough)
 
 
 def pair_recommender(pairs: DataFrame) -> DataFrame:

@@ -136,6 +136,15 @@ def q_frequent_pairs(spark, sf_dir):
     return MI.frequent_pairs(ws.reviews, MINING_SUPPORT, item="brewery", user="reviewer", min_rating=2.5)
 
 
+ITEM_SUPPORT = 0.004
+
+
+def q_item_pairs(spark, sf_dir):
+    """M3 over all items, at a support that leaves far more pairs to count than to return."""
+    ws = Workspace.load(spark, sf_dir)
+    return MI.frequent_pairs(ws.reviews, ITEM_SUPPORT, item="name", user="reviewer", min_rating=2.5)
+
+
 def q_pair_recommender(spark, sf_dir):
     ws = Workspace.load(spark, sf_dir)
     return MI.pair_recommender(MI.frequent_pairs(ws.reviews, MINING_SUPPORT, item="brewery"))
@@ -438,10 +447,10 @@ def q_append_labels(spark, sf_dir):
     """Batches appended to a declared table with labels; counts per label."""
     ws, name = Workspace.load(spark, sf_dir), "appended_" + os.path.basename(_fresh(spark, "t")).replace("-", "_")
     schema = StructType([f for f in IO.REVIEWS_RAW.fields if f.name in ("id", "name", "subgenre", "location")])
-    IO.ensure_table(spark, name, schema, path=_fresh(spark, "appended"))
-    for place in ("Here", "There"):
+    IO.ensure_table(spark, name, schema, path=_fresh(spark, "appended"), batches=True)
+    for place in ("Here", "There", "There"):         # the last batch comes twice and counts once
         IO.append_reviews(ws.items.select(F.col("name").alias("beer"), "subgenre"), name,
-                          {"beer": "name", "subgenre": "subgenre"}, location=place)
+                          {"beer": "name", "subgenre": "subgenre"}, batch_id=place, location=place)
     return spark.table(name).groupBy("location", "subgenre").agg(F.count(F.lit(1)).alias("items"), F.count("id").alias("ids"))
 
 
@@ -565,6 +574,7 @@ def queries() -> dict[str, QueryFn]:
         "cf_neighbours": q_cf_neighbours,
         "cf_jaccard_neighbours": q_cf_jaccard_neighbours,
         "mining_frequent_pairs": q_frequent_pairs,
+        "mining_item_pairs": q_item_pairs,
         "mining_pair_recommender": q_pair_recommender,
         "mining_pair_lookup": q_pair_lookup,
         "item_top_terms": q_item_top_terms,
@@ -725,6 +735,7 @@ jac AS (SELECT i.u, i.v, CAST(i.both_ AS DOUBLE) / CAST(su.n + sv.n - i.n_both A
 nb AS (SELECT u, v, sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC NULLS LAST, v) AS rank FROM jac)""")
         + "SELECT u, v, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM nb WHERE rank <= 5",
         "mining_frequent_pairs": W(*O.BASE, MINING_SQL) + "SELECT a, b, users FROM pairs",
+        "mining_item_pairs": W(*O.BASE, MINING_SQL.replace("brewery", "name").replace(str(MINING_SUPPORT), str(ITEM_SUPPORT))) + "SELECT a, b, users FROM pairs",
         "mining_pair_recommender": W(*O.BASE, MINING_SQL, """
 both_dirs AS (SELECT a AS item, b AS partner FROM pairs UNION ALL SELECT b, a FROM pairs)""")
         + "SELECT item, list_sort(list(partner)) AS partners FROM both_dirs GROUP BY item",

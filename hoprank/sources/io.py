@@ -53,11 +53,19 @@ def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet", schema: S
     return reader.format(fmt).load(path)
 
 
-def ensure_table(spark: SparkSession, name: str, schema: StructType = REVIEWS_RAW, path: str | None = None) -> None:
-    """Declare the table if it does not exist (Parquet)."""
+#: The partition column of tables whose batches can be appended again.
+BATCH = "batch"
+
+
+def ensure_table(spark: SparkSession, name: str, schema: StructType = REVIEWS_RAW, path: str | None = None, batches: bool = False) -> None:
+    """Declare the table if it does not exist (Parquet); with ``batches`` it has a partition per batch label."""
     if spark.catalog.tableExists(name):
         return
+    if batches:
+        schema = StructType([*schema.fields, StructField(BATCH, StringType())])
     w = spark.createDataFrame([], schema).write.format("parquet")
+    if batches:
+        w = w.partitionBy(BATCH)
     if path:
         w = w.option("path", path)
     w.saveAsTable(name)
@@ -68,9 +76,13 @@ def with_batch_labels(df: DataFrame, **labels) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in labels.items()})
 
 
-def append_reviews(df: DataFrame, table: str, field_map: dict | None = None, **labels) -> int:
+def append_reviews(df: DataFrame, table: str, field_map: dict | None = None, batch_id: str | None = None, **labels) -> int:
     """Rename fields to columns, stamp labels, append; an empty batch is skipped.
 
+    With ``batch_id`` (a table declared with ``batches``) the append can be repeated: the rows are staged and moved
+    into the partition of their batch when the whole job has succeeded, in place of what an earlier call with
+    the same label wrote.  A failed job leaves the table as it was.  Without it every call adds rows.
+
     Returns the number of rows written (0 for an empty batch, which is logged).
     """
     if field_map:
@@ -80,7 +92,17 @@ def append_reviews(df: DataFrame, table: str, field_map: dict | None = None, **l
     cols = [c for c in target.columns]
     out = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in cols])
     seen = Observation()
-    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(table)     # one pass: write and count
+    counted = out.observe(seen, F.count(F.lit(1)).alias("n"))                                   # one pass: write and count
+    if batch_id is None:
+        counted.write.mode("append").insertInto(table)
+    else:
+        conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(key)
+        conf.set(key, "dynamic")                     # staged, then only the written partition is replaced
+        try:
+            counted.withColumn(BATCH, F.lit(str(batch_id))).write.insertInto(table, overwrite=True)
+        finally:
+            conf.set(key, before)
     n = seen.get["n"]
     if not n:
         log.info("append_reviews: empty batch for %s; nothing written", table)

@@ -60,3 +60,28 @@ def test_csv_keeps_breaks_quotes_and_white_space(spark):
         f.write(",".join(cols) + "\n" + '1,n,b,s,5%,DK,4.0,3.5,u,2020,"first line\nsecond, line",,3\n2,n,b,s,5%,DK,4.0,3.5,u,2020,"say ""hi"", ok",,3\n')
     got = IO.read_reviews(spark, os.path.join(d, "in.csv"), "csv").select("id", "review_text", "total_reviews").collect()
     assert [tuple(r) for r in got] == [("1", "first line\nsecond, line", 3), ("2", 'say "hi", ok', 3)]
+
+
+def test_a_batch_appended_again_counts_once(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="hoprank-test-", dir="/tmp")
+    name = "t_batches_" + os.path.basename(d).replace("-", "_")
+    cols = [f.name for f in IO.REVIEWS_RAW.fields]
+    rows = spark.createDataFrame([(str(i), "n", "b", "s", "5%", "DK", "4.0", 3.5, "u", "2020", "t", None, 3) for i in range(50)], IO.REVIEWS_RAW)
+    IO.ensure_table(spark, name, path=os.path.join(d, "tbl"), batches=True)
+
+    def held():
+        return sorted((r["batch"], r["n"]) for r in spark.table(name).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert IO.append_reviews(rows, name, batch_id="one") == 50
+    assert IO.append_reviews(rows.limit(20), name, batch_id="two") == 20
+    assert IO.append_reviews(rows, name, batch_id="one") == 50
+    assert held() == [("one", 50), ("two", 20)]
+
+    @F.udf("string")
+    def fails(x):
+        raise ValueError("a task fails")
+    with pytest.raises(Exception):
+        IO.append_reviews(rows.withColumn("brewery", F.when(F.col("id") > "3", fails("id")).otherwise("b")).repartition(4), name, batch_id="two")
+    assert held() == [("one", 50), ("two", 20)]          # a failed append leaves the earlier rows
+    assert IO.append_reviews(rows.limit(0), name, batch_id="three") == 0 and held() == [("one", 50), ("two", 20)]
+    assert spark.table(name).columns[:len(cols)] == cols

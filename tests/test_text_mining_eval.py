@@ -68,3 +68,46 @@ def test_language_detection_agrees_with_labels(spark):
     assert acc > 0.9
     short = spark.createDataFrame([("ab ",), (None,)], "review_text string")
     assert [r.language for r in LG.detect_language(short, prof).collect()] == [None, None]
+
+
+def test_quantiles_by_refinement_equal_sorting(spark, monkeypatch):
+    import numpy as np
+    from hoprank.operators import cf as CF
+    monkeypatch.setattr(CF, "FEW", 5)                    # so that rounds are needed
+    rng = np.random.default_rng(4)
+    columns = {"even": rng.uniform(-5, 5, 700), "wide": 10.0 ** rng.uniform(-30, 30, 300), "few": rng.integers(0, 4, 500).astype(float),
+               "one": np.full(40, 2.5), "single": np.array([7.0]), "huge": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 2.0, 3.0, 4.0])}
+    for name, x in columns.items():
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double").repartition(3)
+        got = CF.quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0])
+        assert np.allclose(got, np.quantile(x, [0.0, 0.25, 0.5, 0.9, 1.0]), rtol=1e-12), name
+    assert CF.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_item_pairs_do_not_depend_on_the_buckets(spark):
+    import itertools
+    import random
+    from hoprank.operators import mining as MI
+    rng = random.Random(2)
+    rows = [(f"u{u}", f"i{i:02d}", 3.0) for u in range(60) for i in rng.sample(range(25), 9)]
+    rows += [(f"u{u}", "i00", 3.0) for u in range(0, 60, 2)] + [("u1", "i02", 1.0)]
+    df = spark.createDataFrame(rows, "reviewer string, name string, rating double")
+    sets = {}
+    for u, i, r in rows:
+        if r >= 2.5:
+            sets.setdefault(u, set()).add(i)
+    count = {}
+    for s in sets.values():
+        for p in itertools.combinations(sorted(s), 2):
+            count[p] = count.get(p, 0) + 1
+    want = sorted((a, b, n) for (a, b), n in count.items() if n > 0.15 * len(sets))
+    for buckets in (1, 7, MI.BUCKETS):
+        assert sorted(tuple(r) for r in MI.frequent_pairs(df, 0.15, buckets=buckets).collect()) == want and want
+
+
+def test_clustering_takes_equal_rows_once(spark):
+    from hoprank.operators import cluster as KC
+    rows = [("1", "A", 5.0, "same", 3.0, "x"), ("2", "A", 5.0, "same", 3.0, "y"), ("3", "A", 5.0, "other", 3.0, "x"),
+            ("4", "B", 5.0, "same", 3.0, "x"), ("5", "A", None, None, None, "x"), ("6", "A", None, "", None, "x")]
+    df = spark.createDataFrame(rows, "id string, name string, abv double, review_text string, average_rating double, subgenre string")
+    assert sorted(r["id"] for r in KC.distinct_texts(df).collect()) == ["1", "3", "4", "5"]
