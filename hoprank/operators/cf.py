@@ -70,6 +70,22 @@ def _targets(cells: DataFrame, users: DataFrame | None) -> DataFrame:
     return cells.join(broadcast_if_small(u, "target users"), "reviewer", "left_semi")
 
 
+#: Rows of one key in a block of a sparse product.
+BLOCK_ROWS = 100_000
+
+
+def blocked_join(small: DataFrame, large: DataFrame, key: str, spread: str, rows: int | None = None) -> DataFrame:
+    """Join on ``key`` in blocks: a key with more than ``rows`` rows in ``large`` is cut by a hash of ``spread``, and
+    its rows in ``small`` are repeated for each of its blocks.  A hot item or user is split by construction."""
+    rows = rows or BLOCK_ROWS
+    hot = (large.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n")).filter("_n > 1"))
+    hot = broadcast_if_small(cut_lineage(hot), "hot keys")          # one key per ``rows`` rows at most
+    count = F.coalesce("_n", F.lit(1))
+    left = small.join(hot, key, "left").withColumn("_b", F.explode(F.sequence(F.lit(0), count - 1))).drop("_n")
+    right = large.join(hot, key, "left").withColumn("_b", F.pmod(F.xxhash64(spread), count).cast("int")).drop("_n")
+    return left.join(right, [key, "_b"]).drop("_b")
+
+
 def user_similarity(cells: DataFrame, metric: str = "cosine", users: DataFrame | None = None) -> DataFrame:
     """Similarity of each target user u to every user v sharing an item.
 
@@ -82,7 +98,7 @@ def user_similarity(cells: DataFrame, metric: str = "cosine", users: DataFrame |
         nz = cells.filter(F.col("x") != 0).select("reviewer", "name", "x")
         l = left.filter(F.col("x") != 0).select(F.col("reviewer").alias("u"), "name", F.col("x").alias("xu"))
         r = nz.select(F.col("reviewer").alias("v"), "name", F.col("x").alias("xv"))
-        dots = l.join(r, "name").groupBy("u", "v").agg(F.sum(F.col("xu") * F.col("xv")).alias("dot"))
+        dots = blocked_join(l, r, "name", "v").groupBy("u", "v").agg(F.sum(F.col("xu") * F.col("xv")).alias("dot"))
         norms = nz.groupBy("reviewer").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
         nu = norms.select(F.col("reviewer").alias("u"), F.col("n").alias("nu"))
         nv = norms.select(F.col("reviewer").alias("v"), F.col("n").alias("nv"))
@@ -92,7 +108,7 @@ def user_similarity(cells: DataFrame, metric: str = "cosine", users: DataFrame |
         b = cells.select("reviewer", "name", F.col("x").cast("int").alias("b")).filter(F.col("b") != 0)
         l = _targets(b, users).select(F.col("reviewer").alias("u"), "name", F.col("b").alias("bu"))
         r = b.select(F.col("reviewer").alias("v"), "name", F.col("b").alias("bv"))
-        inter = l.join(r, "name").groupBy("u", "v").agg(
+        inter = blocked_join(l, r, "name", "v").groupBy("u", "v").agg(
             F.sum(F.col("bu") * F.col("bv")).alias("both"), F.count(F.lit(1)).alias("n_both"))
         sizes = b.groupBy("reviewer").agg(F.count(F.lit(1)).alias("n"))
         su = sizes.select(F.col("reviewer").alias("u"), F.col("n").alias("nu"))
@@ -128,7 +144,7 @@ def predict(cells: DataFrame, sim: DataFrame, items: DataFrame | None = None, mo
         need = items.select("name").distinct()
         c = c.join(need, "name", "left_semi")
     val = F.col("x") if mode == "plain" else F.col("r")
-    num = (sim.join(c, "v").groupBy(F.col("u"), F.col("name"))
+    num = (blocked_join(sim, c, "v", "name").groupBy(F.col("u"), F.col("name"))
            .agg(F.sum(F.col("sim") * val).alias("num")))
     if items is not None:
         num = num.join(items.select(F.col("reviewer").alias("u"), "name").distinct(), ["u", "name"], "left_semi")
@@ -158,7 +174,7 @@ def cf_scores(train: DataFrame, users: DataFrame, items: DataFrame | None = None
               scale: str = "midpoint", cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """CF part of the hybrid: (predictions for the given users, beta for them)."""
     cells = cells if cells is not None else utility(train, scale)
-    sim = user_similarity(cells, "cosine", users)
+    sim = cut_lineage(user_similarity(cells, "cosine", users))      # read for the sums and for the weights: written once
     pred = predict(cells, sim, items)
     betas = user_betas(_targets(cells, users))
     return pred, betas
@@ -175,7 +191,7 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int | None = 20, scale:
     Rated items are not removed.  Unknown users get no rows.
     """
     cells = cells if cells is not None else utility(train, scale)
-    sim = user_similarity(cells, "cosine", users)
+    sim = cut_lineage(user_similarity(cells, "cosine", users))
     # targets x items at most; reused by several steps below, so written once
     pred = cut_lineage(predict(cells, sim).filter(F.col("pred") != 0))
     known = _targets(cells, users).select("reviewer").distinct()

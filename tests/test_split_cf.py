@@ -48,3 +48,25 @@ def test_sparse_cf_equals_dense(ws):
     targets = set(got.reviewer)
     nz = sum(int((np.abs(pred[rows[t]]) > 1e-12).sum()) for t in targets if t in rows)
     assert nz == len(got)
+
+
+def test_hot_items_and_users_are_cut_into_blocks(spark, monkeypatch):
+    """One item that everybody rated and one user who rated everything: the same results in blocks of three rows."""
+    import random
+    rng = random.Random(6)
+    rows = [(f"u{u}", "hot", 1.0 + rng.randrange(9) / 2) for u in range(40)] + [("u0", f"i{i}", 1.0 + rng.randrange(9) / 2) for i in range(30)]
+    rows += [(f"u{u}", f"i{i}", 1.0 + rng.randrange(9) / 2) for u in range(1, 40) for i in rng.sample(range(30), 3)]
+    train = spark.createDataFrame(rows, "reviewer string, name string, rating double")
+    users = spark.createDataFrame([("u0",), ("u5",), ("u9",)], "reviewer string")
+
+    def results():
+        cells = CF.utility(train, "midpoint")
+        sim = CF.user_similarity(cells, "cosine", users)
+        out = [sim, CF.predict(cells, sim), CF.predict(CF.utility(train, "raw"), sim, mode="mean_added"),
+               CF.user_similarity(CF.utility(train, "like"), "jaccard", users)]
+        return [sorted((r[0], r[1] or "", round(r[2], 9)) for r in df.collect()) for df in out]
+    whole = results()
+    monkeypatch.setattr(CF, "BLOCK_ROWS", 3)
+    assert results() == whole and all(whole)
+    joined = CF.blocked_join(users.withColumn("name", F.lit("hot")), train.withColumnRenamed("reviewer", "v"), "name", "v")
+    assert joined.count() == 3 * 40
