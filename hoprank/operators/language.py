@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import broadcast_if_small
-
 N_GRAM = 3
 TOP_GRAMS = 300
 LOG_FLOOR = -12.0            # log probability of a gram outside a profile
@@ -46,13 +44,13 @@ def detect_language(df: DataFrame, profile: DataFrame, text: str = "review_text"
     """C11: add the detected language of ``text`` (null for short or missing texts)."""
     ok = F.col(text).isNotNull() & (F.length(F.trim(F.col(text))) > 3)
     texts = df.filter(ok).select(F.md5(text).alias("_k"), text).distinct()
-    g = (texts.select("_k", F.lower(text).alias("_lt")).select("_k", F.explode(char_grams("_lt", n)).alias("gram"))
-         .groupBy("_k", "gram").agg(F.count(F.lit(1)).alias("c")))
-    total = g.groupBy("_k").agg(F.sum("c").alias("n_total"))
-    prof = broadcast_if_small(profile.select("lang", "gram", (F.col("logp") - LOG_FLOOR).alias("delta")), "profile")
-    sums = g.join(prof, "gram").groupBy("_k", "lang").agg(F.sum(F.col("c") * F.col("delta")).alias("s"))
-    best = (sums.join(total, "_k")
-            .withColumn("score", F.col("s") + F.col("n_total") * LOG_FLOOR)
+    g = texts.select("_k", F.lower(text).alias("_lt")).select("_k", char_grams("_lt", n).alias("_g"))
+    # a text's trigrams meet the profile (languages x TOP_GRAMS rows) where the text lies and are summed there:
+    # a row per text and language is shuffled, none per trigram
+    prof = F.broadcast(profile.select("lang", "gram", (F.col("logp") - LOG_FLOOR).alias("delta")))
+    sums = (g.select("_k", F.size("_g").alias("n_total"), F.explode("_g").alias("gram")).join(prof, "gram")
+            .groupBy("_k", "lang").agg(F.sum("delta").alias("s"), F.first("n_total").alias("n_total")))
+    best = (sums.withColumn("score", F.col("s") + F.col("n_total") * LOG_FLOOR)
             .groupBy("_k").agg(F.max(F.struct(F.round("score", 9).alias("score"), F.col("lang").alias("lang"))).alias("b"))
             .select("_k", F.col("b.lang").alias("_lang")))
     keyed = df.withColumn("_k", F.when(ok, F.md5(text)))

@@ -24,6 +24,7 @@ from ..operators import themes as TH
 from . import evaluate as EV
 from . import grid as GR
 from ..operators import cluster as KC
+from ..operators import embed as EB
 from ..operators import kmeans as KM
 from ..operators.knn import item_profiles, knn_exact
 from ..sources import html as HT
@@ -136,7 +137,7 @@ def q_frequent_pairs(spark, sf_dir):
     return MI.frequent_pairs(ws.reviews, MINING_SUPPORT, item="brewery", user="reviewer", min_rating=2.5)
 
 
-ITEM_SUPPORT = 0.004
+ITEM_SUPPORT = 0.0012
 
 
 def q_item_pairs(spark, sf_dir):
@@ -257,6 +258,22 @@ def q_cluster_top_items(spark, sf_dir):
     return rounded(KC.top_items_per_cluster(KC.clusters_by_item(cl), ws.items, pred, 10))
 
 
+def _document_vectors(spark, sf_dir):
+    return EB.hashed_vectors(_texts(spark, sf_dir), "doc_key")
+
+
+def q_embed_reviews(spark, sf_dir):
+    """V1-V3: the vectors of all documents (the texts of the reviews), by slot."""
+    return rounded(_document_vectors(spark, sf_dir).select("doc_key", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0"))
+
+
+def q_embed_by_item(spark, sf_dir):
+    """V4: the mean vector of each item's reviews, by slot."""
+    ws = Workspace.load(spark, sf_dir)
+    items = EB.pooled_by_item(_document_vectors(spark, sf_dir), ws.reviews, "doc_key")
+    return rounded(items.select("name", F.posexplode("embedding").alias("slot", "value")))
+
+
 def q_bucket_projection(spark, sf_dir):
     """2-d points of every query's candidate bucket, each on its own axes, with their k-means labels."""
     ws = Workspace.load(spark, sf_dir)
@@ -589,6 +606,8 @@ def queries() -> dict[str, QueryFn]:
         "lsh_grid_search": q_lsh_grid_search,
         "cluster_distribution": q_cluster_distribution,
         "cluster_top_items": q_cluster_top_items,
+        "embed_reviews": q_embed_reviews,
+        "embed_by_item": q_embed_by_item,
         "bucket_projection": q_bucket_projection,
         "latent_topn": q_latent_topn,
         "page_links": q_page_links,
@@ -652,6 +671,9 @@ plain_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rou
 c AS (SELECT term, count(*) n, count(DISTINCT doc_id) df FROM t WHERE length(term) >= 2 GROUP BY term),
 k AS (SELECT *, row_number() OVER (ORDER BY n DESC, term) r FROM c)
 SELECT term, n, df, round(ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf FROM k WHERE r <= 100""",
+        "embed_reviews": W(EMBED_SQL) + "SELECT doc_key, slot, round(value, 6) AS value FROM vectors WHERE value <> 0",
+        "embed_by_item": W(*O.BASE, EMBED_SQL) + """SELECT r.name, v.slot, round(sum(v.value) / count(*), 6) AS value
+FROM reviews r JOIN vectors v ON v.doc_key = r.doc_key GROUP BY r.name, v.slot""",
         "csv_roundtrip": W(REVIEWS_RAW_SQL) + """SELECT location, rating, count(*) AS reviews,
   CAST(sum(CAST(round(average_rating * 10) AS BIGINT)) AS BIGINT) AS tenths, min(id) AS first_id, CAST(sum(length(text)) AS BIGINT) AS chars, max(md5(text)) AS last_text
 FROM reviews_raw JOIN documents ON doc_id = doc_key GROUP BY location, rating""",
@@ -946,6 +968,16 @@ page_links AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, name,
 """
 
 
+EMBED_SQL = f"""
+e_words AS (SELECT doc_id AS doc_key, concat('<', unnest(regexp_extract_all(lower(text), '{EB.EXPR_WORD}')), '>') AS w FROM documents),
+e_grams AS (SELECT doc_key, unnest([substring(w, CAST(i AS INTEGER), 3) FOR i IN range(1, length(w) - 1)]) AS g FROM e_words),
+e_hash AS (SELECT doc_key, CAST(concat('0x', substring(md5(g), 1, 8)) AS BIGINT) AS h FROM e_grams),
+e_sum AS (SELECT doc_key, CAST(h % 64 AS INTEGER) AS slot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS s FROM e_hash GROUP BY doc_key, h % 64),
+e_norm AS (SELECT doc_key, sqrt(sum(s * s)) AS n FROM e_sum GROUP BY doc_key),
+vectors AS (SELECT d.doc_id AS doc_key, CAST(p.slot AS INTEGER) AS slot, CASE WHEN n.n > 0 THEN coalesce(s.s, 0) / n.n ELSE 0.0 END AS value
+  FROM documents d CROSS JOIN range(64) p(slot) LEFT JOIN e_sum s ON s.doc_key = d.doc_id AND s.slot = p.slot
+  LEFT JOIN e_norm n ON n.doc_key = d.doc_id)
+"""
 MINING_SQL = f"""
 b AS (SELECT DISTINCT reviewer AS u, brewery AS item FROM reviews WHERE rating >= 2.5),
 nu AS (SELECT count(DISTINCT u) AS n FROM b),
