@@ -173,7 +173,7 @@ def predict(cells: DataFrame, sim: DataFrame, items: DataFrame | None = None, mo
 def cf_scores(train: DataFrame, users: DataFrame, items: DataFrame | None = None,
               scale: str = "midpoint", cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """CF part of the hybrid: (predictions for the given users, beta for them)."""
-    cells = cells if cells is not None else utility(train, scale)
+    cells = cells if cells is not None else cut_lineage(utility(train, scale))      # read several times below
     sim = cut_lineage(user_similarity(cells, "cosine", users))      # read for the sums and for the weights: written once
     pred = predict(cells, sim, items)
     betas = user_betas(_targets(cells, users))
@@ -190,7 +190,7 @@ def recommend_cf(train: DataFrame, users: DataFrame, n: int | None = 20, scale:
     order, then negative predictions - without building the user x item grid.
     Rated items are not removed.  Unknown users get no rows.
     """
-    cells = cells if cells is not None else utility(train, scale)
+    cells = cells if cells is not None else cut_lineage(utility(train, scale))      # read several times below
     sim = cut_lineage(user_similarity(cells, "cosine", users))
     # targets x items at most; reused by several steps below, so written once
     pred = cut_lineage(predict(cells, sim).filter(F.col("pred") != 0))
