@@ -1,29 +1,39 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
 
 Words here are runs of ASCII letters, digits and non-ASCII characters of the
 lower-cased text, so case, punctuation and white space don't hide a copy.  Test items
-are cut evenly into segments of at most SEGMENT words.
-
-1. One Arrow pass over all texts looks every SEED-word gram up among the grams of
-   the items (blocks of items with a bounded size are sent to the tasks, one block
-   after the other).  Hits on one segment near one diagonal become a passage, which
-   is kept as word hashes with a margin around it.
-2. A passage goes on if the words of the segment that it holds allow THRESHOLD.  That
-   is a bound on the score, not a guess: an alignment gains MATCH at most once for a
-   word of the segment.  How common a seed is in the corpus plays no part, since the
-   copies of an item make its own seeds common and would hide each other.
+are cut evenly into segments of at most SEGMENT words; equal segments are one.
+
+1. A segment's seeds are the rarest of its pairs of neighbouring words (rare: in few
+   segments).  One Arrow pass over all texts looks up its pairs of neighbouring words and
+   of words with one between them (blocks of items with a bounded size are sent to the
+   tasks, one block after the other).  Hits on one segment near one diagonal become a
+   passage, which is kept as word hashes with a margin around it.
+2. A passage goes on if the words of the segment that it holds allow the score.
 3. Smith-Waterman over words (MATCH, MISMATCH, GAP) aligns passage and segment,
    vectorised over passages.  A passage is a leak if its score is at least THRESHOLD
    of the score of an exact copy.
 
-Defined results: null or empty texts and items match nothing; items of fewer than
-MIN_ITEM words are too short to be evidence and are not searched; a null doc_id or
-item_id is reported as null; rows that share doc_id and text are one row in the
-result; other columns are not looked at; empty tables give no rows.
+The seeds miss nothing.  Of n words an alignment may lose 2 n (1 - THRESHOLD) of the
+score.  Between two matches, s words of the segment and t of the text without a match cost
+2 s + max(s, t); they break s + 1 pairs, but none if s = 0 and t = 1.  That is at most two
+pairs for a loss of three (one word replaced), so ``seeds`` takes one pair more than
+the whole loss can break.  Nor does the margin: t is at most n in all.
+
+Items of fewer than MIN_ITEM words must be in a text as a whole (score 1).  Such a phrase
+may stand in any text: the stage acts on items of EVIDENCE words and more only.
+
+Defined results: null or empty texts and items match nothing; a null doc_id or item_id
+is reported as null; rows that share doc_id and text are one row in the result; of
+equally good passages the one that ends last is told; a text of any length, of one
+repeated word as well, is worked on in pieces of HITS hits; other columns are not looked
+at; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,81 +42,148 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from . import common as C
 
-SEED, SEGMENT, MIN_ITEM = 4, 64, 8
+SEGMENT, MIN_ITEM, EVIDENCE = 64, 8, 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
 #: Bytes of items that are sent to the tasks at once.
 BLOCK_BYTES = 8_000_000
-#: Elements of the score rows that are worked on at once.
-CELLS = 1_000_000
+#: Elements of the score rows, and hits of seeds, that are worked on at once.
+CELLS, HITS = 1_000_000, 1_000_000
 
 LETTERS = np.array([not (b < 128 and not chr(b).isalnum()) for b in range(256)])
 PASSAGE = "doc_id long, th long, seg int, start int, words binary"
+SCORED = "doc_id long, th long, item_id long, item_words int, score double, end_word long"
 
 
 def item_words(s: C.Slice) -> C.Words:
     return C.words(s, space=~LETTERS)
 
 
+def pairs(h: np.ndarray, step: int) -> np.ndarray:
+    """Hash of each word with the one ``step`` words after it (step 0: of the word alone)."""
+    with np.errstate(over="ignore"):
+        return C.mix(h[:len(h) - step] * C._GRAM + h[step:]) if step else C.mix(h + C._GRAM)
+
+
+def broken(n: int, need: float) -> int:
+    """The most pairs of n words that an alignment with ``need`` of the full score can lack."""
+    return int(2 * MATCH * n * (1 - need) / 3 + 1e-9)
+
+
 class Items:
-    """The segments of a block of items, and their seeds sorted by hash."""
+    """The distinct segments of a block of items, and their seeds sorted by hash."""
 
-    def __init__(self, ids: list, texts: pa.Array):
-        self.item, self.words = [], []
+    def __init__(self, ids: list, texts: pa.Array, threshold: float):
+        known: dict[tuple, int] = {}
+        self.words, self.need, self.item = [], [], []
         for s in C.slices(texts):
             w = item_words(s)
             for r in range(s.rows()):
                 h = w.hash[w.offs[r]:w.offs[r + 1]]
-                if len(h) >= MIN_ITEM:
-                    parts = np.array_split(h, -(-len(h) // SEGMENT))
-                    self.words += parts
-                    self.item += [ids[s.lo + r]] * len(parts)
-        at = [np.arange(max(0, len(h) - SEED + 1)) for h in self.words]
-        g = np.concatenate([C.grams(h, SEED) for h in self.words]) if self.words else np.zeros(0, np.uint64)
-        seg = np.repeat(np.arange(len(at)), [len(a) for a in at]) if at else np.zeros(0, np.int64)
-        order = np.argsort(g, kind="stable")
-        self.gram, self.seg = g[order], seg[order]
-        self.at = (np.concatenate(at) if at else np.zeros(0, np.int64))[order]
+                need = threshold if len(h) >= MIN_ITEM else 1.0
+                for part in np.array_split(h, -(-len(h) // SEGMENT)) if len(h) else ():
+                    k = known.setdefault((need, part.tobytes()), len(known))
+                    if k == len(self.words):
+                        self.words.append(part)
+                        self.need.append(need)
+                        self.item.append(set())
+                    self.item[k].add((ids[s.lo + r], len(h)))
+        self.item = [sorted(x, key=lambda i: (i[0] is not None, i)) for x in self.item]
         self.size = np.array([len(h) for h in self.words], dtype=np.int64)
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[self.gram & np.uint64(len(self.seen) - 1)] = True
+        self.need = np.array(self.need, dtype=np.float64)
+        #: The words of the items that must be found as a whole.
+        self.whole = self.size < MIN_ITEM
+        self.head = np.zeros((len(self.words), MIN_ITEM - 1), np.uint64)
+        for k in np.flatnonzero(self.whole):
+            self.head[k, :self.size[k]] = self.words[k]
+        self.gram, self.seg, self.low, self.high = self.seeds()
+
+    def seeds(self) -> tuple[np.ndarray, ...]:
+        """Hash, segment, and first and last place in the segment of the rarest pairs."""
+        every = [pairs(h, min(1, len(h) - 1)) for h in self.words]
+        if not every:
+            return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        names, df = np.unique(np.concatenate([np.unique(g) for g in every]), return_counts=True)
+        gram, seg, at = [], [], []
+        for k, g in enumerate(every):
+            take = broken(self.size[k], self.need[k]) + 1
+            rare = np.argsort(df[np.searchsorted(names, g)], kind="stable")[:take]
+            gram.append(g[rare])
+            seg.append(np.full(len(rare), k))
+            at.append(rare)
+        gram, seg, at = np.concatenate(gram), np.concatenate(seg), np.concatenate(at)
+        order = np.lexsort((at, seg, gram))
+        gram, seg, at = gram[order], seg[order], at[order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (seg[1:] != seg[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(gram)) - 1
+        return gram[first], seg[first], at[first], at[last]
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        """Which lower bits of a hash some seed has; built where it is used."""
+        out = np.zeros(1 << max(20, (32 * len(self.gram)).bit_length()), dtype=bool)
+        out[self.gram & np.uint64(len(out) - 1)] = True
+        return out
 
 
-def _passages(items: Items, s: C.Slice, part: pa.RecordBatch, threshold: float):
+def _hits(items: Items, w: C.Words):
+    """Word and row of seeds in the texts, and their range in ``items.gram``; HITS hits at a time."""
+    for step in (1, 2, 0) if (items.size == 1).any() else (1, 2):
+        pos, row = C.gram_rows(w.offs, step + 1)
+        if not len(pos):
+            continue
+        g = pairs(w.hash, step)[pos]
+        maybe = np.flatnonzero(items.seen[g & np.uint64(len(items.seen) - 1)])
+        lo = np.searchsorted(items.gram, g[maybe], side="left")
+        n = np.searchsorted(items.gram, g[maybe], side="right") - lo
+        maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
+        upto = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] - n[a] + HITS, side="right")))
+            yield pos[maybe[a:b]], row[maybe[a:b]], lo[a:b], n[a:b]
+            a = b
+
+
+def _passages(items: Items, s: C.Slice, part: pa.RecordBatch):
     w = item_words(s)
-    pos, row = C.gram_rows(w.offs, SEED)
-    if not len(pos):
-        return None
-    g = C.grams(w.hash, SEED)[pos]
-    maybe = np.flatnonzero(items.seen[g & np.uint64(len(items.seen) - 1)])
-    lo = np.searchsorted(items.gram, g[maybe], side="left")
-    n = np.searchsorted(items.gram, g[maybe], side="right") - lo
-    if not n.sum():
-        return None
-    hit = np.repeat(maybe, n)
-    j = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    row, seg, begin = row[hit], items.seg[j], pos[hit] - items.at[j]
-    order = np.lexsort((begin, seg, row))
-    row, seg, begin = row[order], seg[order], begin[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = ((row[1:] != row[:-1]) | (seg[1:] != seg[:-1])
-               | (begin[1:] - begin[:-1] > items.size[seg[1:]]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
-    margin = items.size[seg[first]] // 2 + 4
-    a = np.maximum(begin[first] - margin, w.offs[row[first]])
-    b = np.minimum(begin[last] + items.size[seg[first]] + margin, w.offs[row[first] + 1])
-    able = np.array([np.isin(items.words[k], w.hash[x:y]).sum() for k, x, y in zip(seg[first], a, b)])
-    go = able / items.size[seg[first]] >= threshold
-    if not go.any():
-        return None
-    first, a, b = first[go], a[go], b[go]
-    take = pa.array(row[first])
-    return pa.RecordBatch.from_arrays([
-        part.column("doc_id").take(take), part.column("th").take(take), pa.array(seg[first].astype(np.int32)),
-        pa.array((a - w.offs[row[first]]).astype(np.int32)),
-        C.binary_array([w.hash[x:y].tobytes() for x, y in zip(a, b)]),
-    ], names=["doc_id", "th", "seg", "start", "words"])
+    for pos, row, lo, n in _hits(items, w):
+        hit = np.repeat(np.arange(len(n)), n)
+        j = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row, seg = row[hit], items.seg[j]
+        low, high = pos[hit] - items.high[j], pos[hit] - items.low[j]
+        whole = items.whole[seg]
+        if whole.any():                                         # as a whole, or not at all
+            good = ~whole | ((low >= w.offs[row]) & (low + items.size[seg] <= w.offs[row + 1]))
+            for i in range(items.head.shape[1]):
+                at = np.clip(low + i, 0, len(w.hash) - 1)
+                good &= ~whole | (i >= items.size[seg]) | (w.hash[at] == items.head[seg, i])
+            row, seg, low, high, whole = row[good], seg[good], low[good], high[good], whole[good]
+        if not len(row):
+            continue
+        order = np.lexsort((low, seg, row))
+        row, seg, low, high, whole = row[order], seg[order], low[order], high[order], whole[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = ((row[1:] != row[:-1]) | (seg[1:] != seg[:-1])
+                   | ((low[1:] - low[:-1] > items.size[seg[1:]]) & ~whole[1:]))
+        first = np.flatnonzero(new)
+        begin, end = low[first], np.maximum.reduceat(high, first)
+        row, seg, whole = row[first], seg[first], whole[first]
+        size = items.size[seg]
+        a = np.maximum(np.where(whole, begin, begin - size), w.offs[row])
+        b = np.minimum(np.where(whole, begin + size, end + 2 * size), w.offs[row + 1])
+        able = np.array([np.isin(items.words[k], w.hash[x:y]).sum() for k, x, y in zip(seg, a, b)])
+        go = able >= items.need[seg] * size
+        if go.any():
+            row, seg, a, b = row[go], seg[go], a[go], b[go]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id").take(take), part.column("th").take(take), pa.array(seg.astype(np.int32)),
+                pa.array((a - w.offs[row]).astype(np.int32)),
+                C.binary_array([w.hash[x:y].tobytes() for x, y in zip(a, b)]),
+            ], names=["doc_id", "th", "seg", "start", "words"])
 
 
 def align(segments: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +219,11 @@ def align(segments: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.nd
     return score, end
 
 
-def _find(items, threshold):
+def _find(items):
     def run(batches):
         for rb in batches:
             for s in C.slices(rb.column("body")):
-                out = _passages(items.value, s, rb.slice(s.lo, s.rows()), threshold)
-                if out is not None:
-                    yield out
+                yield from _passages(items.value, s, rb.slice(s.lo, s.rows()))
     return run
 
 
@@ -156,22 +231,28 @@ def _score(items):
     def run(batches):
         known = items.value
         for rb in batches:
-            seg = rb.column("seg").to_pylist()
-            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in rb.column("words")]
-            score, end = align([known.words[k] for k in seg], found)
-            full = MATCH * known.size[np.array(seg, dtype=np.int64)] if seg else np.ones(0)
+            seg = np.asarray(rb.column("seg"), dtype=np.int64)
+            score, end = align([known.words[k] for k in seg],
+                               [np.frombuffer(x.as_buffer(), np.uint64) for x in rb.column("words")])
+            share = score / (MATCH * known.size[seg])
+            good = np.flatnonzero(share >= known.need[seg])
+            of = [known.item[k] for k in seg[good]]
+            row = np.repeat(good, [len(x) for x in of]) if len(good) else good
+            take, flat = pa.array(row), [i for x in of for i in x]
             yield pa.RecordBatch.from_arrays([
-                rb.column("doc_id"), rb.column("th"),
-                pa.array([known.item[k] for k in seg], type=pa.int64()),
-                pa.array(score / full, type=pa.float64()),
-                pa.array(np.asarray(rb.column("start")) + end, type=pa.int64())],
-                names=["doc_id", "th", "item_id", "score", "end_word"])
+                rb.column("doc_id").take(take), rb.column("th").take(take),
+                pa.array([i for i, _ in flat], type=pa.int64()), pa.array([n for _, n in flat], type=pa.int32()),
+                pa.array(share[row], type=pa.float64()),
+                pa.array((np.asarray(rb.column("start")) + end)[row], type=pa.int64())],
+                names=["doc_id", "th", "item_id", "item_words", "score", "end_word"])
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, th (hash of the text), item_id, score, end_word: the leaks of each item into each document."""
+    """doc_id, th (hash of the text), item_id, item_words, score, end_word: the leaks of each item into each document."""
+    if broken(MIN_ITEM, threshold) > MIN_ITEM - 2:
+        raise ValueError(f"threshold {threshold}: pairs of words can't find every such passage")
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_key(F.col("text")).alias("th"),
@@ -185,14 +266,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
         texts = held.column("body").combine_chunks()
         known = spark.sparkContext.broadcast(Items(
             held.column("item_id").to_pylist(), texts.cast(pa.binary())
-            if not isinstance(texts, pa.ChunkedArray) else pa.concat_arrays(texts.chunks).cast(pa.binary())))
-        found = C.written(rows.mapInArrow(_find(known, threshold), PASSAGE), "passages")
-        scored = found.mapInArrow(_score(known), "doc_id long, th long, item_id long, score double, end_word long")
-        scored = scored.filter(F.col("score") >= threshold)
+            if not isinstance(texts, pa.ChunkedArray) else pa.concat_arrays(texts.chunks).cast(pa.binary()), threshold))
+        found = C.written(rows.mapInArrow(_find(known), PASSAGE), "passages")
+        scored = found.mapInArrow(_score(known), SCORED)
         out = scored if out is None else out.union(scored)
-    best = F.max(F.struct("score", "end_word")).alias("b")
+    best = F.max(F.struct("score", "end_word", "item_words")).alias("b")
     return out.groupBy("doc_id", "th", "item_id").agg(best).select(
-        "doc_id", "th", "item_id", F.col("b.score").alias("score"), F.col("b.end_word").alias("end_word"))
+        "doc_id", "th", "item_id", F.col("b.item_words").alias("item_words"), F.col("b.score").alias("score"),
+        F.col("b.end_word").alias("end_word"))
 
 
 def leak_query(spark, sf_dir: str) -> DataFrame:
@@ -200,8 +281,8 @@ def leak_query(spark, sf_dir: str) -> DataFrame:
 
 
 def leak_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a leaked passage go."""
-    out = leaks(docs, C.table(spark, sf_dir, "benchmark")).select(
+    """Documents with a leaked passage of an item of EVIDENCE words or more go."""
+    out = leaks(docs, C.table(spark, sf_dir, "benchmark")).filter(F.col("item_words") >= EVIDENCE).select(
         F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_d"])
                      & (C.text_key(docs["text"]) == out["_t"]), "left_anti")

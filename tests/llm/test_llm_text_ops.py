@@ -292,6 +292,80 @@ def test_an_edited_copy_is_found_beside_an_exact_one(spark, docs_of):
                for i, t in enumerate(items))
 
 
+def brute_leaks(rows, items):
+    """Every text aligned with every segment of every item, and whole phrases searched."""
+    code = collections.defaultdict(lambda: len(code) + 2)
+    split = lambda t: [code[w] for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())]
+    texts, out = [(r[0], split(r[1])) for r in rows], {}
+    for item, t in items:
+        h = split(t)
+        for part in np.array_split(h, -(-len(h) // decontaminate.SEGMENT)) if h else ():
+            score, _ = decontaminate.align([np.array(part, np.uint64)] * len(texts),
+                                           [np.array(x or [0], np.uint64) for _, x in texts])
+            for (d, _), v in zip(texts, score / (2 * len(part))):
+                if v >= (decontaminate.THRESHOLD if len(h) >= decontaminate.MIN_ITEM else 1):
+                    out[d, item] = max(v, out.get((d, item), 0))
+    return out
+
+
+def test_leaks_against_every_text_with_every_item(spark, docs_of, monkeypatch):
+    rng = random.Random(23)
+    items = [prose(rng, n, v) for n in (8, 9, 13, 21, 40, 64, 150) for v in (9, 60, 3000)]
+    items += ["w1", "w1 w2", "w5 w5 w5", "w1 w2 w3 w4 w5", "a " * 30, "a " * 200, items[5], "", None]
+
+    def change(t):
+        out, w, kind, k = [], words(t), rng.randrange(6), rng.randrange(1, 6)
+        for i, x in enumerate(w):
+            if kind == 0 and i % k == k - 1:
+                out.append("changed")
+            elif kind == 1 and i % k == k - 1:
+                out += [x, "put"]
+            elif kind == 2 and i % k == k - 1:
+                pass
+            elif kind == 3:
+                out += [x] + ["in"] * rng.randrange(3)
+            elif kind == 4 and rng.random() < 0.25:
+                out.append(rng.choice(["new", x + " put", "", "w1 w2"]))
+            else:
+                out.append(x)
+        return " ".join(out[:len(out) // 2] if kind == 5 else out)
+
+    rows = [(i, prose(rng, 60, rng.choice([9, 60, 3000]))) for i in range(60)]
+    rows += [(100 + i, f"{prose(rng, rng.randrange(40), 60)} {change(rng.choice(items[:21]))} {prose(rng, 20, 3000)}") for i in range(400)]
+    rows += [(600, "a " * 1000), (601, "a b " * 200), (602, None), (603, ""), (604, "w1"), (605, "w5 " * 9)]
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute_leaks(rows, list(enumerate(items)))
+    docs = docs_of(rows)
+    for hits in (decontaminate.HITS, 7):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs, tests).collect()}
+        assert got == pytest.approx(want)
+    with pytest.raises(ValueError):
+        decontaminate.leaks(docs, tests, threshold=0.3)
+
+
+def test_every_third_and_every_fourth_word_replaced(spark, docs_of):
+    rng = random.Random(8)
+    items = [prose(rng, n, 3000) for n in (10, 40, 64)]
+    rows = [(10 * k + i, prose(rng, 30, 3000) + " " + " ".join("x" if j % k == k - 1 else w for j, w in enumerate(words(t))))
+            for k in (3, 4) for i, t in enumerate(items)]
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_of(rows), tests).collect()}
+    assert got == {(10 * k + i, i) for k in (3, 4) for i in range(3)}
+
+
+def test_one_word_a_million_times_and_short_items(spark, docs_of, tmp_path):
+    items = [(1, "a " * 40), (2, "a " * 5000), (3, "b a"), (4, "yes"), (5, "b c d e"), (6, "a " * 5), (None, "a " * 40)]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "a " * 500_000), (2, "yes"), (3, "b c, D! e"), (4, "b c x d e"), (5, "b a " * 3)]
+    docs = docs_of(rows)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, tests).collect()}
+    # b a b a b a: six of its words make a score of 3 a's and 2 gaps, too low for forty
+    assert got == {(1, 1), (1, 2), (1, 6), (1, None), (2, 4), (3, 5), (5, 3)}
+    tests.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in decontaminate.leak_stage(spark, docs, str(tmp_path)).collect()) == [2, 4, 5]
+
+
 def test_leak_query_finds_every_whole_passage(spark):
     import duckdb
     sf = "/root/testdata/sf0.01"
