@@ -5,7 +5,10 @@ Prefix sums of these costs over a conversation choose the windows: with the syst
 turn and HISTORY tokens set aside, STEP tokens of the budget remain, and a turn
 belongs to window ``prefix div STEP``.  The one turn that crosses the end of its window
 stays in it if all fits, else it gets a window part of its own.  So every window keeps
-within BUDGET unless a single turn is longer than STEP (``over_budget``).  Each window
+within BUDGET unless a single turn is longer than STEP (``over_budget``).  A system turn
+that leaves less than MIN_STEP tokens can't be repeated within BUDGET: then STEP is as long
+as the system turn (HISTORY at least), and all windows together repeat no more of it than
+the conversation is long, but for one window.  Each window
 starts with the conversation's system turn and with the whole turns before it that fit
 HISTORY; both are context: only assistant turns that a window has as its own are under
 its loss mask, so each is learnt once.
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUDGET, HISTORY = 1024, 256
+BUDGET, HISTORY, MIN_STEP = 1024, 256, 128
 CHARS_PER_TOKEN, OVERHEAD = 4, 4
 RANGE = 1024
 START, END = "<|im_start|>", "<|im_end|>"
@@ -85,7 +88,9 @@ def _measured(conversations: DataFrame, budget: int, history: int) -> DataFrame:
            .withColumn("tokens", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens")))
            .withColumn("hi", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("n0") + F.col("n") - F.col("system")))
            .withColumn("lo", F.col("hi") - F.col("tokens"))
-           .withColumn("step", F.greatest(F.lit(1), F.lit(budget - history) - F.col("system"))))
+           .withColumn("left", F.lit(budget - history) - F.col("system"))
+           .withColumn("step", F.when(F.col("left") >= min(MIN_STEP, budget - history), F.col("left"))
+                       .otherwise(F.greatest(F.col("system"), F.lit(history), F.lit(1)))))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     return out.withColumn("body", escape(F.col("text"))).withColumn("head", head).select(
         "conv_id", "ord", "lo", "hi", "step", "system", "is_system",
@@ -184,7 +189,8 @@ t2 AS (SELECT *, ord = 1 AND role = 'system' sys, {len(START)} + 1 + {len(END)}
    + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\1\\|', 'g'))
    + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) chars FROM t1),
 t3 AS (SELECT *, CASE WHEN sys THEN 0 ELSE tok END cost,
-   greatest(1, {BUDGET - HISTORY} - coalesce(sum(CASE WHEN sys THEN tok END) OVER (PARTITION BY conv_id), 0)) step FROM t2),
+   coalesce(sum(CASE WHEN sys THEN tok END) OVER (PARTITION BY conv_id), 0) system, CASE WHEN {BUDGET - HISTORY} - system
+   >= {MIN_STEP} THEN {BUDGET - HISTORY} - system ELSE greatest(system, {HISTORY}) END step FROM t2),
 t4 AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY ord) hi FROM t3),
 t5 AS (SELECT *, hi - cost lo, (hi - cost) // step win FROM t4),
 t6 AS (SELECT *, CASE WHEN hi > (win + 1) * step AND max(hi) OVER w - min(lo) OVER w > step THEN 1 ELSE 0 END part
