@@ -2,7 +2,10 @@
 
 Labelled pages (bad: low quality or toxic) are counted per host, registered domain and
 suffix.  The bad rate of each level is shrunk towards the next wider one by a
-beta-binomial prior: all pages -> suffix -> domain -> host.  The strength of each prior
+beta-binomial prior: all pages -> suffix -> domain -> host.  A suffix is the last label of a
+name, or its last two where SUFFIXES lists them (``co.uk``); the registered domain has one
+label more.  An address of numbers is a domain of its own, under the suffix ``ip``, and a
+name of one label or a suffix alone is its own domain.  The strength of each prior
 comes from the spread of the rates between the groups of its level (method of moments);
 the rate of all pages starts from one bad page in four.
 A host without rule is blocked when the lower bound of its posterior bad rate (mean less
@@ -31,6 +34,12 @@ PARTS = r"://([^/?#]*)([^?#]*)"
 #: The longest rule that fits a url wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
+#: Suffixes of two labels under which names are registered.
+SUFFIXES = tuple(f"{second}.{country}" for country, seconds in (
+    ("uk", "ac co gov ltd me net nhs org plc sch"), ("au", "asn com edu gov id net org"), ("jp", "ac ad co ed go gr lg ne or"),
+    ("br", "com edu gov net org"), ("cn", "ac com edu gov net org"), ("in", "ac co edu firm gov ind net org"),
+    ("kr", "ac co go ne or re"), ("nz", "ac co geek govt net org school"), ("za", "ac co gov net org web"),
+    ("tr", "com edu gov net org"), ("mx", "com edu gob net org"), ("tw", "com edu gov net org")) for second in seconds.split())
 #: Blocked above this bad rate; standard deviations below the mean; range of a prior's strength in pages.
 MAX_BAD, Z, WEAKEST, STRONGEST = 0.4, 1.645, 2.0, 200.0
 
@@ -50,10 +59,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of the host's name, without user and port."""
-    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    return F.substring_index(name, ".", -2)
+#: User, port and last dots are no part of a name; an address is four numbers, or stands in brackets.
+AROUND, ADDRESS = r"^.*@|:[0-9]*$|\.+$", r"^([0-9]+\.){3}[0-9]+$|^\["
+
+
+def name_of(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(host, AROUND, ""), r"\.+$", "")
+
+
+def suffix_of(name: Column, suffixes=SUFFIXES) -> Column:
+    """``ip`` for an address; the last two labels if they are a suffix, else the last."""
+    two = F.substring_index(name, ".", -2)
+    return (F.when(F.regexp_like(name, F.lit(ADDRESS)), "ip").when(two.isin(*suffixes), two)
+            .otherwise(F.substring_index(name, ".", -1)))
+
+
+def registered_domain(name: Column, suffixes=SUFFIXES) -> Column:
+    """The suffix and the label before it."""
+    return (F.when(F.regexp_like(name, F.lit(ADDRESS)), name)
+            .when(F.substring_index(name, ".", -2).isin(*suffixes), F.substring_index(name, ".", -3))
+            .otherwise(F.substring_index(name, ".", -2)))
 
 
 def _level(counts: DataFrame, group: list[str]) -> DataFrame:
@@ -84,9 +109,9 @@ def host_verdicts(pages: DataFrame, labels: DataFrame) -> DataFrame:
     # pages without a label count for no one, but their hosts take part
     counts = (pages.join(label, F.col("page_id") == F.col("_id"), "left").groupBy("host")
               .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-              .withColumn("domain", registered_domain(F.col("host")))
-              .withColumn("suffix", F.substring_index("domain", ".", -1)))
-    counts = C.written(counts, "hosts")
+              .withColumn("name", name_of(F.col("host")))
+              .withColumn("domain", registered_domain(F.col("name"))).withColumn("suffix", suffix_of(F.col("name"))))
+    counts = C.written(counts.drop("name"), "hosts")
     domains, suffixes = _level(counts, ["domain", "suffix"]), _level(counts, ["suffix"])
     every = counts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 4)).alias("m0"))
     known = [x.filter("n > 0") for x in (suffixes, domains, counts)]
@@ -137,10 +162,13 @@ WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}'
    regexp_extract(coalesce(url, ''), '{PARTS}', 2) path FROM pages),
 l AS (SELECT doc_id, max(CAST(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS INT)) bad FROM labels
    WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(bad) n, coalesce(sum(bad), 0) bad, array_to_string(list_slice(string_split(regexp_replace(
-   regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.'), -2, -1), '.') AS domain
+h0 AS (SELECT host, count(bad) n, coalesce(sum(bad), 0) bad,
+   regexp_replace(regexp_replace(host, '{AROUND}', '', 'g'), '\.+$', '') AS name, string_split(name, '.') labels,
+   array_to_string(list_slice(labels, -2, -1), '.') two, regexp_matches(name, '{ADDRESS}') ip
    FROM u LEFT JOIN l ON page_id = doc_id GROUP BY host),
-d AS (SELECT domain, list_slice(string_split(domain, '.'), -1, -1)[1] suffix, sum(n) n, sum(bad) bad FROM h GROUP BY domain),
+h AS (SELECT host, n, bad, CASE WHEN ip THEN name WHEN two IN {SUFFIXES} THEN array_to_string(list_slice(labels, -3, -1), '.')
+   ELSE two END AS domain, CASE WHEN ip THEN 'ip' WHEN two IN {SUFFIXES} THEN two ELSE labels[-1] END suffix FROM h0),
+d AS (SELECT domain, suffix, sum(n) n, sum(bad) bad FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) n, sum(bad) bad FROM d GROUP BY suffix),
 c AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 4) m0, {k['ks']} ks, {k['kd']} kd, {k['kh']} kh FROM h),
 ms AS (SELECT suffix, (bad + ks * m0) / (n + ks) ms FROM s, c),
