@@ -28,8 +28,6 @@ columns are not looked at; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +39,7 @@ WINDOW, ANCHOR = 35, 10
 
 PATHS = "doc_id long, th long, anchor long, path long, start int, n int"
 EDGES = "doc_id long, th long, anchor long, edge long, start int, w int"
-KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -126,25 +124,22 @@ def _remove(batches):
         spans = rb.column("spans")
         offs, start, n, _ = _flat(spans)
         empty = np.asarray(spans.is_null())
-        total, removed, digest = [], [], []
+        total, removed, kept = [], [], []
         for i, text in enumerate(rb.column("body")):
             ws = text.as_py().split()
-            gone = 0
+            left = ws
             if not empty[i]:
                 cover = np.zeros(len(ws) + 1, dtype=np.int32)
                 a = start[offs[i]:offs[i + 1]]
                 np.add.at(cover, a, 1)
                 np.add.at(cover, a + n[offs[i]:offs[i + 1]] + (WINDOW - 1), -1)
                 keep = np.cumsum(cover)[:-1] == 0
-                gone = len(ws) - int(keep.sum())
-                digest.append(hashlib.sha256(b" ".join([ws[k] for k in np.flatnonzero(keep)])).hexdigest())
-            else:
-                digest.append(hashlib.sha256(b" ".join(ws)).hexdigest())
+                left = [ws[k] for k in np.flatnonzero(keep)]
+            kept.append(b" ".join(left))
             total.append(len(ws))
-            removed.append(gone)
+            removed.append(len(ws) - len(left))
         yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                                          pa.array(digest, pa.string())],
-                                         names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                                          C.binary_array(kept)], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -153,9 +148,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Texts with the spans (start, n, w) of their doc_id and text, as one list per text."""
+    """Texts with the distinct spans (start, n, w) of their doc_id and text, as one list per text."""
     own = spans.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
-        F.collect_list(F.struct(F.col("start").alias("a"), F.col("n").alias("b"), "w")).alias("spans"))
+        F.collect_set(F.struct(F.col("start").alias("a"), F.col("n").alias("b"), "w")).alias("spans"))
     return texts.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), how).select(
         "doc_id", "th", "body", "spans")
 
@@ -189,12 +184,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256: one row per document."""
-    return _with_spans(_texts(docs), repeated_spans(docs).withColumn("w", F.lit(1)), "left").mapInArrow(_remove, KEPT)
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by a space): one row per document."""
+    out = _with_spans(_texts(docs), repeated_spans(docs).withColumn("w", F.lit(1)), "left").mapInArrow(_remove, KEPT)
+    return out.withColumn("kept", F.col("kept").cast("string"))
+
+
+def digests(removed: DataFrame) -> DataFrame:
+    """The same with kept_sha256 for the kept text."""
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def repeats_query(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(C.table(spark, sf_dir, "documents"))
+    return digests(remove_repeats(C.table(spark, sf_dir, "documents")))
 
 
 SQL = rf"""
