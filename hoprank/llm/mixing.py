@@ -23,9 +23,12 @@ looked at.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import common as C
 
 BLOCK, EPOCHS, SEED = 128, 3, "mix-1"
@@ -146,16 +149,49 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
     return mix(C.table(spark, sf_dir, "documents")).drop("row_id", "source", "place")
 
 
+def _first_words(batches):
+    """Columns of documents and a number of words -> columns of documents, texts cut after these words (null: whole)."""
+    for rb in batches:
+        names = rb.schema.names[:-1]
+        text, k = rb.column(names.index("text")), rb.column(len(names))
+        todo = np.flatnonzero(np.asarray(k.is_valid()))
+        if len(todo):
+            at, new = pa.array(todo), text.to_pylist()
+            want = np.asarray(k.take(at))
+            for s in C.slices(text.take(at).cast(pa.binary())):
+                w = C.words(s)
+                for i in range(s.rows()):
+                    end = w.ends[w.offs[i] + want[s.lo + i] - 1]
+                    new[todo[s.lo + i]] = s.buf[s.offs[i]:end].tobytes().decode()
+            text = pa.array(new, type=text.type)
+            if "n_chars" in names:
+                c = names.index("n_chars")
+                size = rb.column(c).to_pylist()
+                for i in todo:
+                    size[i] = size[i] if size[i] is None else len(new[i])
+                rb = rb.set_column(c, rb.schema.field(c), pa.array(size, type=rb.column(c).type))
+        yield pa.RecordBatch.from_arrays([text if c == "text" else rb.column(i) for i, c in enumerate(names)], names=names)
+
+
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its taken words by its size, rounded; empty ones aren't taken."""
-    copies = (mix(docs).withColumn("_n", F.expr("if(size > 0, int((2 * taken + size) div (2 * size)), 0)"))
-              .filter("_n > 0").groupBy(F.col("doc_id").alias("_d"), F.col("place").alias("_p"),
-                                        F.col("source").alias("_s")).agg(F.max("_n").alias("_n")))
+    """The taken words as rows: whole copies of a document, and its first words for what is over (n_chars follows).
+
+    A source's blocks are read from the first one on, so those that are drawn once more than
+    the others come first: of a document, they hold its first words.  Rows that share doc_id,
+    source and text share their taken words evenly.  Empty texts aren't taken.
+    """
+    ship_package(spark)
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_d"), F.col("place").alias("_p"), F.col("source").alias("_s")).agg(
+        F.max("size").alias("_size"), F.expr("sum(taken) div count(*)").alias("_n")).filter("_n > 0")
+    taken = taken.select("_d", "_p", "_s", F.expr(
+        "concat(array_repeat(-1L, int(_n div greatest(_size, 1))), filter(array(_n % greatest(_size, 1)), x -> x > 0))").alias("_parts"))
     own = [docs[c] for c in docs.columns]
-    joined = docs.join(copies, (_place(docs["doc_id"], docs["text"]) == copies["_p"])
-                       & docs["doc_id"].cast("long").eqNullSafe(copies["_d"])
-                       & docs["source"].cast("string").eqNullSafe(copies["_s"]))
-    return joined.select(*own, F.explode(F.sequence(F.lit(1), copies["_n"])).alias("_copy")).select(*own)
+    joined = docs.join(taken, (_place(docs["doc_id"], docs["text"]) == taken["_p"])
+                       & docs["doc_id"].cast("long").eqNullSafe(taken["_d"])
+                       & docs["source"].cast("string").eqNullSafe(taken["_s"]))
+    parts = joined.select(*own, F.explode(taken["_parts"]).alias("_words"))
+    cut = F.when(F.col("_words") > 0, F.col("_words"))
+    return parts.select(*[parts[k] for k in range(len(own))], cut.alias("_words")).mapInArrow(_first_words, docs.schema)
 
 
 SQL = rf"""

@@ -152,7 +152,7 @@ def ordered(rows):
 
 
 def test_repeats_against_brute_force(docs_of, corpus):
-    got = [tuple(r) for r in repeats.remove_repeats(docs_of(corpus)).collect()]
+    got = [tuple(r) for r in repeats.digests(repeats.remove_repeats(docs_of(corpus))).collect()]
     assert ordered(got) == ordered(brute_repeats(corpus))
 
 
@@ -160,11 +160,23 @@ def test_repeats_with_few_words_and_periods(docs_of):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(30, 90)))) for i in range(30)]
     rows += [(50, "x " * 35), (51, "y " * 36), (52, "z q " * 40), (53, "x " * 34)]
-    got = [tuple(r) for r in repeats.remove_repeats(docs_of(rows)).collect()]
+    got = [tuple(r) for r in repeats.digests(repeats.remove_repeats(docs_of(rows))).collect()]
     assert ordered(got) == ordered(brute_repeats(rows))
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
 
+def test_repeated_rows_share_one_list_of_spans(docs_of):
+    rng = random.Random(12)
+    rows = [(7, prose(rng, 200))] * 1000 + [(8, prose(rng, 60)), (9, None)]
+    docs = docs_of(rows)
+    texts = repeats._texts(docs)
+    spans = repeats._with_spans(texts, repeats.repeated_spans(docs).withColumn("w", F.lit(1)), "inner")
+    assert spans.select(F.max(F.size("spans"))).first()[0] <= 200
+    got = repeats.remove_repeats(docs).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == [(7, 200, 200, "")] * 1000 + [
+        (8, 60, 0, rows[1000][1]), (9, 0, 0, "")]
+
+
 # ---------------------------------------------------------------- quality
 
 def test_quality_base_counts_against_brute_force(docs_of, corpus):
