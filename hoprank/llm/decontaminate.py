@@ -8,7 +8,7 @@ are cut evenly into segments of at most SEGMENT words; equal segments are one.
    segments).  One Arrow pass over all texts looks up its pairs of neighbouring words and
    of words with one between them (blocks of items with a bounded size are sent to the
    tasks, one block after the other).  Hits on one segment near one diagonal become a
-   passage, which is kept as word hashes with a margin around it.
+   passage, if they are SURE or more, which is kept as word hashes with a margin around it.
 2. A passage goes on if the words of the segment that it holds allow the score.
 3. Smith-Waterman over words (MATCH, MISMATCH, GAP) aligns passage and segment,
    vectorised over passages.  A passage is a leak if its score is at least THRESHOLD
@@ -17,8 +17,9 @@ are cut evenly into segments of at most SEGMENT words; equal segments are one.
 The seeds miss nothing.  Of n words an alignment may lose 2 n (1 - THRESHOLD) of the
 score.  Between two matches, s words of the segment and t of the text without a match cost
 2 s + max(s, t); they break s + 1 pairs, but none if s = 0 and t = 1.  That is at most two
-pairs for a loss of three (one word replaced), so ``seeds`` takes one pair more than
-the whole loss can break.  Nor does the margin: t is at most n in all.
+pairs for a loss of three (one word replaced), so ``seeds`` takes SURE pairs more than
+the whole loss can break (or all pairs, and fewer hits will do).  Nor does the margin: t
+is at most n in all.  Where a text is cut into pieces of hits, one hit will do in it.
 
 Items of fewer than MIN_ITEM words must be in a text as a whole (score 1).  Such a phrase
 may stand in any text: the stage acts on items of EVIDENCE words and more only.
@@ -45,6 +46,8 @@ from . import common as C
 SEGMENT, MIN_ITEM, EVIDENCE = 64, 8, 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
+#: Hits that a passage of a long segment has for sure.
+SURE = 4
 #: Bytes of items that are sent to the tasks at once.
 BLOCK_BYTES = 8_000_000
 #: Elements of the score rows, and hits of seeds, that are worked on at once.
@@ -96,18 +99,19 @@ class Items:
         self.head = np.zeros((len(self.words), MIN_ITEM - 1), np.uint64)
         for k in np.flatnonzero(self.whole):
             self.head[k, :self.size[k]] = self.words[k]
-        self.gram, self.seg, self.low, self.high = self.seeds()
+        lost = np.array([broken(len(h), need) for h, need in zip(self.words, self.need)], dtype=np.int64)
+        self.least = np.where(self.whole, 1, np.minimum(SURE, self.size - 1 - lost))
+        self.gram, self.seg, self.low, self.high = self.seeds(lost + self.least)
 
-    def seeds(self) -> tuple[np.ndarray, ...]:
-        """Hash, segment, and first and last place in the segment of the rarest pairs."""
+    def seeds(self, take: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hash, segment, and first and last place in the segment of its ``take`` rarest pairs."""
         every = [pairs(h, min(1, len(h) - 1)) for h in self.words]
         if not every:
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
         names, df = np.unique(np.concatenate([np.unique(g) for g in every]), return_counts=True)
         gram, seg, at = [], [], []
         for k, g in enumerate(every):
-            take = broken(self.size[k], self.need[k]) + 1
-            rare = np.argsort(df[np.searchsorted(names, g)], kind="stable")[:take]
+            rare = np.argsort(df[np.searchsorted(names, g)], kind="stable")[:take[k]]
             gram.append(g[rare])
             seg.append(np.full(len(rare), k))
             at.append(rare)
@@ -129,7 +133,11 @@ class Items:
 
 
 def _hits(items: Items, w: C.Words):
-    """Word and row of seeds in the texts, and their range in ``items.gram``; HITS hits at a time."""
+    """Word and row of seeds in the texts, their range in ``items.gram``, and whether all hits of the row are here.
+
+    In the order of the words, HITS hits at a time.
+    """
+    found = []
     for step in (1, 2, 0) if (items.size == 1).any() else (1, 2):
         pos, row = C.gram_rows(w.offs, step + 1)
         if not len(pos):
@@ -139,20 +147,32 @@ def _hits(items: Items, w: C.Words):
         lo = np.searchsorted(items.gram, g[maybe], side="left")
         n = np.searchsorted(items.gram, g[maybe], side="right") - lo
         maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
-        upto = np.cumsum(n)
-        a = 0
-        while a < len(n):
-            b = max(a + 1, int(np.searchsorted(upto, upto[a] - n[a] + HITS, side="right")))
-            yield pos[maybe[a:b]], row[maybe[a:b]], lo[a:b], n[a:b]
-            a = b
+        found.append((pos[maybe], row[maybe], lo, n))
+    if not found:
+        return
+    pos, row, lo, n = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(pos, kind="stable")
+    pos, row, lo, n = pos[order], row[order], lo[order], n[order]
+    upto = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - n[a] + HITS, side="right")))
+        part = row[a:b]
+        all_here = np.ones(len(part), dtype=bool)
+        if a and row[a - 1] == row[a]:
+            all_here &= part != row[a]
+        if b < len(n) and row[b] == row[b - 1]:
+            all_here &= part != row[b]
+        yield pos[a:b], part, lo[a:b], n[a:b], all_here
+        a = b
 
 
 def _passages(items: Items, s: C.Slice, part: pa.RecordBatch):
     w = item_words(s)
-    for pos, row, lo, n in _hits(items, w):
+    for pos, row, lo, n, all_here in _hits(items, w):
         hit = np.repeat(np.arange(len(n)), n)
         j = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row, seg = row[hit], items.seg[j]
+        row, seg, sure = row[hit], items.seg[j], all_here[hit]
         low, high = pos[hit] - items.high[j], pos[hit] - items.low[j]
         whole = items.whole[seg]
         if whole.any():                                         # as a whole, or not at all
@@ -160,21 +180,22 @@ def _passages(items: Items, s: C.Slice, part: pa.RecordBatch):
             for i in range(items.head.shape[1]):
                 at = np.clip(low + i, 0, len(w.hash) - 1)
                 good &= ~whole | (i >= items.size[seg]) | (w.hash[at] == items.head[seg, i])
-            row, seg, low, high, whole = row[good], seg[good], low[good], high[good], whole[good]
+            row, seg, low, high, whole, sure = (x[good] for x in (row, seg, low, high, whole, sure))
         if not len(row):
             continue
         order = np.lexsort((low, seg, row))
-        row, seg, low, high, whole = row[order], seg[order], low[order], high[order], whole[order]
+        row, seg, low, high, whole, sure = (x[order] for x in (row, seg, low, high, whole, sure))
         new = np.ones(len(row), dtype=bool)
         new[1:] = ((row[1:] != row[:-1]) | (seg[1:] != seg[:-1])
-                   | ((low[1:] - low[:-1] > items.size[seg[1:]]) & ~whole[1:]))
+                   | ((low[1:] - low[:-1] > 2 * items.size[seg[1:]]) & ~whole[1:]))
         first = np.flatnonzero(new)
+        enough = (np.diff(np.append(first, len(row))) >= items.least[seg[first]]) | ~sure[first]
         begin, end = low[first], np.maximum.reduceat(high, first)
-        row, seg, whole = row[first], seg[first], whole[first]
+        row, seg, whole, begin, end = (x[enough] for x in (row[first], seg[first], whole[first], begin, end))
         size = items.size[seg]
         a = np.maximum(np.where(whole, begin, begin - size), w.offs[row])
         b = np.minimum(np.where(whole, begin + size, end + 2 * size), w.offs[row + 1])
-        able = np.array([np.isin(items.words[k], w.hash[x:y]).sum() for k, x, y in zip(seg, a, b)])
+        able = np.array([np.isin(items.words[k], w.hash[x:y]).sum() for k, x, y in zip(seg, a, b)], dtype=np.int64)
         go = able >= items.need[seg] * size
         if go.any():
             row, seg, a, b = row[go], seg[go], a[go], b[go]
