@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.sizing import broadcast_if_small
+from ..session import write_once
 
 #: Buckets of the hashed pair counts.
 BUCKETS = 1 << 20
@@ -35,7 +36,7 @@ def frequent_items(b: DataFrame, support: float) -> tuple[DataFrame, int]:
 def frequent_pairs(df: DataFrame, support: float, item: str = "name", user: str = "reviewer",
                    min_rating: float = 2.5, buckets: int = BUCKETS) -> DataFrame:
     """M3: (a, b, users) with a < b, both frequent, co-rated by strictly more than support * N users."""
-    b = baskets(df, item, user, min_rating)
+    b = write_once(baskets(df, item, user, min_rating), "baskets")      # read by every pass
     freq, n_users = frequent_items(b, support)
     fb = b.join(broadcast_if_small(freq.select("item"), "frequent items"), "item", "left_semi")
     x, y = fb.select("user", F.col("item").alias("a")), fb.select("user", F.col("item").alias("b"))
