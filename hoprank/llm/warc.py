@@ -40,6 +40,8 @@ from . import common as C
 
 REVISIT_LEAST = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: Repeated payloads whose digests every task may hold (about 40 MB); with more of them the rows are laid out by digest.
+REPEATED_ROWS = 300_000
 #: Bytes of records that a reading task fetches at once.
 SPLIT = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -111,18 +113,28 @@ def _writer(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_LEAST) -> DataFrame:
-    """Write a record per row; path, records and bytes of each committed package."""
+def told(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
+    """The rows with payload, digest and, for revisits, the page that they refer to.
+
+    Only the digests of payloads that occur again are told to the rows: payloads are neither shuffled nor sorted,
+    and a large group of copies stays where it was read.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         C.body(F.col("html")).alias("body")).withColumn("digest", F.sha1("body"))
     large = rows.filter(F.length("body") >= least)
     last = (large.groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1").drop("n"))
-    # only payloads that occur again are joined with anything
-    told = rows.join(last, (F.col("digest") == F.col("_d")) & (F.length("body") >= least), "left").withColumn(
-        "refers_to", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
-    return C.written(told.select("page_id", "url", "body", "digest", "refers_to").mapInArrow(_writer(folder), WRITTEN),
-                     "packages")
+    last = C.written(last, "repeated")
+    if last.count() <= REPEATED_ROWS:
+        last = F.broadcast(last)
+    return rows.join(last, (F.col("digest") == F.col("_d")) & (F.length("body") >= least), "left").withColumn(
+        "refers_to", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))).select(
+        "page_id", "url", "body", "digest", "refers_to")
+
+
+def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_LEAST) -> DataFrame:
+    """Write a record per row; path, records and bytes of each committed package."""
+    return C.written(told(pages, least).mapInArrow(_writer(folder), WRITTEN), "packages")
 
 
 # ---------------------------------------------------------------- the directory of a package
