@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from hoprank.operators import clean
 from hoprank.operators import cluster as K
+from hoprank.operators import themes as TH
 from hoprank.operators.lsh import build_index, make_hyperplanes
+from hoprank.sources import html as H
 from hoprank.streaming import streams as ST
 
 
@@ -91,3 +93,33 @@ def test_clusters_move_each_text_vector_once(spark, monkeypatch):
             by.setdefault(r["cluster"], set()).add(r["id"])
         return sorted(map(sorted, by.values()))
     assert groups(moved) == groups(got) and len(groups(got)) == 2
+
+
+def test_many_texts_are_moved_compressed(spark, monkeypatch):
+    """Texts that are too many for a task go to the pages compressed, in as many tasks as can sort them."""
+    texts = spark.createDataFrame([(1, 'one & <b> "x" ' * 300), (2, None), (3, "three\n"), (3, "again")], "doc_key long, review_text string")
+    rows = spark.createDataFrame([(f"{i:03d}", f"item {i % 3}", f"u{i}" if i % 7 else None, "DK", "4.0", "2020-01-01", 1 + i % 4, 250) for i in range(200)],
+                                 "id string, name string, reviewer string, location string, rating string, review_date string, doc_key long, total_reviews long")
+    want = H.render_review_pages(rows, texts=texts)
+    monkeypatch.setattr(H, "SIDE_BYTES", 0)
+    monkeypatch.setattr(H, "SORT_BYTES", 100)
+    pages = H.render_review_pages(rows, texts=texts)
+    moved = plan(pages)
+    moved = moved[moved.index("Exchange hashpartitioning(name"):]
+    assert "review_text" not in moved and int(moved.split("page#")[1].split("), REPARTITION")[0].split(", ")[-1]) > 8
+    records = lambda p: rows_of(H.review_records(p).drop("page", "pos"))
+    assert records(pages) == records(want) and len(records(pages)) > 100
+
+
+def test_counts_of_many_texts_are_moved_once_per_pair(spark, monkeypatch):
+    """A hot item, missing items and texts, ties: the counts of a text are one value, no row per item and term is shuffled."""
+    texts = spark.createDataFrame([(i, " ".join(f"w{chr(97 + (i * k) % 26)}x" for k in range(12))) for i in range(40)] + [(99, "unused"), (7, "wax wax"), (8, None)],
+                                  "doc_key long, review_text string")
+    rows = spark.createDataFrame([(f"x{i % 9}" if i % 3 else "hot", i % 43) for i in range(400)] + [(None, 1), ("none", None)], "name string, doc_key long")
+    want = rows_of(TH.top_terms_by_text(rows, texts, 5))
+    monkeypatch.setattr(TH, "COUNT_BYTES", 0)
+    monkeypatch.setattr(TH, "OUT_ROWS", 3)
+    monkeypatch.setattr(TH, "SORT_BYTES", 50)
+    top = TH.top_terms_by_text(rows, texts, 5)
+    assert rows_of(top) == want and len(want) == 40
+    assert "Window" not in plan(top) and "hashpartitioning(name#" in plan(top) and "term#" not in plan(top).split("MapInArrow")[1].split("\n", 1)[1]
