@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SF_SMALL = "/root/testdata/sf0.001"            # the name that tests beside this folder import, if both run in one call
 CLASH = ("body", "th", "v", "key", "_d", "_t", "_s", "size", "row_id", "start", "n", "spans", "id")
 
 
